@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import simhash
+from runweave.llm import fingerprint, mixing, quality, simhash
 from runweave.session import ship_code
 
 
@@ -23,7 +23,26 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every text and its edited text, and how near those and the next document are."""
+    return fingerprint.edited_and_next(_read(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-document counts and the verdict of cross-document line frequency."""
+    return quality.judge(_read(spark, sf_dir, "documents")).drop("source", "text_hash")
+
+
+def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of all sources takes of every document."""
+    found = mixing.mix(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "epochs", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_mixing_sources": op9_mixing_sources,
 }
 ORACLES: dict[str, str] = {}
