@@ -52,10 +52,13 @@ def parts(spark: SparkSession) -> int:
 
 
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column and the offsets of its rows (null: empty)."""
+    """The bytes of a string or binary column and the offsets of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    if pa.types.is_string(column.type):
+        column = column.fill_null("").cast(pa.large_string())
+    else:
+        column = column.fill_null(b"").cast(pa.large_binary())
     _, offsets, data = column.buffers()
     offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
@@ -90,8 +93,9 @@ def _odd_powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     base = (seed | 1) & (2**64 - 1)
     inverse = pow(base, -1, 2**64)
     with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[1], np.full(n, base, np.uint64)]).astype(np.uint64))
-        down = np.cumprod(np.concatenate([[1], np.full(n, inverse, np.uint64)]).astype(np.uint64))
+        one = np.ones(1, np.uint64)
+        up = np.cumprod(np.concatenate([one, np.full(n, base, np.uint64)]))
+        down = np.cumprod(np.concatenate([one, np.full(n, inverse, np.uint64)]))
     return up, down
 
 

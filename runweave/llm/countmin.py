@@ -56,8 +56,11 @@ def partial_sketch(hashes: np.ndarray, log_width: int, rows: int) -> Iterator[tu
             yield (row << (log_width - BLOCK)) + int(cells[a] >> BLOCK), encode_gaps(local), extra.tobytes()
 
 
-def merged_bits(partials: DataFrame, log_width: int, rows: int) -> np.ndarray:
-    """The (rows, width / 8) bits of the cells with two or more hashes, from (block, cells, extra) rows."""
+def merged_bits(partials: DataFrame, log_width: int, rows: int, levels: tuple[int, ...] = (2,)) -> list[np.ndarray]:
+    """For each level the (rows, width / 8) bits of the cells with at least so many hashes.
+
+    partials: (block, cells, extra) rows of partial_sketch().
+    """
 
     def merge(batches):
         at, acc = None, None
@@ -65,7 +68,7 @@ def merged_bits(partials: DataFrame, log_width: int, rows: int) -> np.ndarray:
 
         def close():
             if at is not None:
-                done.append((at, np.packbits(acc >= 2, bitorder="little").tobytes()))
+                done.append((at, b"".join(np.packbits(acc >= x, bitorder="little").tobytes() for x in levels)))
 
         for batch in batches:
             for block, cells, extra in zip(*(c.to_pylist() for c in batch.columns)):
@@ -88,10 +91,11 @@ def merged_bits(partials: DataFrame, log_width: int, rows: int) -> np.ndarray:
 
     n = min(parts(partials.sparkSession), rows << (log_width - BLOCK))
     merged = partials.repartition(n, "block").sortWithinPartitions("block").mapInArrow(merge, "block bigint, bits binary")
-    out = np.zeros((rows << (log_width - BLOCK), 1 << (BLOCK - 3)), np.uint8)
+    out = [np.zeros((rows << (log_width - BLOCK), 1 << (BLOCK - 3)), np.uint8) for _ in levels]
     for r in merged.toLocalIterator():
-        out[r.block] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out.reshape(rows, -1)
+        for bits, got in zip(out, np.frombuffer(bytes(r.bits), np.uint8).reshape(len(levels), -1)):
+            bits[r.block] = got
+    return [bits.reshape(rows, -1) for bits in out]
 
 
 def repeated(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -109,8 +113,8 @@ def log_width_for(expected: int, most_cells: int) -> int:
     return max(BLOCK, min((4 * max(expected, 1)).bit_length() - 1, most_cells.bit_length() - 1, 32))
 
 
-def sketch_of(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], log_width: int, rows: int = 2) -> np.ndarray:
-    """The merged bits of the hashes of all batches of docs."""
+def sketch_of(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], log_width: int, rows: int = 2, levels: tuple[int, ...] = (2,)) -> list[np.ndarray]:
+    """The merged bits of the hashes of all batches of docs, for each level."""
 
     def run(batches):
         for batch in batches:
@@ -128,4 +132,4 @@ def sketch_of(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.nd
                             names=["block", "cells", "extra"],
                         )
 
-    return merged_bits(docs.mapInArrow(run, "block bigint, cells binary, extra binary"), log_width, rows)
+    return merged_bits(docs.mapInArrow(run, "block bigint, cells binary, extra binary"), log_width, rows, levels)
