@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import fingerprint, mixing, quality, simhash, substring, suffix
+from runweave.llm import fingerprint, mixing, quality, simhash, substring, suffix, toxicity
 from runweave.session import ship_code
 
 
@@ -23,6 +23,17 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from labels outside the held-out fifth."""
+    labels = _read(spark, sf_dir, "labels")
+    found = toxicity.score(_read(spark, sf_dir, "documents").select("doc_id", "text"), toxicity.learnable(labels))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return found.select(
+        "doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"),
+        F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every text and its edited text, and how near those and the next document are."""
     return fingerprint.edited_and_next(_read(spark, sf_dir, "documents"))
@@ -53,6 +64,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_toxicity": op2_toxicity,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
