@@ -99,10 +99,14 @@ def with_next(docs: DataFrame, width: int = 5, bits: int = 3) -> DataFrame:
     before = F.struct((F.col("_bucket") - 1).alias("bucket"), F.lit(0).alias("lap"), F.lit(True).alias("guest"))
     around = F.struct(F.lit(last).alias("bucket"), F.lit(1).alias("lap"), F.lit(True).alias("guest"))
     places = F.when(starts & (F.col("_bucket") > 0), F.array(own, before)).when(starts, F.array(own, around)).otherwise(F.array(own))
-    d = d.select("*", F.explode(places).alias("_at"))
-    w = W.partitionBy("_at.bucket").orderBy("_at.lap", "_order", F.xxhash64("text"))
-    d = d.withColumn("next_text", F.lead("text").over(w)).withColumn("next_sketch", F.lead("_sketch").over(w))
-    return d.where(~F.col("_at.guest")).select("doc_id", "text", F.col("_sketch").alias("sketch"), "next_text", "next_sketch")
+    d = d.select("doc_id", "text", "_order", "_sketch", F.explode(places).alias("_at")).select(
+        "doc_id", "text", "_order", "_sketch", "_at.bucket", "_at.lap", "_at.guest", F.xxhash64("text").alias("_tie")
+    )
+    w = W.partitionBy("bucket").orderBy("lap", "_order", "_tie")
+    d = d.select(
+        "doc_id", "text", "_sketch", "guest", F.lead("text").over(w).alias("next_text"), F.lead("_sketch").over(w).alias("next_sketch")
+    )
+    return d.where(~F.col("guest")).select("doc_id", "text", F.col("_sketch").alias("sketch"), "next_text", "next_sketch")
 
 
 def edited_and_next(docs: DataFrame, width: int = 5, bits: int = 3) -> DataFrame:
