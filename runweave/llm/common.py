@@ -65,7 +65,7 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(offs: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offs: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes each; a longer row is a range of its own."""
     i, n = 0, len(offs) - 1
     while i < n:
@@ -126,6 +126,15 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int)
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def row_hash(data: np.ndarray, offs: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of whole rows, worked out in pieces of bounded size."""
+    out = [np.zeros(0, np.uint64)]
+    for i, j in chunks(offs):
+        o = offs[i : j + 1] - offs[i]
+        out.append(span_hash(data[offs[i] : offs[j]], o[:-1], o[1:], seed))
+    return np.concatenate(out)
+
+
 def window_hash(words: np.ndarray, width: int, seed: int) -> np.ndarray:
     """Hashes of width consecutive entries; len(words) - width + 1 of them (none if shorter)."""
     n = len(words) - width + 1

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import fingerprint, mixing, quality, simhash, substring, suffix, toxicity
+from runweave.llm import chat, fingerprint, mixing, packing, quality, simhash, substring, suffix, toxicity, warc
+from runweave.llm.common import new_path, table
 from runweave.session import ship_code
 
 
@@ -34,6 +35,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin and offset of every piece of every document."""
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages with revisit records, written, read back and resolved."""
+    path = new_path(spark, "warc")
+    warc.write_archives(_read(spark, sf_dir, "pages"), path)
+    found = table(warc.read_archives(spark, path), "warc-records")
+    return warc.resolve(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every text and its edited text, and how near those and the next document are."""
     return fingerprint.edited_and_next(_read(spark, sf_dir, "documents"))
@@ -50,6 +64,20 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1 as prefix trees, written and read back."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    path = new_path(spark, "chat")
+    chat.write_trees(rows, path)
+    found = chat.read_trees(spark.read.parquet(path))
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of all sources takes of every document."""
     found = mixing.mix(_read(spark, sf_dir, "documents"))
@@ -65,9 +93,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_warc_revisits": op4_warc_revisits,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_substring_dedup": op10_substring_dedup,
 }

@@ -8,7 +8,8 @@ candidates are verified by the full Hamming distance inside the join.
 
 Crowded partition values are left to an exact way that emits no pairs: fingerprints
 within 4 bits share a fingerprint within 2 bits of both, so each fingerprint that probes a
-crowded value is tied to all such midpoints, and those that meet at one are linked.
+crowded value is tied to all such midpoints, and those that meet at one are linked. Above 4
+bits midpoints are too many; there a crowded value's probes are dealt over several tasks.
 
 Nulls and texts without words have fingerprint zero and are linked like any other. Equal
 fingerprints are one node whatever the number of rows; repeated rows stay. An empty table
@@ -182,7 +183,6 @@ def links(fps: DataFrame, tau: int = 4, crowded: int = 4096) -> DataFrame:
     fingerprints that probe a partition value with more than crowded members are linked
     through midpoints instead, and b is then the smallest fingerprint that meets there.
     """
-    spark = fps.sparkSession
     n, both = bit_statistics(fps)
     plans = []
     for m in range(2, tau + 2):
@@ -201,14 +201,23 @@ def links(fps: DataFrame, tau: int = 4, crowded: int = 4096) -> DataFrame:
             F.col("fp").alias("q"), F.lit(p).alias("p"), F.col("own").bitwiseXOR(F.col("x")).alias("v")
         )
         probes = part if probes is None else probes.unionByName(part)
-    hot = table(data.groupBy("p", "v").count().where(F.col("count") > crowded).select("p", "v"), "simhash-hot")
-    cool = probes.join(hot, ["p", "v"], "left_anti")
+    sizes = data.groupBy("p", "v").count().where(F.col("count") > crowded)
+    hot = table(sizes.select("p", "v", (F.col("count") / crowded).cast("int").alias("more")), "simhash-hot")
     near = F.bit_count(F.col("q").bitwiseXOR(F.col("fp"))) <= tau
+    link = [F.greatest("q", "fp").alias("a"), F.least("q", "fp").alias("b")]
+    cool = probes.join(hot, ["p", "v"], "left_anti").alias("pr")
     d = data.alias("d")
-    pairs = cool.join(d, (F.col("d.p") == cool.p) & (F.col("d.v") == cool.v) & (F.col("q") != F.col("fp")) & near)
-    out = pairs.select(F.greatest("q", "fp").alias("a"), F.least("q", "fp").alias("b")).distinct()
-    packed = probes.join(hot, ["p", "v"], "left_semi").select(F.col("q").alias("fp")).distinct()
-    return out.unionByName(midpoint_links(packed, tau))
+    pairs = cool.join(d, (F.col("d.p") == F.col("pr.p")) & (F.col("d.v") == F.col("pr.v")) & (F.col("q") != F.col("fp")) & near)
+    out = pairs.select(*link).distinct()
+    if tau <= 4:
+        packed = probes.join(hot, ["p", "v"], "left_semi").select(F.col("q").alias("fp")).distinct()
+        return out.unionByName(midpoint_links(packed, tau))
+    # the prober's share of a crowded value meets all its members, each share in a task of its own
+    salted = probes.join(hot, ["p", "v"]).withColumn("salt", F.pmod(F.xxhash64("q"), F.col("more") + 1).cast("int")).alias("pr")
+    members = data.join(hot, ["p", "v"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("more")))).alias("d")
+    same = [F.col(f"d.{c}") == F.col(f"pr.{c}") for c in ("p", "v", "salt")]
+    met = salted.join(members, same[0] & same[1] & same[2] & (F.col("q") != F.col("fp")) & near)
+    return out.unionByName(met.select(*link).distinct())
 
 
 def midpoint_links(fps: DataFrame, tau: int) -> DataFrame:
@@ -221,7 +230,6 @@ def midpoint_links(fps: DataFrame, tau: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, tau: int = 4, crowded: int = 4096) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most tau bits."""
-    spark = docs.sparkSession
     fps = table(fingerprints(docs, width), "simhash-fp")
     distinct = table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), tau, crowded), "simhash-components")

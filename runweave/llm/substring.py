@@ -46,11 +46,11 @@ def _windows(data: np.ndarray, offs: np.ndarray, width: int):
     return row, at - first[row], at, words, one
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """(ord, sub, text): ord orders documents by doc_id (null first), sub is their text's hash."""
+def identified(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(ord, sub, text, ...): ord orders documents by doc_id (null first), sub is their text's hash."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("ord"), F.xxhash64("text").alias("sub"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("text", F.lit("")).alias("text"), *(carry or []),
     )
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.common import buffer, chunks, mix, parts, powers, span_hash
+from runweave.llm.common import buffer, chunks, mix, parts, powers, row_hash, span_hash
 from runweave.llm.countmin import log_width_for, repeated, sketch_of
 from runweave.llm.induced import InducedSorter
 from runweave.llm.substring import LOWEST, identified, not_first
@@ -73,7 +73,7 @@ def _runs(data: np.ndarray, offs: np.ndarray, cap: int):
     return row, start, m, key, inside + entering > 1
 
 
-def removed_runs(d: DataFrame, cap: int = 100, most_cells: int = 1 << 28, crowded: int = 20000, shard: int = 8 << 20) -> DataFrame:
+def removed_runs(d: DataFrame, cap: int = 100, most_cells: int = 1 << 28, crowded: int = 20000, shard: int = 3 << 20) -> DataFrame:
     """(ord, sub, gone): runs of removed windows (first byte, number) of the documents identified()."""
     spark = d.sparkSession
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -164,7 +164,7 @@ def _marks(t: pa.Table, cap: int) -> Iterator[pa.RecordBatch]:
     known = offs[1:] == offs[:-1]
     out = [(doc[known], sub[known], pos[known], n[known])]
     live = np.flatnonzero(~known)
-    one, two = (span_hash(data, offs[:-1][live], offs[1:][live], x) for x in _SEEDS)
+    one, two = (row_hash(data, offs, x)[live] for x in _SEEDS)
     repeat = np.zeros(len(live), bool)
     repeat[not_first(doc[live], sub[live], pos[live], one, two)] = True
     later = live[repeat]
@@ -222,15 +222,25 @@ def _within(data, offs, held, doc, sub, pos, n, cap):
     return doc[w], sub[w], pos[w] + gone[s] - begin[which[s]], m
 
 
-def dedup_bytes(docs: DataFrame, cap: int = 100, **options) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept BINARY): what is left of each document."""
-    d = identified(docs)
-    gone = removed_runs(d, cap, **options)
-    both = d.join(gone, ["ord", "sub"], "left").select("ord", "text", "gone.pos", "gone.n")
+def dedup_bytes(docs: DataFrame, cap: int = 100, carry: list[str] | None = None, **options) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept BINARY, kept_text): what is left of each document.
+
+    carry: further columns of docs to pass on. kept_text leaves out the parts of characters
+    that stand alone after a cut.
+    """
+    carry = carry or []
+    d = identified(docs, carry)
+    gone = removed_runs(d.select("ord", "sub", "text"), cap, **options)
+    both = d.join(gone, ["ord", "sub"], "left").select("ord", "text", "gone.pos", "gone.n", *carry)
+    passed = [f for f in both.schema.fields if f.name in carry]
+    schema = ", ".join(
+        ["ord bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_text string"]
+        + [f"`{f.name}` {f.dataType.simpleString()}" for f in passed]
+    )
 
     def run(batches):
         for batch in batches:
-            ids, texts, pos, n = batch.columns
+            ids, texts, pos, n, *rest = batch.columns
             total, removed, spans, kept = [], [], [], []
             for k, text in enumerate(texts):
                 raw = text.as_py().encode()
@@ -245,10 +255,11 @@ def dedup_bytes(docs: DataFrame, cap: int = 100, **options) -> DataFrame:
                     removed.append(0)
                     spans.append(0)
                 kept.append(raw)
+            whole = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(x, pa.int64()) for x in (total, removed, spans)), pa.array(kept, pa.binary())],
-                names=["ord", "n_bytes", "n_removed", "n_spans", "kept"],
+                [ids, *(pa.array(x, pa.int64()) for x in (total, removed, spans)), pa.array(kept, pa.binary()), whole, *rest],
+                names=["ord", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", *carry],
             )
 
-    left = both.mapInArrow(run, "ord bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    return left.select(F.nullif("ord", F.lit(LOWEST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    left = both.mapInArrow(run, schema)
+    return left.select(F.nullif("ord", F.lit(LOWEST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "kept_text", *carry)
