@@ -6,19 +6,602 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from runweave.functions import hashing, scalar
+from runweave.operators import bloom, policy, resolve, runs, stats, telemetry, workload
+from runweave.session import ship_code
+from runweave.sources import oplog
 
-def latest_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    last = events.groupBy(F.col("user_id").alias("key")).agg(F.max_by("event_type", "event_id").alias("value"))
-    return last.where("value <> 'error'")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
+#: Rows of the event log in one flushed run.
+RUN = 1000
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"latest_live": latest_live}
-ORACLES: dict[str, str] = {
-    "latest_live": """
-        SELECT key, value FROM (
-            SELECT user_id AS key, event_type AS value,
-                   row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events)
-        WHERE rn = 1 AND value <> 'error'""",
-}
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ship_code(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.from_events(_t(spark, sf_dir, "events"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flushed runs of the event log; every third run is of level 0, the next of level 1, then 2."""
+    r = runs.flush(_log(spark, sf_dir), RUN)
+    return r.withColumn("level", (F.col("run_id") % 3).cast("int"))
+
+
+LOG = "log AS (SELECT user_id AS key, event_id AS seq, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS op, event_type AS value FROM events)"
+LAST = f"WITH {LOG}, last AS (SELECT key, op, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1)"
+FLUSHED = f"""WITH {LOG}, runs AS (SELECT run_id, key, op, value, seq, CAST(run_id % 3 AS INTEGER) AS level FROM (
+    SELECT seq // {RUN} AS run_id, key, op, value, seq, row_number() OVER (PARTITION BY seq // {RUN}, key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1)"""
+META = f"""{FLUSHED}, meta AS (SELECT run_id, min(level) AS level, min(key) AS min_key, max(key) AS max_key, count(*) AS num_entries,
+    count(*) FILTER (WHERE op = 'DELETE') AS tombstones FROM runs GROUP BY run_id)"""
+
+
+def _newest(rows: str) -> str:
+    return f"SELECT key, op, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM {rows}) WHERE rn = 1"
+
+
+# --------------------------------------------------------------------------- reads
+
+
+@query(f"{LAST} SELECT key, value FROM last WHERE op = 'PUT'")
+def latest_live(spark, sf_dir):
+    return resolve.live(_log(spark, sf_dir))
+
+
+@query(f"{LAST} SELECT key, value FROM last WHERE op = 'PUT' AND key = 42")
+def point_get(spark, sf_dir):
+    return resolve.get(_log(spark, sf_dir), 42)
+
+
+@query(f"{LAST} SELECT k.key, l.value, l.key IS NOT NULL AS found FROM (SELECT range * 7 AS key FROM range(0, 100)) k LEFT JOIN (SELECT * FROM last WHERE op = 'PUT') l ON k.key = l.key")
+def multi_get(spark, sf_dir):
+    return resolve.get_many(_log(spark, sf_dir), spark.range(0, 100).select((F.col("id") * 7).alias("key")))
+
+
+@query(f"{LAST} SELECT key, value FROM last WHERE op = 'PUT' AND key BETWEEN 20 AND 80")
+def range_scan(spark, sf_dir):
+    return resolve.scan(_log(spark, sf_dir), 20, 80)
+
+
+@query(f"{LAST} SELECT s.range AS scan_id, l.key, l.value FROM range(0, 20) s JOIN last l ON l.op = 'PUT' AND l.key BETWEEN s.range * 5 AND s.range * 5 + 10")
+def multi_scan(spark, sf_dir):
+    ranges = spark.range(0, 20).select(F.col("id").alias("scan_id"), (F.col("id") * 5).alias("start"), (F.col("id") * 5 + 10).alias("end"))
+    return resolve.scan_many(_log(spark, sf_dir), ranges)
+
+
+@query(f"{LAST} SELECT key FROM last WHERE op = 'DELETE'")
+def tombstones(spark, sf_dir):
+    return resolve.deleted(_log(spark, sf_dir))
+
+
+@query("SELECT o_custkey AS key, arg_max(o_orderstatus, o_orderkey) AS value FROM orders GROUP BY o_custkey")
+def order_latest(spark, sf_dir):
+    return resolve.live(oplog.from_orders(_t(spark, sf_dir, "orders")))
+
+
+@query("SELECT o_custkey AS key, arg_max(o_orderstatus, o_orderkey) AS value FROM orders WHERE o_custkey BETWEEN 100 AND 600 GROUP BY o_custkey")
+def order_scan(spark, sf_dir):
+    return resolve.scan(oplog.from_orders(_t(spark, sf_dir, "orders")), 100, 600)
+
+
+@query("""SELECT key, value FROM (SELECT l_orderkey AS key, l_returnflag AS value, row_number() OVER (
+    PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM lineitem) WHERE rn = 1""")
+def line_latest(spark, sf_dir):
+    return resolve.live(oplog.from_lineitem(_t(spark, sf_dir, "lineitem")))
+
+
+@query(f"""WITH {LOG}, b AS (SELECT key, max(seq) AS base FROM log WHERE value <> 'click' GROUP BY key),
+    n AS (SELECT b.key, b.base, count(l.seq) AS n FROM b LEFT JOIN log l ON l.key = b.key AND l.value = 'click' AND l.seq > b.base GROUP BY b.key, b.base)
+    SELECT n.key, l.value || repeat('_u', CAST(n.n AS INTEGER)) AS value FROM n JOIN log l ON l.key = n.key AND l.seq = n.base WHERE l.op = 'PUT'""")
+def rmw_fold(spark, sf_dir):
+    return resolve.fold_rmw(_log(spark, sf_dir), F.col("value") == "click")
+
+
+@query("SELECT count(DISTINCT user_id) AS unique_keys, count(DISTINCT user_id) >= 100 AS is_full FROM events")
+def memtable_full(spark, sf_dir):
+    return resolve.memtable_full(_log(spark, sf_dir), 100)
+
+
+# --------------------------------------------------------------------------- runs
+
+
+@query(f"{FLUSHED} SELECT run_id, key, op, value, seq FROM runs")
+def flush_runs(spark, sf_dir):
+    return runs.flush(_log(spark, sf_dir), RUN)
+
+
+@query(f"{META} SELECT run_id, min_key, max_key, num_entries, tombstones FROM meta")
+def run_metadata(spark, sf_dir):
+    return runs.metadata(runs.flush(_log(spark, sf_dir), RUN))
+
+
+@query(f"{META} SELECT k.key, m.run_id FROM (SELECT range * 3 AS key FROM range(0, 80)) k JOIN meta m ON k.key BETWEEN m.min_key AND m.max_key")
+def zone_probe(spark, sf_dir):
+    meta = runs.metadata(_runs(spark, sf_dir))
+    return runs.zone_probe(meta, spark.range(0, 80).select((F.col("id") * 3).alias("key")))
+
+
+@query(f"{META} SELECT run_id, min_key, max_key FROM meta WHERE max_key >= 10 AND min_key <= 50")
+def zone_overlap(spark, sf_dir):
+    return runs.overlapping(runs.metadata(_runs(spark, sf_dir)), 10, 50).select("run_id", "min_key", "max_key")
+
+
+@query(f"""{META}, keys AS (SELECT range * 3 AS key FROM range(0, 80)), hit AS (SELECT r.key, max(run_id) AS found_run FROM runs r JOIN keys USING (key) GROUP BY r.key)
+    SELECT k.key, max(h.found_run) AS found_run, count(*) AS probes FROM keys k JOIN meta m ON k.key BETWEEN m.min_key AND m.max_key
+    LEFT JOIN hit h ON h.key = k.key WHERE h.found_run IS NULL OR m.run_id >= h.found_run GROUP BY k.key""")
+def probe_path(spark, sf_dir):
+    r = _runs(spark, sf_dir)
+    return runs.probe_path(r, runs.metadata(r), spark.range(0, 80).select((F.col("id") * 3).alias("key")))
+
+
+@query(f"""{FLUSHED} SELECT level, run_id, key, op, value, seq FROM runs WHERE level = 2 UNION ALL
+    SELECT 1, (SELECT max(run_id) FROM runs WHERE level <= 1), * FROM ({_newest('(SELECT * FROM runs WHERE level <= 1)')})""")
+def merge_level(spark, sf_dir):
+    return runs.compact_level(_runs(spark, sf_dir), 0)
+
+
+@query(f"""{FLUSHED} SELECT level, run_id, key, op, value, seq FROM runs WHERE level <> 0 UNION ALL
+    SELECT 1, (SELECT max(run_id) FROM runs WHERE level = 0), * FROM ({_newest('(SELECT * FROM runs WHERE level = 0)')})""")
+def merge_tier(spark, sf_dir):
+    return runs.compact_tier(_runs(spark, sf_dir), 0, 2)
+
+
+@query(f"{FLUSHED} SELECT level, run_id, key, op, value, seq FROM runs")
+def merge_tier_declined(spark, sf_dir):
+    return runs.compact_tier(_runs(spark, sf_dir), 0, 1_000_000)
+
+
+@query(f"""{FLUSHED} SELECT level, run_id, key, op, value, seq FROM runs WHERE level = 0 UNION ALL
+    SELECT 2, (SELECT max(run_id) FROM runs WHERE level >= 1), * FROM ({_newest('(SELECT * FROM runs WHERE level >= 1)')}) WHERE op <> 'DELETE'""")
+def merge_hybrid_last(spark, sf_dir):
+    return runs.compact_hybrid(_runs(spark, sf_dir), 1, 2, 2)
+
+
+@query(f"""{META}, chosen AS (SELECT run_id FROM meta WHERE max_key >= 10 AND min_key <= 50 AND level = 0)
+    SELECT level, run_id, key, op, value, seq FROM runs WHERE run_id NOT IN (SELECT run_id FROM chosen) UNION ALL
+    SELECT 1, (SELECT max(run_id) FROM chosen), * FROM ({_newest('(SELECT * FROM runs WHERE run_id IN (SELECT run_id FROM chosen))')})""")
+def merge_subrange(spark, sf_dir):
+    r = _runs(spark, sf_dir)
+    return runs.compact_range(r, runs.metadata(r), 0, 10, 50)
+
+
+@query(f"{FLUSHED} SELECT * FROM ({_newest('runs')}) WHERE op <> 'DELETE'")
+def tombstone_gc(spark, sf_dir):
+    return runs.merge(_runs(spark, sf_dir), bottom=True)
+
+
+@query(f"""{META} SELECT level, sum(num_entries)::BIGINT AS entries, count(*) AS runs,
+    sum(num_entries) > 100 * (level + 1) * 4 OR count(*) > 4 AS is_full FROM meta GROUP BY level""")
+def level_full(spark, sf_dir):
+    return runs.level_full(runs.metadata(_runs(spark, sf_dir), "level", "run_id"), 100, "HYBRID")
+
+
+@query("SELECT * FROM (VALUES ('LEVELING', 2, 3), ('HYBRID', 4, 4), ('TIERING', 8, 8)) v(strategy, max_runs, multiplier)")
+def level_params(spark, sf_dir):
+    return spark.createDataFrame(runs.STRATEGIES, "strategy string, max_runs int, multiplier int")
+
+
+@query(f"{META} SELECT sum(num_entries)::BIGINT AS physical_keys FROM meta")
+def physical_keys(spark, sf_dir):
+    return runs.physical_keys(runs.metadata(_runs(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------- hashes and filters
+
+_TWO64 = "18446744073709551616"
+
+
+def _h(x: str, salt: int = 0) -> str:
+    """DuckDB text of the 64-bit hash of an UBIGINT expression."""
+    a = f"xor({x}, {salt}::UBIGINT)" if salt else x
+    for shift, c in ((30, hashing.MULTIPLY_1), (27, hashing.MULTIPLY_2)):
+        a = f"((xor({a}, {a} >> {shift})::UHUGEINT * {c}::UHUGEINT) % {_TWO64}::UHUGEINT)::UBIGINT"
+    return f"xor({a}, {a} >> 31)"
+
+
+KEYS = "keys AS (SELECT DISTINCT user_id AS key FROM events)"
+
+
+@query(f"WITH {KEYS} SELECT key, CAST({_h('key::UBIGINT')} AS VARCHAR) AS h, CAST({_h('key::UBIGINT', hashing.SALT_B)} AS VARCHAR) AS hb FROM keys")
+def hash_keys(spark, sf_dir):
+    d = hashing.with_hash64b(hashing.with_hash64(_log(spark, sf_dir).select("key").distinct(), "key", "h"), "key", "hb")
+    return d.select("key", hashing.unsigned_text(F.col("h")).alias("h"), hashing.unsigned_text(F.col("hb")).alias("hb"))
+
+
+@query(f"""WITH {KEYS} SELECT key, CAST((({_h('key::UBIGINT')})::UHUGEINT + 3::UHUGEINT * ({_h('key::UBIGINT', hashing.SALT_B)})::UHUGEINT) % {_TWO64}::UHUGEINT AS VARCHAR) AS h3 FROM keys""")
+def nth_hash(spark, sf_dir):
+    d = hashing.with_hash64b(hashing.with_hash64(_log(spark, sf_dir).select("key").distinct(), "key", "h"), "key", "hb")
+    return d.select("key", hashing.unsigned_text(hashing.nth_hash(F.col("h"), F.col("hb"), 3)).alias("h3"))
+
+
+@query(f"WITH {KEYS} SELECT ({_h('key::UBIGINT')} % 32)::BIGINT AS part, count(*) AS keys FROM keys GROUP BY 1")
+def hash_partition(spark, sf_dir):
+    d = hashing.with_hash64(_log(spark, sf_dir).select("key").distinct(), "key", "h")
+    return d.groupBy(hashing.partition_of(F.col("h")).alias("part")).agg(F.count("*").alias("keys"))
+
+
+def _probe_sql(keys: str, blocks: int, k: int) -> str:
+    return f"""SELECT key, ({_h('key::UBIGINT')} % {blocks})::BIGINT AS block, i.range AS i,
+        ((({_h('key::UBIGINT', hashing.SALT_B)} % 512)::BIGINT + i.range * (({_h('key::UBIGINT', hashing.SALT_STEP)} | 1) % 512)::BIGINT) % 512)::BIGINT AS bit
+        FROM {keys}, range(0, {k}) i"""
+
+
+@query(f"WITH {KEYS} SELECT key, block, bit FROM ({_probe_sql('keys', 5, 10)})")
+def bloom_probe(spark, sf_dir):
+    p = bloom.probes(_log(spark, sf_dir).select("key").distinct(), 5, 10)
+    return p.select("key", "block", F.explode("bits").alias("bit"))
+
+
+_MEMBERS = f"{KEYS}, probes AS (SELECT range AS key FROM range(0, 4000)), have AS (SELECT DISTINCT block, bit FROM ({_probe_sql('keys', 5, 10)}))"
+_TESTED = f"tested AS (SELECT p.key, count(h.bit) = count(*) AS maybe FROM ({_probe_sql('probes', 5, 10)}) p LEFT JOIN have h ON h.block = p.block AND h.bit = p.bit GROUP BY p.key)"
+
+
+@query(f"WITH {_MEMBERS} SELECT block, count(*) AS bits_set FROM have GROUP BY block")
+def bloom_build(spark, sf_dir):
+    f = bloom.build(_log(spark, sf_dir).select("key").distinct(), 5, 10)
+    return bloom.deserialize(bloom.serialize(f)).select("block", F.size("have").cast("bigint").alias("bits_set"))
+
+
+@query(f"WITH {_MEMBERS}, {_TESTED} SELECT key, maybe FROM tested")
+def bloom_test(spark, sf_dir):
+    f = bloom.build(_log(spark, sf_dir).select("key").distinct(), 5, 10)
+    return bloom.test(f, spark.range(0, 4000).select(F.col("id").alias("key")), 5, 10)
+
+
+@query(f"""WITH {_MEMBERS}, {_TESTED} SELECT count(*) FILTER (WHERE maybe AND k.key IS NULL) AS false_positives, count(*) FILTER (WHERE NOT maybe AND k.key IS NOT NULL) AS false_negatives,
+    round(count(*) FILTER (WHERE maybe AND k.key IS NULL)::DOUBLE / count(*), 6) AS rate FROM tested t LEFT JOIN keys k ON k.key = t.key""")
+def bloom_observed_fpr(spark, sf_dir):
+    keys = _log(spark, sf_dir).select("key").distinct()
+    t = bloom.test(bloom.build(keys, 5, 10), spark.range(0, 4000).select(F.col("id").alias("key")), 5, 10)
+    t = t.join(keys.withColumn("member", F.lit(True)), "key", "left")
+    fp = F.count_if(F.col("maybe") & F.col("member").isNull())
+    return t.agg(
+        fp.alias("false_positives"), F.count_if(~F.col("maybe") & F.col("member")).alias("false_negatives"),
+        F.round(telemetry.observed_fpr(fp, F.count("*")), 6).alias("rate"),
+    )
+
+
+@query("SELECT range AS bits_per_key, CAST(least(greatest(floor(0.693147 * range + 0.5), 1), 20) AS INTEGER) AS k FROM range(0, 41)")
+def bloom_k(spark, sf_dir):
+    return spark.range(0, 41).select(F.col("id").alias("bits_per_key"), scalar.bloom_k(F.col("id")).alias("k"))
+
+
+@query(f"""{META} SELECT run_id, num_entries, round(pow(1 - exp(-10.0::DOUBLE * num_entries / (ceil(num_entries * 14 / 512.0) * 512)), 10), 9) AS fpr FROM meta""")
+def bloom_theory(spark, sf_dir):
+    m = runs.metadata(_runs(spark, sf_dir))
+    bits = F.ceil(F.col("num_entries") * 14 / 512) * 512
+    return m.select("run_id", "num_entries", F.round(bloom.false_positive_rate(F.lit(10.0), F.col("num_entries"), bits), 9).alias("fpr"))
+
+
+def _levels(spark, sf_dir):
+    return _runs(spark, sf_dir).groupBy("level").agg(F.count("*").alias("entries"))
+
+
+_LEVELS = f"{FLUSHED}, lv AS (SELECT level, count(*) AS entries FROM runs GROUP BY level)"
+
+
+def _alloc_sql(weight: str, budget: int) -> str:
+    return f"""w AS (SELECT level, entries, {weight} AS w FROM lv), i AS (SELECT *, ({budget} // 512 - count(*) OVER ()) AS rest, ({budget} // 512 - count(*) OVER ()) * (w / sum(w) OVER ()) AS ideal FROM w),
+    e AS (SELECT *, floor(ideal)::BIGINT AS extra FROM i), r AS (SELECT *, rest - sum(extra) OVER () AS spare, row_number() OVER (ORDER BY ideal - extra DESC, level) AS turn FROM e)
+    SELECT level, entries, (1 + extra + CASE WHEN turn <= spare THEN 1 ELSE 0 END)::BIGINT AS blocks, ((1 + extra + CASE WHEN turn <= spare THEN 1 ELSE 0 END) * 512)::BIGINT AS bits FROM r"""
+
+
+@query(f"{_LEVELS}, {_alloc_sql('entries::DOUBLE / sum(entries) OVER () * (1 + 0.1::DOUBLE * level)', 100_000)}")
+def alloc_weighted(spark, sf_dir):
+    return bloom.allocate(_levels(spark, sf_dir), 100_000)
+
+
+@query(f"""{_LEVELS}, {_alloc_sql('entries::DOUBLE / sum(entries) OVER () * (1 + 0.1::DOUBLE * level) * (1 + 0.1::DOUBLE * ((level + 1) / 6.0::DOUBLE))', 200_000)}""")
+def alloc_frequency(spark, sf_dir):
+    accesses = spark.range(3).select(F.col("id").cast("int").alias("level"), (F.col("id") + 1).alias("n"))
+    return bloom.allocate(bloom.heat_factor(_levels(spark, sf_dir), accesses), 200_000).drop("heat")
+
+
+@query(f"{_LEVELS} SELECT level, entries, least(greatest(512, entries * 14), 20000)::BIGINT AS bits, ceil(least(greatest(512, entries * 14), 20000) / 512.0)::BIGINT AS blocks FROM lv")
+def alloc_uniform(spark, sf_dir):
+    return bloom.allocate_uniform(_levels(spark, sf_dir), 14, 20_000)
+
+
+# --------------------------------------------------------------------------- telemetry
+
+
+@query("SELECT event_id // 1000 AS \"window\", user_id AS key, count(*) AS n FROM events GROUP BY 1, 2")
+def heat_window(spark, sf_dir):
+    return bloom.heat_windows(_log(spark, sf_dir), "seq", 1000)
+
+
+@query("""WITH c AS (SELECT user_id, count(*) AS x FROM (SELECT user_id FROM events ORDER BY event_id DESC LIMIT 2048) GROUP BY 1),
+    r AS (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM c)
+    SELECT round(sum((2 * i - n - 1) * x)::DOUBLE / (max(n) * sum(x)), 9) AS gini FROM r""")
+def gini_tail(spark, sf_dir):
+    return telemetry.gini(telemetry.last_accesses(_log(spark, sf_dir), "seq")).select(F.round("gini", 9).alias("gini"))
+
+
+@query("SELECT user_id AS key, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, key LIMIT 10")
+def hot_keys(spark, sf_dir):
+    return telemetry.hot_keys(_log(spark, sf_dir), 10)
+
+
+def _daily(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(
+        F.sum("value").alias("velocity"), F.count("*").alias("rows"), F.count_if(F.col("event_type") == "error").alias("errors")
+    )
+    return e.withColumn("i", F.row_number().over(W.orderBy("day")).cast("bigint"))  # a row a day
+
+
+DAILY = """daily AS (SELECT row_number() OVER (ORDER BY day) AS i, velocity, rows, errors FROM (SELECT CAST(ts AS DATE) AS day, sum(value) AS velocity, count(*) AS rows,
+    count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1))"""
+
+
+@query(f"""WITH RECURSIVE {DAILY}, v(i, v) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION ALL SELECT d.i, 0.3 * d.velocity + 0.7 * v.v FROM v JOIN daily d ON d.i = v.i + 1)
+    SELECT 'all' AS stream, round(v, 6) AS velocity FROM v WHERE i = (SELECT max(i) FROM daily)""")
+def ewma_velocity(spark, sf_dir):
+    d = _daily(spark, sf_dir).select(F.lit("all").alias("stream"), "i", "velocity", F.lit(1.0).alias("dt"))
+    return telemetry.ewma(d, "stream", "i", "velocity", "dt").select("stream", F.round("velocity", 6).alias("velocity"))
+
+
+NS = "CAST(round(value * 1000) AS BIGINT)"
+
+
+@query(f"SELECT CASE WHEN {NS} // 100 <= 0 THEN 0 ELSE least(length(bin({NS} // 100)), 255) END::INTEGER AS bucket, count(*) AS n FROM events GROUP BY 1")
+def latency_hist(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("ns", F.round(F.col("value") * 1000).cast("bigint"))
+    return telemetry.latency_histogram(e, "ns")
+
+
+@query(f"""WITH h AS (SELECT CASE WHEN {NS} // 100 <= 0 THEN 0 ELSE least(length(bin({NS} // 100)), 255) END AS b, count(*) AS n FROM events GROUP BY 1),
+    c AS (SELECT b, sum(n) OVER (ORDER BY b) AS reached, sum(n) OVER () AS total FROM h), p AS (SELECT unnest([50.0, 99.0, 99.9])::DOUBLE AS percent)
+    SELECT percent, (CASE WHEN min(b) = 0 THEN 100 ELSE pow(2, min(b) - 1) * 100 END)::BIGINT AS ns FROM p JOIN c ON reached >= floor(percent / 100 * total) GROUP BY percent""")
+def latency_percentile(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("ns", F.round(F.col("value") * 1000).cast("bigint"))
+    return telemetry.latency_percentiles(telemetry.latency_histogram(e, "ns"), [50.0, 99.0, 99.9])
+
+
+@query("""WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+    p AS (SELECT unnest([50.0, 99.0])::DOUBLE AS percent) SELECT event_type, percent, value FROM s, p WHERE i = least(floor(percent / 100 * n), n - 1)""")
+def exact_percentile(spark, sf_dir):
+    return telemetry.exact_percentiles(_t(spark, sf_dir, "events"), "value", [50.0, 99.0], "event_type")
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY 1")
+def latency_mean(spark, sf_dir):
+    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
+
+
+@query(f"""{FLUSHED}, l AS (SELECT sum(12 + length(value)) AS logical, sum(13 + length(value)) AS wal FROM log), s AS (SELECT sum(13 + length(value)) AS sst FROM runs)
+    SELECT logical::BIGINT AS logical, wal::BIGINT AS wal, sst::BIGINT AS sst, round((wal + sst)::DOUBLE / logical, 9) AS waf FROM l, s""")
+def waf_parts(spark, sf_dir):
+    log, size = _log(spark, sf_dir), F.octet_length("value")
+    a = log.agg(F.sum(12 + size).alias("logical"), F.sum(oplog.RECORD_BYTES + size).alias("wal"))
+    b = runs.flush(log, RUN).agg(F.sum(oplog.RECORD_BYTES + size).alias("sst"))
+    return a.crossJoin(b).withColumn("waf", F.round(telemetry.write_amplification(F.col("wal"), F.col("sst"), F.col("logical")), 9))  # one row each
+
+
+@query(f"{FLUSHED}, last AS ({_newest('log')}) SELECT (SELECT count(*) FROM runs) AS physical, (SELECT count(*) FROM last WHERE op = 'PUT') AS live, round((SELECT count(*) FROM runs)::DOUBLE / (SELECT count(*) FROM last WHERE op = 'PUT'), 9) AS saf")
+def space_ratio(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    a = runs.flush(log, RUN).agg(F.count("*").alias("physical"))
+    b = resolve.live(log).agg(F.count("*").alias("live"))
+    return a.crossJoin(b).withColumn("saf", F.round(telemetry.space_amplification(F.col("physical"), F.col("live")), 9))  # one row each
+
+
+@query(f"""{META}, keys AS (SELECT range * 3 AS key FROM range(0, 80)), hit AS (SELECT r.key, max(run_id) AS found_run FROM runs r JOIN keys USING (key) GROUP BY r.key),
+    p AS (SELECT count(*) AS probes FROM keys k JOIN meta m ON k.key BETWEEN m.min_key AND m.max_key LEFT JOIN hit h ON h.key = k.key WHERE h.found_run IS NULL OR m.run_id >= h.found_run)
+    SELECT probes AS candidate_run_probes, round(probes / 80.0::DOUBLE, 9) AS raf FROM p""")
+def read_ratio(spark, sf_dir):
+    total = probe_path(spark, sf_dir).agg(F.coalesce(F.sum("probes"), F.lit(0)).alias("candidate_run_probes"))
+    return total.withColumn("raf", F.round(telemetry.read_amplification(F.col("candidate_run_probes"), F.lit(80.0)), 9))
+
+
+# --------------------------------------------------------------------------- policy
+
+
+def _signals(spark, sf_dir):
+    return _daily(spark, sf_dir).select("i", "velocity", (F.col("errors") / F.col("rows")).alias("skew"), (F.col("rows") % 2 == 0).alias("any_full"))
+
+
+def _middle(spark, sf_dir, share: float) -> float:
+    """The mean daily velocity: a threshold that both sides of the comparison meet."""
+    return _daily(spark, sf_dir).agg(F.avg("velocity")).first()[0] * share
+
+
+FSM = f"""WITH RECURSIVE {DAILY}, s AS (SELECT i, velocity > (SELECT avg(velocity) FROM daily) AS fast, errors::DOUBLE / rows > (SELECT avg(errors::DOUBLE / rows) FROM daily) AS skewed, rows % 2 = 0 AS full FROM daily),
+    f(i, prev, state, cool_before, cool, transition, reason) AS (
+        SELECT 0::BIGINT, 'HYBRID'::VARCHAR, 'HYBRID'::VARCHAR, 0::INTEGER, 0::INTEGER, false, ''::VARCHAR UNION ALL
+        SELECT s.i, f.state, CASE WHEN f.cool > 0 THEN f.state WHEN s.fast AND s.full THEN 'TIERING' WHEN s.skewed THEN 'LEVELING' ELSE 'HYBRID' END, f.cool,
+            CASE WHEN f.cool > 0 THEN f.cool - 1 WHEN f.state <> (CASE WHEN s.fast AND s.full THEN 'TIERING' WHEN s.skewed THEN 'LEVELING' ELSE 'HYBRID' END) THEN 2 ELSE 0 END,
+            f.cool = 0 AND f.state <> (CASE WHEN s.fast AND s.full THEN 'TIERING' WHEN s.skewed THEN 'LEVELING' ELSE 'HYBRID' END),
+            CASE WHEN f.cool > 0 THEN 'cooldown=' || f.cool WHEN s.fast AND s.full THEN 'velocity+saturation' WHEN s.skewed THEN 'high_skew' ELSE 'default' END
+        FROM f JOIN s ON s.i = f.i + 1)"""
+
+
+def _decisions(spark, sf_dir):
+    s = _signals(spark, sf_dir)
+    skew = s.agg(F.avg("skew")).first()[0]
+    s = s.withColumn("tau", F.lit(_middle(spark, sf_dir, 1.0))).withColumn("skew_limit", F.lit(skew)).withColumn("hysteresis", F.lit(2)).withColumn("stream", F.lit("all"))
+    return policy.trace(s, "stream").drop("stream")
+
+
+@query(f"{FSM} SELECT i, prev AS prev_strategy, state AS new_strategy, cool_before AS cooldown, transition, reason FROM f WHERE i > 0")
+def policy_trace(spark, sf_dir):
+    return _decisions(spark, sf_dir).select("i", "prev_strategy", "new_strategy", "cooldown", "transition", "reason")
+
+
+@query(f"{FSM} SELECT i, prev AS prev_strategy, state AS new_strategy FROM f WHERE i > 0 AND transition")
+def policy_switches(spark, sf_dir):
+    return policy.switches(_decisions(spark, sf_dir)).select("i", "prev_strategy", "new_strategy")
+
+
+@query(f"{FSM} SELECT i, state AS new_strategy, reason FROM f ORDER BY i DESC LIMIT 1")
+def policy_last(spark, sf_dir):
+    return policy.last_decision(_decisions(spark, sf_dir)).select("i", "new_strategy", "reason")
+
+
+@query(f"""WITH RECURSIVE {DAILY}, p AS (SELECT t.range AS t, h.range AS h FROM range(1, 5) t, range(0, 4) h),
+    s AS (SELECT p.t, p.h, i, velocity > (SELECT avg(velocity) FROM daily) * p.t * 0.4::DOUBLE AS fast, errors::DOUBLE / rows > 0.2 AS skewed, rows % 2 = 0 AS full FROM daily, p),
+    f(t, h, i, state, cool, transition) AS (SELECT t, h, 0::BIGINT, 'HYBRID'::VARCHAR, 0::BIGINT, false FROM p UNION ALL
+        SELECT s.t, s.h, s.i, CASE WHEN f.cool > 0 THEN f.state WHEN s.fast AND s.full THEN 'TIERING' WHEN s.skewed THEN 'LEVELING' ELSE 'HYBRID' END,
+            CASE WHEN f.cool > 0 THEN f.cool - 1 WHEN f.state <> (CASE WHEN s.fast AND s.full THEN 'TIERING' WHEN s.skewed THEN 'LEVELING' ELSE 'HYBRID' END) THEN s.h ELSE 0 END,
+            f.cool = 0 AND f.state <> (CASE WHEN s.fast AND s.full THEN 'TIERING' WHEN s.skewed THEN 'LEVELING' ELSE 'HYBRID' END)
+        FROM f JOIN s ON s.i = f.i + 1 AND s.t = f.t AND s.h = f.h)
+    SELECT t AS tau_step, h AS hysteresis, count(*) FILTER (WHERE transition) AS switches FROM f GROUP BY t, h""")
+def policy_sweep(spark, sf_dir):
+    mean = _middle(spark, sf_dir, 1.0)
+    taus = [mean * t * 0.4 for t in range(1, 5)]
+    d = policy.sweep(_signals(spark, sf_dir), taus, [0, 1, 2, 3], 0.2)
+    step = F.array_position(F.array(*[F.lit(t) for t in taus]), F.col("tau"))
+    return d.select(step.alias("tau_step"), F.col("hysteresis").cast("bigint").alias("hysteresis"), "switches")
+
+
+# --------------------------------------------------------------------------- log
+
+
+@query(f"WITH {LOG} SELECT seq // 64 AS batch, count(*) AS records, sum(13 + length(value))::BIGINT AS bytes FROM log GROUP BY 1")
+def group_commit(spark, sf_dir):
+    return oplog.group_commits(_log(spark, sf_dir), 64)
+
+
+@query(f"WITH {LOG} SELECT key, seq, op, value FROM log WHERE seq > 9000")
+def wal_tail(spark, sf_dir):
+    return oplog.tail(_log(spark, sf_dir), 9000)
+
+
+@query(f"WITH {LOG} SELECT sum(13 + length(value))::BIGINT AS bytes, count(DISTINCT seq // 64) AS commits, count(*) AS records FROM log")
+def wal_totals(spark, sf_dir):
+    return oplog.totals(_log(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- workloads
+
+
+_MIX_SQL = "(VALUES " + ", ".join(str(m) for m in workload.MIXES) + ') v(name, theta, read, "update", "insert", scan, "delete")'
+
+
+@query(f"""SELECT name, theta::DOUBLE AS theta, s.n AS num_ops, s.n // 2 AS record_count, greatest(1000000, s.n * 2) AS key_space,
+    round((1 - read - "update" - "insert" - scan - "delete")::DOUBLE, 6) AS rmw FROM {_MIX_SQL}, (SELECT unnest([{', '.join(map(str, workload.SCALES))}])::BIGINT AS n) s""")
+def workload_mix(spark, sf_dir):
+    return workload.configs(ship_code(spark)).select("name", "theta", "num_ops", "record_count", "key_space", F.abs(F.round("rmw", 6)).alias("rmw"))
+
+
+@query("SELECT theta, round(sum(1 / pow(i.range, theta)), 6) AS zeta FROM range(1, 10001) i, (SELECT unnest([0.5, 0.8, 0.9, 0.99])::DOUBLE AS theta) GROUP BY theta")
+def zipf_mass(spark, sf_dir):
+    d = spark.range(1, 10001).withColumn("theta", F.explode(F.array(*[F.lit(x) for x in (0.5, 0.8, 0.9, 0.99)])))
+    return d.groupBy("theta").agg(F.round(F.sum(1 / F.pow(F.col("id"), F.col("theta"))), 6).alias("zeta"))
+
+
+@query()
+def workload_generate(spark, sf_dir):
+    return workload.generate(ship_code(spark), "RSW", 100_000)
+
+
+@query()
+def workload_load(spark, sf_dir):
+    return workload.load(ship_code(spark), 100_000)
+
+
+# --------------------------------------------------------------------------- statistics
+
+
+@query("SELECT l_returnflag, l_linestatus, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(coalesce(stddev_samp(l_quantity), 0), 6) AS sd FROM lineitem GROUP BY 1, 2")
+def mean_sd(spark, sf_dir):
+    d = stats.mean_sd(_t(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag", "l_linestatus")
+    return d.select("l_returnflag", "l_linestatus", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+def _sides(spark, sf_dir):
+    """Mean quantity per ship mode half and line number: 7 matched pairs a return flag."""
+    d = _t(spark, sf_dir, "lineitem").where("l_linenumber <= 7").withColumn("side", F.when(F.col("l_suppkey") % 2 == 0, 1).otherwise(2))
+    g = d.groupBy("l_returnflag", "l_linenumber", "side").agg(F.avg("l_quantity").alias("value"))
+    return stats.pair(g.where("side = 1"), g.where("side = 2"), "l_returnflag", "l_linenumber")
+
+
+_SIDES = """p AS (SELECT l_returnflag, l_linenumber, avg(l_quantity) FILTER (WHERE l_suppkey % 2 = 0) AS a, avg(l_quantity) FILTER (WHERE l_suppkey % 2 <> 0) AS b
+    FROM lineitem WHERE l_linenumber <= 7 GROUP BY 1, 2), g AS (SELECT l_returnflag, count(*) AS n, avg(a - b) AS m, stddev_samp(a - b) AS sd FROM p GROUP BY 1)"""
+_TCRIT = "[" + ", ".join(map(str, scalar.T_CRITICAL)) + "]"
+
+
+@query(f"WITH {_SIDES} SELECT l_returnflag, n, round(m, 6) AS mean_diff, round(sd, 6) AS sd_diff, round(m / (sd / sqrt(n)), 4) AS t FROM g")
+def paired_diff(spark, sf_dir):
+    d = stats.paired(_sides(spark, sf_dir), "l_returnflag")
+    return d.select("l_returnflag", "n", F.round("mean_diff", 6).alias("mean_diff"), F.round("sd_diff", 6).alias("sd_diff"), F.round("t", 4).alias("t"))
+
+
+@query(f"WITH {_SIDES} SELECT l_returnflag, round(m - {_TCRIT}[n - 1] * sd / sqrt(n), 5) AS ci_low, round(m + {_TCRIT}[n - 1] * sd / sqrt(n), 5) AS ci_high FROM g")
+def ci95(spark, sf_dir):
+    d = stats.paired(_sides(spark, sf_dir), "l_returnflag")
+    return d.select("l_returnflag", F.round("ci_low", 5).alias("ci_low"), F.round("ci_high", 5).alias("ci_high"))
+
+
+@query()
+def t_p_value(spark, sf_dir):
+    return stats.paired_p(_sides(spark, sf_dir), "l_returnflag")
+
+
+_RANKS = """x AS (SELECT l_returnflag, l_quantity AS v, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS side FROM lineitem),
+    r AS (SELECT l_returnflag, side, rank() OVER (PARTITION BY l_returnflag ORDER BY v) + (count(*) OVER (PARTITION BY l_returnflag, v) - 1) / 2.0::DOUBLE AS rk FROM x),
+    s AS (SELECT l_returnflag, count(*) FILTER (WHERE side = 1) AS n1, count(*) FILTER (WHERE side = 2) AS n2, coalesce(sum(rk) FILTER (WHERE side = 1), 0) AS r1 FROM r GROUP BY 1)"""
+
+
+@query(f"WITH {_RANKS} SELECT l_returnflag, n1, n2, round(least(r1 - n1 * (n1 + 1) / 2.0::DOUBLE, n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0::DOUBLE)), 3) AS u FROM s")
+def rank_sum(spark, sf_dir):
+    d = _t(spark, sf_dir, "lineitem").withColumn("side", F.when(F.col("l_linestatus") == "O", 1).otherwise(2))
+    return stats.rank_sums(d, "l_quantity", "side", "l_returnflag").select("l_returnflag", "n1", "n2", F.round(F.col("u").cast("double"), 3).alias("u"))
+
+
+@query()
+def rank_sum_p(spark, sf_dir):
+    d = _t(spark, sf_dir, "lineitem").withColumn("side", F.when(F.col("l_linestatus") == "O", 1).otherwise(2))
+    return stats.rank_sum_p(d, "l_quantity", "side", "l_returnflag")
+
+
+@query("""SELECT l_returnflag, count(*) FILTER (WHERE abs(l_extendedprice - m) > 2 * sd) AS outliers, count(*) AS n FROM (SELECT l_returnflag, l_extendedprice,
+    avg(l_extendedprice) OVER (PARTITION BY l_returnflag) AS m, stddev_samp(l_extendedprice) OVER (PARTITION BY l_returnflag) AS sd FROM lineitem) GROUP BY 1""")
+def outliers(spark, sf_dir):
+    d = stats.outliers(_t(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice"), "l_extendedprice", "l_returnflag")
+    return d.groupBy("l_returnflag").agg(F.count_if("outlier").alias("outliers"), F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def ablation_cube(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("SELECT n.range AS n, CASE WHEN n.range >= 1000000 THEN (n.range // 1000000) || 'M' WHEN n.range >= 1000 THEN (n.range // 1000) || 'K' ELSE n.range::VARCHAR END AS label FROM range(0, 20000000, 250500) n")
+def scale_labels(spark, sf_dir):
+    return spark.range(0, 20_000_000, 250_500).select(F.col("id").alias("n"), scalar.scale_label(F.col("id")).alias("label"))
+
+
+# --------------------------------------------------------------------------- streaming
+
+
+@query(f"{LAST} SELECT key, value FROM last WHERE op = 'PUT'")
+def stream_latest(spark, sf_dir):
+    """The event log as a file stream, flushed batch by batch, then resolved."""
+    import tempfile
+    import uuid
+
+    from runweave.streaming import latest
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="runweave-")
+    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = _t(spark, sf_dir, "events").schema
+    # a single file is listed by its folder and name
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    latest.start(oplog.from_events(source), root).awaitTermination()
+    return latest.state(spark, root)

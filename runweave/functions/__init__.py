@@ -1 +1 @@
-
+"""Scalar and hash functions."""

@@ -1 +1 @@
-
+"""Set-oriented operators over versioned key-value data."""

@@ -1 +1 @@
-
+"""Maintenance plans made of several operators."""

@@ -1 +1 @@
-
+"""Structured Streaming: the same state, kept incrementally."""
