@@ -11,15 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runweave.llm import mixing, packing, simhash, suffix, toxicity
-from runweave.llm.common import new_path
-from runweave.session import ship_code
+from runweave.llm.common import new_path, prepare
 
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below one half; learnt from the labels outside the held-out fifth."""
-    ship_code(spark)
+    prepare(spark)
     labels = toxicity.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs.select(*_COLUMNS), labels).where("toxicity < 0.5").drop("toxicity")
 
@@ -29,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat the kept doc_id are copies too: one of them stays.
     """
-    ship_code(spark)
+    prepare(spark)
     classes = simhash.near_duplicates(docs, width=5, tau=7)
     first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
@@ -38,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 100-byte strings that start earlier; parts of characters at a cut go too."""
-    ship_code(spark)
+    prepare(spark)
     left = suffix.dedup_bytes(docs.select(*_COLUMNS), carry=["lang", "source"])
     return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("bigint").alias("n_chars"))
 
@@ -50,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bin and offset of every piece of every document."""
-    ship_code(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 
@@ -67,7 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_code(spark)
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         path = new_path(spark, f"pipeline-{k}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runweave.session import ship_code
+
 #: The separators between words: ASCII space, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -18,6 +21,12 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Readies a session: workers find the code, and Arrow batches of texts stay small in JVM and Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return ship_code(spark)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,6 +53,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more, before the next large shuffle."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -74,6 +89,28 @@ def chunks(offs: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches joined to about limit bytes of text each, so that repeats within a task meet."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(text_at).nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(len(b) for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    pa.default_memory_pool().release_unused()
+
+
+def pieces(batch: pa.RecordBatch, text_at: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most limit bytes of text (a longer row alone)."""
+    _, offs = buffer(batch.column(text_at))
+    for i, j in chunks(offs, limit):
+        yield batch.slice(i, j - i)
+
+
 def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and how many words come before each row (length rows + 1)."""
     inside = np.zeros(len(data) + 1, bool)

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runweave.llm import chat, fingerprint, mixing, packing, quality, simhash, substring, suffix, toxicity, warc
-from runweave.llm.common import new_path, table
-from runweave.session import ship_code
+from runweave.llm.common import new_path, prepare, table
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship_code(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.common import buffer, chunks, parts, span_hash, window_hash, word_bounds
+from runweave.llm.common import buffer, chunks, gathered, parts, pieces, release, span_hash, table, window_hash, word_bounds
 from runweave.llm.countmin import log_width_for, repeated, sketch_of
 from runweave.llm.windows import covered, ranges, runs, sliding_min
 
@@ -54,7 +54,7 @@ def identified(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     )
 
 
-def removed_runs(d: DataFrame, width: int = 20, most_cells: int = 1 << 29) -> DataFrame:
+def removed_runs(d: DataFrame, width: int = 20, most_cells: int = 1 << 28) -> DataFrame:
     """(ord, sub, gone): runs of removed windows (first word, number) of the documents identified()."""
     spark = d.sparkSession
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -67,10 +67,12 @@ def removed_runs(d: DataFrame, width: int = 20, most_cells: int = 1 << 29) -> Da
             if found is not None:
                 yield found[4]
 
+    # one bit a cell: at most most_cells / 4 bytes, whatever the input's size
     bits = spark.sparkContext.broadcast(sketch_of(d.select("text"), hashes, log_width)[0])
+    release(spark)
 
     def candidates(batches):
-        for batch in batches:
+        for batch in gathered(batches, 2):
             ids, subs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, offs = buffer(batch.column(2))
             held = []
@@ -97,11 +99,14 @@ def removed_runs(d: DataFrame, width: int = 20, most_cells: int = 1 << 29) -> Da
             wide = np.zeros(len(pos), np.dtype([("one", "<u8"), ("two", "<u4")]))
             wide["one"], wide["two"] = one, (two & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             keys = np.where(later[s], sub[s].view(np.uint64), least[s]).view(np.int64)
-            payload = [b"" if gone else wide[a : a + b].tobytes() for a, b, gone in zip(s.tolist(), n.tolist(), later[s].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(doc[s]), pa.array(sub[s]), pa.array(pos[s].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(payload, pa.binary())],
-                names=["key", "ord", "sub", "pos", "n", "hashes"],
-            )
+            gone = later[s]
+            for i in range(0, len(s), 20000):
+                x = slice(i, i + 20000)
+                payload = [b"" if g else wide[a : a + b].tobytes() for a, b, g in zip(s[x].tolist(), n[x].tolist(), gone[x].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[x]), pa.array(doc[s[x]]), pa.array(sub[s[x]]), pa.array(pos[s[x]].astype(np.int32)), pa.array(n[x].astype(np.int32)), pa.array(payload, pa.binary())],
+                    names=["key", "ord", "sub", "pos", "n", "hashes"],
+                )
 
     found = d.mapInArrow(candidates, "key bigint, ord bigint, sub bigint, pos int, n int, hashes binary")
     met = found.repartition(parts(spark), "key").sortWithinPartitions("key")
@@ -121,7 +126,9 @@ def removed_runs(d: DataFrame, width: int = 20, most_cells: int = 1 << 29) -> Da
             yield from _later(rest)
 
     marked = met.mapInArrow(later_ones, "ord bigint, sub bigint, pos int, n int")
-    return marked.groupBy("ord", "sub").agg(F.collect_list(F.struct("pos", "n")).alias("gone"))
+    gone = table(marked.groupBy("ord", "sub").agg(F.collect_list(F.struct("pos", "n")).alias("gone")), "substring-runs")
+    bits.destroy()
+    return gone
 
 
 def not_first(doc: np.ndarray, sub: np.ndarray, pos: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -154,14 +161,15 @@ def _later(t: pa.Table):
         )
 
 
-def dedup_words(docs: DataFrame, width: int = 20, most_cells: int = 1 << 29) -> DataFrame:
+def dedup_words(docs: DataFrame, width: int = 20, most_cells: int = 1 << 28) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): what is left of each document, one space between words."""
     d = identified(docs)
     gone = removed_runs(d, width, most_cells)
+    release(d.sparkSession)
     both = d.join(gone, ["ord", "sub"], "left").select("ord", "text", "gone.pos", "gone.n")
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b, 1)):
             ids, texts, pos, n = batch.columns
             total, removed, kept = [], [], []
             for k, text in enumerate(texts):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.common import buffer, chunks, mix, parts, powers, row_hash, span_hash
+from runweave.llm.common import buffer, chunks, gathered, mix, parts, pieces, powers, release, row_hash, span_hash, table
 from runweave.llm.countmin import log_width_for, repeated, sketch_of
 from runweave.llm.induced import InducedSorter
 from runweave.llm.substring import LOWEST, identified, not_first
@@ -86,10 +86,12 @@ def removed_runs(d: DataFrame, cap: int = 100, most_cells: int = 1 << 28, crowde
             if found is not None:
                 yield np.concatenate([found[3], found[3][found[4]]])
 
+    # two bits a cell: at most most_cells / 2 bytes, whatever the input's size
     bits = spark.sparkContext.broadcast(sketch_of(d.select("text"), hashes, log_width, levels=(2, crowded)))
+    release(spark)
 
     def candidates(batches):
-        for batch in batches:
+        for batch in gathered(batches, 2):
             ids, subs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, offs = buffer(batch.column(2))
             held = []
@@ -120,14 +122,14 @@ def removed_runs(d: DataFrame, cap: int = 100, most_cells: int = 1 << 28, crowde
             gone[not_first(doc, sub, pos, one, two)] = True
             key = np.where(gone, sub.view(np.uint64), key).view(np.int64)  # known already: any task may pass them on
             text = memoryview(data)
-            content = [
-                b"" if g else text[a:b].tobytes()
-                for g, a, b in zip(gone.tolist(), start.tolist(), (start + m + cap - 1).tolist())
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(doc), pa.array(sub), pa.array(pos.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(inner), pa.array(content, pa.binary())],
-                names=["key", "ord", "sub", "pos", "n", "inner", "content"],
-            )
+            stop = start + m + cap - 1
+            for i in range(0, len(doc), 20000):
+                x = slice(i, i + 20000)
+                content = [b"" if g else text[a:b].tobytes() for g, a, b in zip(gone[x].tolist(), start[x].tolist(), stop[x].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[x]), pa.array(doc[x]), pa.array(sub[x]), pa.array(pos[x].astype(np.int32)), pa.array(m[x].astype(np.int32)), pa.array(inner[x]), pa.array(content, pa.binary())],
+                    names=["key", "ord", "sub", "pos", "n", "inner", "content"],
+                )
 
     met = d.mapInArrow(candidates, _ROW).repartition(parts(spark), "key").sortWithinPartitions("key")
 
@@ -152,7 +154,9 @@ def removed_runs(d: DataFrame, cap: int = 100, most_cells: int = 1 << 28, crowde
             yield from _marks(pa.concat_tables(held), cap)
 
     marked = met.mapInArrow(shards, "ord bigint, sub bigint, pos int, n int")
-    return marked.groupBy("ord", "sub").agg(F.collect_list(F.struct("pos", "n")).alias("gone"))
+    gone = table(marked.groupBy("ord", "sub").agg(F.collect_list(F.struct("pos", "n")).alias("gone")), "suffix-runs")
+    bits.destroy()
+    return gone
 
 
 def _marks(t: pa.Table, cap: int) -> Iterator[pa.RecordBatch]:
@@ -231,6 +235,7 @@ def dedup_bytes(docs: DataFrame, cap: int = 100, carry: list[str] | None = None,
     carry = carry or []
     d = identified(docs, carry)
     gone = removed_runs(d.select("ord", "sub", "text"), cap, **options)
+    release(d.sparkSession)
     both = d.join(gone, ["ord", "sub"], "left").select("ord", "text", "gone.pos", "gone.n", *carry)
     passed = [f for f in both.schema.fields if f.name in carry]
     schema = ", ".join(
@@ -239,7 +244,7 @@ def dedup_bytes(docs: DataFrame, cap: int = 100, carry: list[str] | None = None,
     )
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b, 1)):
             ids, texts, pos, n, *rest = batch.columns
             total, removed, spans, kept = [], [], [], []
             for k, text in enumerate(texts):
