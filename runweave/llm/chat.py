@@ -13,7 +13,7 @@ and the end of its subtree (close): the tokens that may attend to it are those i
 [start, close). A conversation's end has the attention intervals of its path.
 
 The template marks turns; in texts and roles every control string is broken by a backslash
-before each backslash and bracket, which reading takes back. The loss mask covers exactly
+after each backslash and bracket, which reading takes back. The loss mask covers exactly
 the assistant texts.
 
 Defined cases: null text and null role are empty; rows with equal conversation and turn are
@@ -34,11 +34,11 @@ from runweave.llm.common import parts, table
 
 _LOWEST = -(2**63)
 _ESCAPED = re.compile(r"([\\<\[\]])")
-_PLAIN = re.compile(r"\\(.)", re.S)
+_PLAIN = re.compile(r"([\\<\[\]])\\")
 #: Roles with marks of their own, before and after the text.
 MARKS = {"system": ("<<SYS>>\n", "\n<</SYS>>\n"), "user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>")}
 _BEGIN = "<s>"
-_OTHER = re.compile(r"\[ROLE ((?:[^\\\[\]<]|\\.)*)\] (.*) \[/ROLE\]", re.S)
+_OTHER = re.compile(r"\[ROLE ((?:[^\\\[\]<]|[\\\[\]<]\\)*)\] (.*) \[/ROLE\]", re.S)
 
 _NODE = (
     "pack int, seq bigint, kind string, depth int, start bigint, position bigint, n_tokens bigint, close bigint, "
@@ -48,7 +48,8 @@ _READ = "conv bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, lo
 
 
 def escape(text: str) -> str:
-    return _ESCAPED.sub(r"\\\1", text)
+    """Every backslash and bracket is followed by a backslash, so no control string stands in the text."""
+    return _ESCAPED.sub(r"\1\\", text)
 
 
 def unescape(text: str) -> str:

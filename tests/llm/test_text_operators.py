@@ -143,9 +143,8 @@ def test_edited_and_next(spark, odd, nothing):
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert prints.setdefault(text, r.fingerprint) == r.fingerprint and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         assert (r.near_edited == 1) >= (edited == text) and (r.near_next == 1) >= (after == text)
-        shingles = lambda t: {b" ".join(split(t)[i : i + 5]) for i in range(max(1, len(split(t)) - 4))}
         if len(split(text)) > 2000:
-            a, b = shingles(text), shingles(edited)
+            a, b = ({b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (split(text), split(edited)))
             assert abs(r.near_edited - len(a & b) / len(a | b)) < 0.05
     assert fingerprint.edited_and_next(nothing).count() == 0
     assert fingerprint.edited_and_next(odd).count() == odd.count()
@@ -183,9 +182,10 @@ def test_base_counts(spark, odd, nothing):
 
 
 def test_frequent_lines(spark):
-    own = lambda i: " ".join(f"d{i}w{k}" for k in range(30))
+    letters = lambda n: chr(97 + n % 26) + chr(97 + n // 26)
+    own = lambda i: " ".join(f"d{letters(i)}w{letters(k)}" for k in range(30))
     rows = [(i, f"Share this 20{i:02d} page\n{own(i)}", "h1") for i in range(60)] + [(100 + i, own(0), "h1") for i in range(60)]
-    rows += [(200 + i, "share THIS 2000 page\n" * 12 + f"few words {chr(97 + i % 26)}{chr(97 + i // 26)}", "h1") for i in range(40)] + [(300, "Share this 2001 page\n" + own(9), "h2")]
+    rows += [(200 + i, "share THIS 2000 page\n" * 12 + f"few words {letters(i)}", "h1") for i in range(40)] + [(300, "Share this 2001 page\n" + own(9), "h2")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = {r.doc_id: r for r in quality.judge(d, most_docs=20, most_share=0.01).collect()}
     assert all(got[i].n_removed_lines == 1 and got[i].kept for i in range(60))
