@@ -159,7 +159,7 @@ def merge_level(spark, sf_dir):
 @query(f"""{FLUSHED} SELECT level, run_id, key, op, value, seq FROM runs WHERE level <> 0 UNION ALL
     SELECT 1, (SELECT max(run_id) FROM runs WHERE level = 0), * FROM ({_newest('(SELECT * FROM runs WHERE level = 0)')})""")
 def merge_tier(spark, sf_dir):
-    return runs.compact_tier(_runs(spark, sf_dir), 0, 2)
+    return runs.compact_tier(_runs(spark, sf_dir), 0, 1)
 
 
 @query(f"{FLUSHED} SELECT level, run_id, key, op, value, seq FROM runs")

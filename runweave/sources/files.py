@@ -14,7 +14,7 @@ EXTERNAL = "scale int, run_id int, workload string, throughput_kops double, p50_
 
 def read_results(spark: SparkSession, path: str, schema: str = RESULTS) -> DataFrame:
     """Benchmark rows; malformed ones are skipped."""
-    return spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    return spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").option("columnPruning", False).csv(path)
 
 
 def write_results(rows: DataFrame, path: str) -> None:
