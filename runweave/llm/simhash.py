@@ -6,10 +6,11 @@ counts, so two fingerprints within tau differ in at most T_p bits of some partit
 Every distinct fingerprint probes partition p with all values within T_p of its own, and
 candidates are verified by the full Hamming distance inside the join.
 
-Crowded partition values are left to an exact way that emits no pairs: fingerprints
-within 4 bits share a fingerprint within 2 bits of both, so each fingerprint that probes a
-crowded value is tied to all such midpoints, and those that meet at one are linked. Above 4
-bits midpoints are too many; there a crowded value's probes are dealt over several tasks.
+Dense partition values are left to exact ways that emit no pairs. Up to a size, a value's
+members and probers meet as a group and give a spanning forest. Beyond, for thresholds up to
+4: fingerprints within 4 bits share a fingerprint within 2 bits of both, so each one that
+probes a crowded value is tied to all such midpoints, and those that meet at one are linked.
+Above 4 bits midpoints are too many; there a crowded value's probers are dealt over groups.
 
 Nulls and texts without words have fingerprint zero and are linked like any other. Equal
 fingerprints are one node whatever the number of rows; repeated rows stay. An empty table
@@ -26,7 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.common import buffer, chunks, components, table, word_bounds
+from runweave.llm.common import buffer, chunks, components, parts, table, word_bounds
+
+_LOWEST = -(2**63)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -176,12 +179,14 @@ def _masks(bits: list[int], most: int) -> list[int]:
     return [_signed(sum(1 << b for b in c)) for k in range(most + 1) for c in combinations(bits, k)]
 
 
-def links(fps: DataFrame, tau: int = 4, crowded: int = 4096) -> DataFrame:
-    """(a, b): links between distinct fingerprints that connect all within tau bits of each other.
+def links(fps: DataFrame, tau: int = 4, dense: int = 24, crowded: int = 4096) -> DataFrame:
+    """(a, b): links that connect all distinct fingerprints within tau bits of each other.
 
-    fps: distinct fp BIGINT. Below crowded, every pair within tau is a link; the
-    fingerprints that probe a partition value with more than crowded members are linked
-    through midpoints instead, and b is then the smallest fingerprint that meets there.
+    fps: distinct fp BIGINT. Below dense members, every pair within tau that a partition
+    value brings together is a link. The members and probers of a dense value meet as a
+    group and give a spanning forest, so links stay fewer than rows. Values with more than
+    crowded members go through midpoints for tau up to 4; above, their probers are dealt
+    over several groups.
     """
     n, both = bit_statistics(fps)
     plans = []
@@ -191,33 +196,83 @@ def links(fps: DataFrame, tau: int = 4, crowded: int = 4096) -> DataFrame:
         plans.append((cost, groups, ts))
     _, groups, ts = min(plans, key=lambda x: x[0])
     used = [(p, g, t) for p, (g, t) in enumerate(zip(groups, ts)) if t >= 0]
-    keys = F.array(*[F.struct(F.lit(p).alias("p"), F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in g)))).alias("v")) for p, g, t in used])
+    value = lambda g: F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in g))))
+    keys = F.array(*[F.struct(F.lit(p).alias("p"), value(g).alias("v")) for p, g, t in used])
     data = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.p", "k.v")
     probes = None
     for p, g, t in used:
-        value = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in g))))
         each = F.explode(F.array(*[F.lit(x) for x in _masks(g, t)]))
-        part = fps.select("fp", value.alias("own"), each.alias("x")).select(
+        part = fps.select("fp", value(g).alias("own"), each.alias("x")).select(
             F.col("fp").alias("q"), F.lit(p).alias("p"), F.col("own").bitwiseXOR(F.col("x")).alias("v")
         )
         probes = part if probes is None else probes.unionByName(part)
-    sizes = data.groupBy("p", "v").count().where(F.col("count") > crowded)
+    sizes = data.groupBy("p", "v").count().where(F.col("count") > dense)
     hot = table(sizes.select("p", "v", (F.col("count") / crowded).cast("int").alias("more")), "simhash-hot")
     near = F.bit_count(F.col("q").bitwiseXOR(F.col("fp"))) <= tau
-    link = [F.greatest("q", "fp").alias("a"), F.least("q", "fp").alias("b")]
     cool = probes.join(hot, ["p", "v"], "left_anti").alias("pr")
     d = data.alias("d")
     pairs = cool.join(d, (F.col("d.p") == F.col("pr.p")) & (F.col("d.v") == F.col("pr.v")) & (F.col("q") != F.col("fp")) & near)
-    out = pairs.select(*link).distinct()
+    out = pairs.select(F.greatest("q", "fp").alias("a"), F.least("q", "fp").alias("b")).distinct()
+    grouped = hot
     if tau <= 4:
-        packed = probes.join(hot, ["p", "v"], "left_semi").select(F.col("q").alias("fp")).distinct()
-        return out.unionByName(midpoint_links(packed, tau))
-    # the prober's share of a crowded value meets all its members, each share in a task of its own
-    salted = probes.join(hot, ["p", "v"]).withColumn("salt", F.pmod(F.xxhash64("q"), F.col("more") + 1).cast("int")).alias("pr")
-    members = data.join(hot, ["p", "v"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("more")))).alias("d")
-    same = [F.col(f"d.{c}") == F.col(f"pr.{c}") for c in ("p", "v", "salt")]
-    met = salted.join(members, same[0] & same[1] & same[2] & (F.col("q") != F.col("fp")) & near)
-    return out.unionByName(met.select(*link).distinct())
+        packed = probes.join(hot.where("more > 0"), ["p", "v"], "left_semi").select(F.col("q").alias("fp")).distinct()
+        out = out.unionByName(midpoint_links(packed, tau))
+        grouped = hot.where("more = 0")
+    # each share of the probers of a value meets all its members
+    asking = probes.join(grouped, ["p", "v"]).select(
+        "p", "v", F.pmod(F.xxhash64("q"), F.col("more") + 1).cast("int").alias("salt"), F.lit(True).alias("asks"), F.col("q").alias("fp")
+    )
+    asked = data.join(grouped, ["p", "v"]).select("p", "v", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("salt"), F.lit(False).alias("asks"), "fp")
+    met = asking.unionByName(asked).repartition(parts(fps.sparkSession), "p", "v", "salt").sortWithinPartitions("p", "v", "salt")
+    return out.unionByName(met.mapInArrow(lambda batches: _forests(batches, tau), "a bigint, b bigint"))
+
+
+def _forests(batches, tau: int):
+    """Spanning forests of the groups (p, v, salt), which come sorted."""
+    at, held = None, []
+
+    def close():
+        if held:
+            asks, fp = (np.concatenate(x) for x in zip(*held))
+            a, b = forest(fp[asks], fp[~asks], tau)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        p, v, salt, asks, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        cuts = np.flatnonzero((p[1:] != p[:-1]) | (v[1:] != v[:-1]) | (salt[1:] != salt[:-1])) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)]):
+            key = (p[i], v[i], salt[i])
+            if key != at:
+                yield from close()
+                at, held = key, []
+            held.append((asks[i:j].astype(bool), fp[i:j]))
+    yield from close()
+
+
+def forest(asking: np.ndarray, asked: np.ndarray, tau: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Links (each to its component's smallest) that connect what pairs of asking and asked within tau connect."""
+    nodes, index = np.unique(np.concatenate([asking, asked]), return_inverse=True)
+    qi, di = index[: len(asking)], index[len(asking) :]
+    label = np.arange(len(nodes))
+    if not len(asking) or not len(asked):
+        return nodes[:0], nodes[:0]
+    step = max(1, block // len(asked))
+    while True:
+        before = label.copy()
+        for i in range(0, len(asking), step):
+            q = qi[i : i + step]
+            close = np.bitwise_count(asking[i : i + step, None] ^ asked[None, :]) <= tau
+            np.minimum.at(label, q, np.where(close, label[di][None, :], len(nodes)).min(1))
+            np.minimum.at(label, di, np.where(close, label[q][:, None], len(nodes)).min(0))
+        while (label[label] != label).any():
+            label = label[label]
+        if (label == before).all():
+            break
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[far], nodes[label[far]]
 
 
 def midpoint_links(fps: DataFrame, tau: int) -> DataFrame:
@@ -228,14 +283,17 @@ def midpoint_links(fps: DataFrame, tau: int) -> DataFrame:
     return at.join(least, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, tau: int = 4, crowded: int = 4096) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most tau bits."""
+def near_duplicates(docs: DataFrame, width: int = 5, tau: int = 4, dense: int = 24, crowded: int = 4096) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most tau bits.
+
+    Links are brought to the smallest doc_id of each fingerprint before components are
+    formed, so that a component's root is its id and no large class is joined by root.
+    """
     fps = table(fingerprints(docs, width), "simhash-fp")
-    distinct = table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), tau, crowded), "simhash-components")
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    classes = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(classes, "root").select("fp", "component_id")
-    return fps.join(named, "fp")
+    own = F.coalesce("doc_id", F.lit(_LOWEST))
+    distinct = table(fps.groupBy("fp").agg(F.min(own).alias("least")), "simhash-distinct")
+    found = table(links(distinct.select("fp"), tau, dense, crowded).distinct(), "simhash-links")
+    a, b = (distinct.select(F.col("fp").alias(c), F.col("least").alias(f"id_{c}")) for c in "ab")
+    roots = components(found.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "simhash-components")
+    named = distinct.join(roots, distinct.least == roots.node, "left").select("fp", F.coalesce("root", "least").alias("root"))
+    return fps.join(named, "fp").select("doc_id", "fp", F.nullif("root", F.lit(_LOWEST)).alias("component_id"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.common import buffer, chunks, gathered, parts, pieces, release, span_hash, table, window_hash, word_bounds
+from runweave.llm.common import buffer, chunks, gathered, mix, parts, pieces, release, span_hash, table, window_hash, word_bounds
 from runweave.llm.countmin import log_width_for, repeated, sketch_of
 from runweave.llm.windows import covered, ranges, runs, sliding_min
 
@@ -98,7 +98,8 @@ def removed_runs(d: DataFrame, width: int = 20, most_cells: int = 1 << 28) -> Da
             s, n = runs(doc, sub, key, later, step=pos)
             wide = np.zeros(len(pos), np.dtype([("one", "<u8"), ("two", "<u4")]))
             wide["one"], wide["two"] = one, (two & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            keys = np.where(later[s], sub[s].view(np.uint64), least[s]).view(np.int64)
+            # windows known to go may pass through any task, so each place has a key of its own
+            keys = np.where(later[s], mix(doc[s].view(np.uint64) ^ mix(pos[s].astype(np.uint64))), least[s]).view(np.int64)
             gone = later[s]
             for i in range(0, len(s), 20000):
                 x = slice(i, i + 20000)

@@ -120,7 +120,8 @@ def removed_runs(d: DataFrame, cap: int = 100, most_cells: int = 1 << 28, crowde
             doc, sub, pos, m, key, inner, one, two, start = (np.concatenate(x) for x in zip(*held))
             gone = np.zeros(len(doc), bool)
             gone[not_first(doc, sub, pos, one, two)] = True
-            key = np.where(gone, sub.view(np.uint64), key).view(np.int64)  # known already: any task may pass them on
+            # known already: any task may pass them on, so each place has a key of its own
+            key = np.where(gone, mix(doc.view(np.uint64) ^ mix(pos.astype(np.uint64))), key).view(np.int64)
             text = memoryview(data)
             stop = start + m + cap - 1
             for i in range(0, len(doc), 20000):

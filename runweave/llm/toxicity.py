@@ -243,7 +243,7 @@ def _present(data, offs, decoder, model):
     return (pairs // len(model.hashes), pairs % len(model.hashes)) if len(pairs) else (pairs, pairs)
 
 
-def fit(docs: DataFrame, labels: DataFrame, logp: np.ndarray, max_train: int = 16384, max_features: int = 65536, rounds: int = 80) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, logp: np.ndarray, max_train: int = 8192, max_features: int = 32768, rounds: int = 80) -> Model:
     """Learns from at most max_train labelled documents; labels: doc_id, toxic, already without held-out rows."""
     spark = docs.sparkSession
     usable = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

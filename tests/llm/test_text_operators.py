@@ -43,8 +43,8 @@ def nothing(spark):
 # ---------------------------------------------------------------- SimHash
 
 
-@pytest.mark.parametrize("tau,crowded", [(4, 4096), (4, 1), (7, 4096), (7, 2)])
-def test_simhash(spark, odd, tau, crowded):
+@pytest.mark.parametrize("tau,dense,crowded", [(4, 24, 4096), (4, 1, 2), (7, 1, 4096), (7, 1, 2)])
+def test_simhash(spark, odd, tau, dense, crowded):
     docs = odd.select("doc_id", "text", "fp").unionByName(spark.read.parquet(f"{DATA}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text", F.lit(1).alias("fp")))
     rows = [(r.doc_id, brute_fingerprint(r.text, 4)) for r in docs.collect()]
     parent = {i: i for i in range(len(rows))}
@@ -63,7 +63,7 @@ def test_simhash(spark, odd, tau, crowded):
     for i, (d, _) in enumerate(rows):
         least[root(i)] = min(d, least.get(root(i), d))
     want = sorted((d, fp, least[root(i)]) for i, (d, fp) in enumerate(rows))
-    got = simhash.near_duplicates(docs, 4, tau, crowded).collect()
+    got = simhash.near_duplicates(docs, 4, tau, dense, crowded).collect()
     assert sorted((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == want
 
 
