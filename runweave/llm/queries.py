@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import chat, fingerprint, mixing, packing, quality, simhash, substring, suffix, toxicity, warc
+from runweave.llm import chat, fingerprint, mixing, oracles, packing, quality, simhash, substring, suffix, toxicity, warc
 from runweave.llm.common import new_path, prepare, table
 
 
@@ -101,4 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing_sources": op9_mixing_sources,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_revisits": oracles.WARC,
+    "op6_quality_rules": oracles.QUALITY,
+    "op8_chat_formatting": oracles.CHAT,
+    "op10_substring_dedup": oracles.SUBSTRING,
+}
