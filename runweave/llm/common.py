@@ -28,11 +28,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("runweave.shared.dir", None)
     if path is None:
         path = "file://" + tempfile.mkdtemp(prefix="runweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.conf.set("runweave.shared.dir", path)
     return path.rstrip("/")
 
 
