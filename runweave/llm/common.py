@@ -195,27 +195,30 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     node does not land in one task. Nodes without links have no row.
     """
     spark = edges.sparkSession
-    e = edges.select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    ).where("a <> b").distinct()
-    e = table(e, name)
+    def stored(df: DataFrame) -> tuple[DataFrame, str]:
+        path = new_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    e, at = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     signature = None
     while True:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (
+        large, large_at = stored(
             both.join(least, "a").where("b > a")
             .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         )
-        large = table(large, name)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        small = (
+        e, new_at = stored(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(small.select("a", F.col("m").alias("b")))
             .where("a <> b").distinct()
         )
-        e = table(small, name)
+        for old in (at, large_at):  # nothing reads them any more
+            drop_path(spark, old)
+        at = new_at
         now = e.agg(
             F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.countDistinct("a")
         ).first()

@@ -86,7 +86,7 @@ def with_next(docs: DataFrame, width: int = 5, bits: int = 3) -> DataFrame:
     spark = docs.sparkSession
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LOWEST))
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), order.alias("_order"))
-    ranges = 2 * parts(spark)
+    ranges = min(2 * parts(spark), 20000)
     found = d.agg(
         F.min("_order").alias("least"), F.percentile_approx("_order", [k / ranges for k in range(1, ranges)], 10000).alias("cuts"),
     ).first()

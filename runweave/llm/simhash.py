@@ -110,14 +110,14 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
             bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
             n += len(x)
             both += bits.T @ bits
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([both.tobytes()])], names=["n", "both"])
+        counts = np.append(both.ravel(), n).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], names=["cell", "n"])
 
-    rows = fps.select("fp").mapInArrow(run, "n bigint, both binary")
-    n, both = 0, np.zeros(64 * 64)
-    for r in rows.toLocalIterator():  # 32 KB a task
-        n += r.n
-        both += np.frombuffer(bytes(r.both), np.float64)
-    return n, both.reshape(64, 64)
+    out = np.zeros(64 * 64 + 1)
+    rows = fps.select("fp").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    for r in rows.collect():  # 64 * 64 + 1 rows
+        out[r.cell] = r.n
+    return int(out[-1]), out[:-1].reshape(64, 64)
 
 
 def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
@@ -209,9 +209,8 @@ def links(fps: DataFrame, tau: int = 4, dense: int = 24, crowded: int = 4096) ->
     sizes = data.groupBy("p", "v").count().where(F.col("count") > dense)
     hot = table(sizes.select("p", "v", (F.col("count") / crowded).cast("int").alias("more")), "simhash-hot")
     near = F.bit_count(F.col("q").bitwiseXOR(F.col("fp"))) <= tau
-    cool = probes.join(hot, ["p", "v"], "left_anti").alias("pr")
-    d = data.alias("d")
-    pairs = cool.join(d, (F.col("d.p") == F.col("pr.p")) & (F.col("d.v") == F.col("pr.v")) & (F.col("q") != F.col("fp")) & near)
+    d = data.join(hot, ["p", "v"], "left_anti").alias("d")
+    pairs = probes.alias("pr").join(d, (F.col("d.p") == F.col("pr.p")) & (F.col("d.v") == F.col("pr.v")) & (F.col("q") != F.col("fp")) & near)
     out = pairs.select(F.greatest("q", "fp").alias("a"), F.least("q", "fp").alias("b")).distinct()
     grouped = hot
     if tau <= 4:
