@@ -158,13 +158,22 @@ def suspicious(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:
     n, m, j = (x[ends] - x[starts] for x in (letters, leet, joins))
     # edges do not count: a closing '!' or '.' is no disguise
     m = m - (_LEET[data[ends - 1]] * (_LETTER[data[np.maximum(ends - 2, 0)]] > 0) * (data[ends - 1] == 33))
-    odd = (n > 0) & (m > 0) & (size <= 40)
-    odd |= (triple[ends] - triple[np.minimum(starts + 2, ends)] > 0) & (size <= 60)
-    odd |= (n >= 3) & (j >= n - 1) & (size <= 60)
+    odd = (n > 0) & (m > 0)
+    odd |= (triple[ends] - triple[np.minimum(starts + 2, ends)] > 0)
+    odd |= (n >= 3) & (j >= n - 1)
     single = (size == 1) & (n + m == 1)
     row = np.searchsorted(first, np.arange(len(starts)), "right") - 1
     edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-    out = [(int(starts[k]), int(ends[k])) for k in np.flatnonzero(odd)]
+    out = []
+    for k in np.flatnonzero(odd):
+        a, b = int(starts[k]), int(ends[k])
+        while b - a > 48:  # very long words in pieces, cut between characters
+            c = a + 48
+            while data[c] & 0xC0 == 0x80 and c > a + 40:
+                c -= 1
+            out.append((a, c))
+            a = c
+        out.append((a, b))
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
         while a < b:
             c = min(b, a + 24)
