@@ -140,7 +140,8 @@ def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
 
 def allot(n: int, both: np.ndarray, groups: list[list[int]], tau: int) -> tuple[float, list[int]]:
     """Thresholds (-1: not probed) of the least estimated probes and candidates, by dynamic programming."""
-    p = np.diag(both) / max(n, 1)
+    n = max(n, 1)  # without fingerprints all choices would cost the same, the widest too
+    p = np.diag(both) / n
     differ = 2 * p * (1 - p)
     costs = []
     for group in groups:
