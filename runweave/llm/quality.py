@@ -52,7 +52,7 @@ def with_repeated_words(d: DataFrame, hashes: str, width: int, name: str) -> Dat
 def base_counts(docs: DataFrame, width: int = 8) -> DataFrame:
     """doc_id, source, text_hash and the per-document counts of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", "source", text.alias("text")).withColumn("w", words())
+    d = docs.select("doc_id", "source", text.alias("text")).withColumn("w", F.transform(words(), lambda w: F.xxhash64(w)))
     n = F.size("w")
     windows = F.when(n < width, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, width)))
