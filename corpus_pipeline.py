@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import mixing, packing, simhash, suffix, toxicity
+from runweave.llm import mixing, packing, resemblance, suffix, toxicity
 from runweave.llm.common import new_path, prepare
 
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,15 +24,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each component of links of at most 7 of 64 bits (five-word shingles).
+    """One document, the smallest doc_id, of each component of links of Jaccard similarity 0.8 or more (five-word shingles).
 
-    Rows that repeat the kept doc_id are copies too: one of them stays.
+    Rows that repeat the kept doc_id and text are copies too: one of them stays. Other texts
+    under a null or repeated doc_id are documents of their own.
     """
     prepare(spark)
-    classes = simhash.near_duplicates(docs, width=5, tau=7)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.select(*_COLUMNS).dropDuplicates(["doc_id"])
+    first = resemblance.first_of_each(docs.select(*_COLUMNS), width=5).alias("f")
+    d = docs.select(*_COLUMNS, resemblance.own_id(), resemblance.text_hash()).alias("d")
+    kept = d.join(first, (F.col("d.id") == F.col("f.id")) & (F.col("d.text_hash") == F.col("f.text_hash")), "left_semi")
+    return kept.dropDuplicates(["id", "text_hash"]).select(*_COLUMNS)
 
 
 def cut_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash near-dedup", drop_near_duplicates),
+    ("near-dedup", drop_near_duplicates),
     ("suffix-array dedup", cut_repeated_bytes),
     ("mixing sources", mix_sources),
     ("best-fit packing", pack_bins),
