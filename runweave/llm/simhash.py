@@ -287,13 +287,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, tau: int = 4, dense: int =
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most tau bits.
 
     Links are brought to the smallest doc_id of each fingerprint before components are
-    formed, so that a component's root is its id and no large class is joined by root.
+    formed, so that a component's root has its id and no large class is joined by root. The
+    fingerprint stands beside the id: texts under one null or repeated doc_id are not tied.
     """
     fps = table(fingerprints(docs, width), "simhash-fp")
     own = F.coalesce("doc_id", F.lit(_LOWEST))
-    distinct = table(fps.groupBy("fp").agg(F.min(own).alias("least")), "simhash-distinct")
+    distinct = fps.groupBy("fp").agg(F.min(own).alias("least"))
+    distinct = table(distinct.select("fp", F.struct("least", "fp").alias("name")), "simhash-distinct")
     found = table(links(distinct.select("fp"), tau, dense, crowded).distinct(), "simhash-links")
-    a, b = (distinct.select(F.col("fp").alias(c), F.col("least").alias(f"id_{c}")) for c in "ab")
-    roots = components(found.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "simhash-components")
-    named = distinct.join(roots, distinct.least == roots.node, "left").select("fp", F.coalesce("root", "least").alias("root"))
+    a, b = (distinct.select(F.col("fp").alias(c), F.col("name").alias(f"name_{c}")) for c in "ab")
+    roots = components(found.join(a, "a").join(b, "b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b")), "simhash-components")
+    named = distinct.join(roots, distinct.name == roots.node, "left").select("fp", F.coalesce("root", "name")["least"].alias("root"))
     return fps.join(named, "fp").select("doc_id", "fp", F.nullif("root", F.lit(_LOWEST)).alias("component_id"))
