@@ -7,10 +7,11 @@ Every distinct fingerprint probes partition p with all values within T_p of its
 candidates are verified by the full Hamming distance inside the join.
 
 Dense partition values are left to exact ways that emit no pairs. Up to a size, a value's
-members and probers meet as a group and give a spanning forest. Beyond, for thresholds up to
-4: fingerprints within 4 bits share a fingerprint within 2 bits of both, so each one that
+members and probers meet as a group and give a spanning forest. Beyond, for thresholds 2 and
+4 (here 4): fingerprints within 4 bits share a fingerprint within 2 bits of both, so each one that
 probes a crowded value is tied to all such midpoints, and those that meet at one are linked.
-Above 4 bits midpoints are too many; there a crowded value's probers are dealt over groups.
+Above 4 bits midpoints are too many, and odd thresholds have none; there a crowded value's
+probers are dealt over groups.
 
 Nulls and texts without words have fingerprint zero and are linked like any other. Equal
 fingerprints are one node whatever the number of rows; repeated rows stay. An empty table
@@ -186,8 +187,8 @@ def links(fps: DataFrame, tau: int = 4, dense: int = 24, crowded: int = 4096) ->
     fps: distinct fp BIGINT. Below dense members, every pair within tau that a partition
     value brings together is a link. The members and probers of a dense value meet as a
     group and give a spanning forest, so links stay fewer than rows. Values with more than
-    crowded members go through midpoints for tau up to 4; above, their probers are dealt
-    over several groups.
+    crowded members go through midpoints for tau 2 and 4; else their probers are dealt over
+    several groups.
     """
     n, both = bit_statistics(fps)
     plans = []
@@ -214,7 +215,8 @@ def links(fps: DataFrame, tau: int = 4, dense: int = 24, crowded: int = 4096) ->
     pairs = probes.alias("pr").join(d, (F.col("d.p") == F.col("pr.p")) & (F.col("d.v") == F.col("pr.v")) & (F.col("q") != F.col("fp")) & near)
     out = pairs.select(F.greatest("q", "fp").alias("a"), F.least("q", "fp").alias("b")).distinct()
     grouped = hot
-    if tau <= 4:
+    midpoints = tau <= 4 and tau % 2 == 0  # at odd distances no fingerprint lies within half of both
+    if midpoints:
         packed = probes.join(hot.where("more > 0"), ["p", "v"], "left_semi").select(F.col("q").alias("fp")).distinct()
         out = out.unionByName(midpoint_links(packed, tau))
         grouped = hot.where("more = 0")
