@@ -69,14 +69,18 @@ def base_counts(docs: DataFrame, width: int = 8) -> DataFrame:
     )
 
 
+def _plain(raw: str) -> Column:
+    """A line as it is compared with others."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(raw), "123456789", "000000000"), _SPLIT, " "))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, host, line, n_words): a row per line with words; line is a hash."""
     d = docs.select(
         "doc_id", F.col("source").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
         F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("raw"),
     )
-    plain = F.trim(F.regexp_replace(F.translate(F.lower("raw"), "123456789", "000000000"), _SPLIT, " "))
-    d = d.withColumn("plain", plain).where("plain <> ''")
+    d = d.withColumn("plain", _plain("raw")).where("plain <> ''")
     return d.select(
         "doc_id", "text_hash", "host", F.xxhash64("plain").alias("line"),
         (F.length("plain") - F.length(F.translate("plain", " ", "")) + 1).cast("bigint").alias("n_words"),
@@ -124,3 +128,18 @@ def judge(
     return joined.withColumn("base_failed", failed).withColumn("depleted", depleted).withColumn(
         "kept", ~F.col("base_failed") & ~F.col("depleted")
     )
+
+
+def cleaned(docs: DataFrame, most_docs: int = 20, most_share: float = 0.005) -> DataFrame:
+    """docs, all rows and columns, with the frequent lines of the row's host cut out of text."""
+    lines = table(line_table(docs), "quality-lines")
+    often = table(frequent_lines(lines, most_docs, most_share), "quality-frequent").alias("o")
+    texts = docs.select(F.col("source").alias("host"), "text").where("text is not null").distinct()
+    each = texts.select("host", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    each = each.select("host", "text_hash", "at", F.xxhash64(_plain("raw")).alias("line")).alias("n")
+    gone = each.join(often, F.col("n.host").eqNullSafe(F.col("o.host")) & (F.col("n.line") == F.col("o.line")), "left_semi")
+    gone = gone.groupBy("host", "text_hash").agg(F.collect_set("at").alias("places")).alias("g")
+    d = docs.alias("d").join(gone, F.col("d.source").eqNullSafe(F.col("g.host")) & (F.xxhash64("d.text") == F.col("g.text_hash")), "left")
+    left = F.array_join(F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains(F.col("g.places"), i)), "\n")
+    text = F.when(F.col("g.places").isNull(), F.col("d.text")).otherwise(left).alias("text")
+    return d.select(*[text if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
