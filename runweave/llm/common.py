@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -155,7 +156,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes and lengths wherever they stand."""
+    """64-bit hashes of data[start:end], equal for equal bytes and lengths wherever they stand.
+
+    Equal hashes prove nothing: long texts can be built that collide under every seed. What
+    removes or joins texts compares their bytes or their names (word_ids) as well.
+    """
     up, down = powers(seed, len(data))
     letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed | 1))
     total = np.zeros(len(data) + 1, np.uint64)
@@ -163,6 +168,34 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int)
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each word: its bytes and their number up to 15 bytes, else 120 bits of BLAKE2b.
+
+    Names of short words are equal only for equal words; two long words would have to collide
+    in a cryptographic hash, and no long word has the name of a short one.
+    """
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+    keep = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+    low = eight[starts].view("<u8")[:, 0] & keep[np.minimum(size, 8)]
+    more = np.clip(size - 8, 0, 7)
+    high = eight[np.minimum(starts + 8, len(data))].view("<u8")[:, 0] & keep[more]
+    high |= np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+    far = np.flatnonzero(size > 15)
+    if len(far):
+        text = memoryview(np.ascontiguousarray(data))
+        digests = b"".join(hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(starts[far].tolist(), ends[far].tolist()))
+        found = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        low[far], high[far] = found[:, 0], found[:, 1] | (np.uint64(255) << np.uint64(56))
+    return low, high
+
+
+def word_hash(ids: tuple[np.ndarray, np.ndarray], seed: int) -> np.ndarray:
+    """64-bit hashes of named words; hashes of different seeds are worked out from all 128 bits anew."""
+    return mix(ids[0] ^ mix(ids[1] + np.uint64(seed)))
+
+
 def row_hash(data: np.ndarray, offs: np.ndarray, seed: int) -> np.ndarray:
     """Hashes of whole rows, worked out in pieces of bounded size."""
     out = [np.zeros(0, np.uint64)]

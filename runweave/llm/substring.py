@@ -5,15 +5,22 @@ count-min sketches that are merged; the estimates are never too low. Pass two ke
 windows estimated to repeat, and in each task only the earliest of equal windows (later ones
 are already known to go), so a passage that a third of all documents share reaches the
 shuffle once a task. Windows travel in runs: neighbours with the same minimiser (the least
-hash of five consecutive words within the window, which equal windows share) are one row,
-and rows meet by minimiser. There windows are grouped by 128-bit hashes of their whole word
-sequence and all but the earliest (smallest document, then start) are marked. The marks
-return to their documents, whose covered words are removed.
+hash of five consecutive words within the window, which equal windows share) are one row
+with the run's words, and rows meet by minimiser. The same sketch counts runs by minimiser;
+those of a hot one (split or more) are dealt as single windows by the window's own hash, so
+that no task gets a third of the table. There windows are grouped, and all but the earliest
+(smallest document, then start) are marked. The marks return to their documents, whose
+covered words are removed.
+
+Grouping is exact: two 64-bit hashes bring windows together, and each window that is to go
+is compared with the one it repeats, word by word (common.word_ids).
 
 Defined cases: null text has no words; texts shorter than the window stay whole; rows with
 equal doc_id and text are one document and get equal results; equal doc_id with different
 texts are documents in the order of their text hashes; a null doc_id comes before all
-others; an empty table gives an empty result; other columns are ignored.
+others (so does the id -2^63, which is read back as null); very long texts and words are
+worked like others; an empty table gives an empty result; other columns are ignored, and
+names like ord or key among them do no harm.
 """
 
 from __future__ import annotations
@@ -23,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.common import buffer, chunks, gathered, mix, parts, pieces, release, span_hash, table, window_hash, word_bounds
+from runweave.llm.common import buffer, chunks, gathered, mix, parts, pieces, release, row_hash, table, window_hash, word_bounds, word_hash, word_ids
 from runweave.llm.countmin import log_width_for, repeated, sketch_of
-from runweave.llm.windows import covered, ranges, runs, sliding_min
+from runweave.llm.windows import by_key, covered, not_first, ranges, runs, same_spans, same_words, sliding_min
 
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _GRAM = 5
@@ -33,7 +40,7 @@ LOWEST = -(2**63)
 
 
 def _windows(data: np.ndarray, offs: np.ndarray, width: int):
-    """Per row range: (rows, first word of each window within its row, two hashes, minimiser) of all windows."""
+    """(row, first word within its row, first word, hash) of all windows of the rows, and the words' names and bounds."""
     starts, ends, first = word_bounds(data, offs)
     n = np.diff(first)
     per = np.maximum(n - width + 1, 0)
@@ -41,9 +48,15 @@ def _windows(data: np.ndarray, offs: np.ndarray, width: int):
         return None
     at = ranges(first[:-1], per)
     row = np.repeat(np.arange(len(n)), per)
-    words = span_hash(data, starts, ends, _SEEDS[0])
+    ids = word_ids(data, starts, ends)
+    words = word_hash(ids, _SEEDS[0])
     one = window_hash(words, width, _SEEDS[0])[at]
-    return row, at - first[row], at, words, one
+    return row, at - first[row], at, one, ids, words, starts, ends
+
+
+def _minimisers(words: np.ndarray, width: int) -> np.ndarray:
+    """The minimiser of the window at each word."""
+    return sliding_min(window_hash(words, _GRAM, _SEEDS[0]), width - _GRAM + 1)
 
 
 def identified(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -54,7 +67,7 @@ def identified(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     )
 
 
-def removed_runs(d: DataFrame, width: int = 20, most_cells: int = 1 << 28) -> DataFrame:
+def removed_runs(d: DataFrame, width: int = 20, most_cells: int = 1 << 28, split: int = 20000, held_bytes: int = 8 << 20) -> DataFrame:
     """(ord, sub, gone): runs of removed windows (first word, number) of the documents identified()."""
     spark = d.sparkSession
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -65,107 +78,121 @@ def removed_runs(d: DataFrame, width: int = 20, most_cells: int = 1 << 28) -> Da
         for i, j in chunks(offs):
             found = _windows(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
             if found is not None:
-                yield found[4]
+                row, _, at, one, _, words, _, _ = found
+                least = _minimisers(words, width)[at]
+                s, _ = runs(row, least, step=at)
+                yield np.concatenate([one, mix(least[s])])
 
-    # one bit a cell: at most most_cells / 4 bytes, whatever the input's size
-    bits = spark.sparkContext.broadcast(sketch_of(d.select("text"), hashes, log_width)[0])
+    # two bits a cell: at most most_cells / 2 bytes, whatever the input's size
+    bits = spark.sparkContext.broadcast(sketch_of(d.select("text"), hashes, log_width, levels=(2, split)))
     release(spark)
 
     def candidates(batches):
         for batch in gathered(batches, 2):
-            ids, subs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            docs, subs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, offs = buffer(batch.column(2))
-            held = []
+            held, named, words_before = [], [], 0
             for i, j in chunks(offs):
                 found = _windows(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
                 if found is None:
                     continue
-                row, pos, at, words, one = found
-                keep = np.flatnonzero(repeated(bits.value, one))
-                if len(keep):
-                    two = window_hash(words, width, _SEEDS[1])[at[keep]]
-                    least = sliding_min(window_hash(words, _GRAM, _SEEDS[0]), width - _GRAM + 1)[at[keep]]
-                    held.append((ids[i:j][row[keep]], subs[i:j][row[keep]], pos[keep], one[keep], two, least))
+                row, pos, at, one, ids, words, starts, ends = found
+                keep = np.flatnonzero(repeated(bits.value[0], one))
+                if not len(keep):
+                    continue
+                two = window_hash(word_hash(ids, _SEEDS[1]), width, _SEEDS[1])[at[keep]]
+                least = _minimisers(words, width)[at[keep]]
+                hot = repeated(bits.value[1], mix(least))
+                key = np.where(hot, one[keep], least)
+                begin, end = starts[at[keep]] + offs[i], ends[at[keep] + width - 1] + offs[i]
+                held.append((docs[i:j][row[keep]], subs[i:j][row[keep]], pos[keep], one[keep], two, key, hot, at[keep] + words_before, begin, end))
+                named.append(ids)
+                words_before += len(ids[0])
             if not held:
                 continue
-            doc, sub, pos, one, two, least = (np.concatenate(x) for x in zip(*held))
+            doc, sub, pos, one, two, key, hot, at, begin, end = (np.concatenate(x) for x in zip(*held))
+            ids = tuple(np.concatenate(x) for x in zip(*named))
             later = np.zeros(len(doc), bool)
-            later[not_first(doc, sub, pos, one, two)] = True
+            later[not_first(doc, sub, pos, one, two, same_words(ids, at, width))] = True
             order = np.lexsort((pos, sub, doc))
-            doc, sub, pos, one, two, least, later = (x[order] for x in (doc, sub, pos, one, two, least, later))
-            # runs of windows to compare elsewhere, and runs that are known to go
-            key = np.where(later, np.uint64(0), least)
-            s, n = runs(doc, sub, key, later, step=pos)
-            wide = np.zeros(len(pos), np.dtype([("one", "<u8"), ("two", "<u4")]))
-            wide["one"], wide["two"] = one, (two & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            # windows known to go may pass through any task, so each place has a key of its own
-            keys = np.where(later[s], mix(doc[s].view(np.uint64) ^ mix(pos[s].astype(np.uint64))), least[s]).view(np.int64)
+            doc, sub, pos, key, hot, later, begin, end = (x[order] for x in (doc, sub, pos, key, hot, later, begin, end))
+            # runs of windows to compare elsewhere, one by one where they are hot, and runs that are known to go
+            alone = np.where(hot & ~later, np.arange(len(doc)), -1)
+            s, n = runs(doc, sub, np.where(later, np.uint64(0), key), later, alone, step=pos)
             gone = later[s]
+            # windows known to go may pass through any task, so each place has a key of its own
+            keys = np.where(gone, mix(doc[s].view(np.uint64) ^ mix(pos[s].astype(np.uint64))), key[s]).view(np.int64)
+            begin, end = begin[s], end[s + n - 1]
+            text = memoryview(data)
             for i in range(0, len(s), 20000):
                 x = slice(i, i + 20000)
-                payload = [b"" if g else wide[a : a + b].tobytes() for a, b, g in zip(s[x].tolist(), n[x].tolist(), gone[x].tolist())]
+                content = [b"" if g else text[a:b].tobytes() for g, a, b in zip(gone[x].tolist(), begin[x].tolist(), end[x].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[x]), pa.array(doc[s[x]]), pa.array(sub[s[x]]), pa.array(pos[s[x]].astype(np.int32)), pa.array(n[x].astype(np.int32)), pa.array(payload, pa.binary())],
-                    names=["key", "ord", "sub", "pos", "n", "hashes"],
+                    [pa.array(keys[x]), pa.array(doc[s[x]]), pa.array(sub[s[x]]), pa.array(pos[s[x]].astype(np.int32)), pa.array(n[x].astype(np.int32)), pa.array(content, pa.binary())],
+                    names=["key", "ord", "sub", "pos", "n", "content"],
                 )
 
-    found = d.mapInArrow(candidates, "key bigint, ord bigint, sub bigint, pos int, n int, hashes binary")
+    found = d.mapInArrow(candidates, "key bigint, ord bigint, sub bigint, pos int, n int, content binary")
     met = found.repartition(parts(spark), "key").sortWithinPartitions("key")
-
-    def later_ones(batches):
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if rest is not None:
-                t = pa.concat_tables([rest, t])
-            key = t.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0  # the last key may go on
-            rest = t.slice(cut).combine_chunks()
-            if cut:
-                yield from _later(t.slice(0, cut))
-        if rest is not None and len(rest):
-            yield from _later(rest)
-
-    marked = met.mapInArrow(later_ones, "ord bigint, sub bigint, pos int, n int")
-    gone = table(marked.groupBy("ord", "sub").agg(F.collect_list(F.struct("pos", "n")).alias("gone")), "substring-runs")
+    marked = met.mapInArrow(lambda batches: by_key(batches, lambda t: _later(t, width), repeated_rows, held_bytes), MARK)
+    gone = table(marked.groupBy("ord", "sub").agg(F.collect_set(F.struct("pos", "n")).alias("gone")), "substring-runs")
     bits.destroy()
     return gone
 
 
-def not_first(doc: np.ndarray, sub: np.ndarray, pos: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Indices of the windows that have an equal window at an earlier place; equal places are one."""
-    order = np.lexsort((pos, sub, doc, two, one))
-    if not len(order):
-        return order
-    one, two = one[order], two[order]
-    new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    return order[(doc[order] != doc[first]) | (sub[order] != sub[first]) | (pos[order] != pos[first])]
-
-
-def _later(t: pa.Table):
-    doc, sub, pos, n = (t.column(c).to_numpy() for c in ("ord", "sub", "pos", "n"))
-    data, offs = buffer(t.column("hashes"))
-    wide = data.view(np.dtype([("one", "<u8"), ("two", "<u4")]))
-    known = offs[1:] == offs[:-1]
-    out = [(doc[known], sub[known], pos[known], n[known])]
-    doc, sub, pos, n = doc[~known], sub[~known], pos[~known], n[~known].astype(np.int64)
-    d, b, p = np.repeat(doc, n), np.repeat(sub, n), ranges(pos.astype(np.int64), n)
-    gone = not_first(d, b, p, wide["one"], wide["two"])
+MARK = "ord bigint, sub bigint, pos int, n int"
+
+
+def marks_of(doc, sub, pos, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc), pa.array(sub), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], names=["ord", "sub", "pos", "n"]
+    )
+
+
+def later_rows(t: pa.Table) -> np.ndarray:
+    """Which rows are known to go (no content), or have the whole content of a row at an earlier place."""
+    doc, sub, pos = (t.column(c).to_numpy() for c in ("ord", "sub", "pos"))
+    data, offs = buffer(t.column("content"))
+    out = offs[1:] == offs[:-1]
+    live = np.flatnonzero(~out)
+    one, two = (row_hash(data, offs, x)[live] for x in _SEEDS)
+    same = same_spans(data.tobytes(), offs[:-1][live], offs[1:][live])
+    out[live[not_first(doc[live], sub[live], pos[live], one, two, same)]] = True
+    return out
+
+
+def repeated_rows(t: pa.Table) -> tuple[pa.RecordBatch | None, pa.Table]:
+    """The marks of the rows that repeat others, and the table of the others."""
+    later = later_rows(t)
+    rest = t.filter(pa.array(~later))
+    if not later.any():
+        return None, rest
+    return marks_of(*(t.column(c).to_numpy()[later] for c in ("ord", "sub", "pos", "n"))), rest
+
+
+def _later(t: pa.Table, width: int):
+    """The removed runs of a table of complete keys."""
+    marks, t = repeated_rows(t)
+    if marks is not None:
+        yield marks
+    if not len(t):
+        return
+    doc, sub, pos = (t.column(c).to_numpy() for c in ("ord", "sub", "pos"))
+    data, offs = buffer(t.column("content"))
+    row, place, at, one, ids, _, _, _ = _windows(data, offs, width)
+    two = window_hash(word_hash(ids, _SEEDS[1]), width, _SEEDS[1])[at]
+    d, b, p = doc[row], sub[row], pos[row] + place
+    gone = not_first(d, b, p, one, two, same_words(ids, at, width))
     gone = gone[np.lexsort((p[gone], b[gone], d[gone]))]
     s, m = runs(d[gone], b[gone], step=p[gone])
-    out.append((d[gone][s], b[gone][s], p[gone][s], m))
-    doc, sub, pos, n = (np.concatenate(x) for x in zip(*out))
-    if len(doc):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc), pa.array(sub), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], names=["ord", "sub", "pos", "n"]
-        )
+    if len(s):
+        yield marks_of(d[gone][s], b[gone][s], p[gone][s], m)
 
 
-def dedup_words(docs: DataFrame, width: int = 20, most_cells: int = 1 << 28) -> DataFrame:
+def dedup_words(docs: DataFrame, width: int = 20, **options) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): what is left of each document, one space between words."""
     d = identified(docs)
-    gone = removed_runs(d, width, most_cells)
+    gone = removed_runs(d, width, **options)
     release(d.sparkSession)
     both = d.join(gone, ["ord", "sub"], "left").select("ord", "text", "gone.pos", "gone.n")
 

@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.common import buffer, chunks, gathered, mix, parts, pieces, powers, release, row_hash, span_hash, table
+from runweave.llm.common import buffer, chunks, gathered, mix, parts, pieces, powers, release, span_hash, table
 from runweave.llm.countmin import log_width_for, repeated, sketch_of
 from runweave.llm.induced import InducedSorter
-from runweave.llm.substring import LOWEST, identified, not_first
-from runweave.llm.windows import covered, ranges, runs, sliding_min
+from runweave.llm.substring import LOWEST, MARK, identified, later_rows, marks_of, repeated_rows
+from runweave.llm.windows import by_key, covered, not_first, ranges, runs, same_spans, sliding_min
 
 _SEEDS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _GRAM = 48
@@ -73,7 +73,7 @@ def _runs(data: np.ndarray, offs: np.ndarray, cap: int):
     return row, start, m, key, inside + entering > 1
 
 
-def removed_runs(d: DataFrame, cap: int = 100, most_cells: int = 1 << 28, crowded: int = 20000, shard: int = 3 << 20) -> DataFrame:
+def removed_runs(d: DataFrame, cap: int = 100, most_cells: int = 1 << 28, crowded: int = 20000, shard: int = 6 << 20) -> DataFrame:
     """(ord, sub, gone): runs of removed windows (first byte, number) of the documents identified()."""
     spark = d.sparkSession
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -118,12 +118,12 @@ def removed_runs(d: DataFrame, cap: int = 100, most_cells: int = 1 << 28, crowde
             if not held:
                 continue
             doc, sub, pos, m, key, inner, one, two, start = (np.concatenate(x) for x in zip(*held))
+            stop = start + m + cap - 1
+            text = memoryview(data)
             gone = np.zeros(len(doc), bool)
-            gone[not_first(doc, sub, pos, one, two)] = True
+            gone[not_first(doc, sub, pos, one, two, same_spans(text, start, stop))] = True
             # known already: any task may pass them on, so each place has a key of its own
             key = np.where(gone, mix(doc.view(np.uint64) ^ mix(pos.astype(np.uint64))), key).view(np.int64)
-            text = memoryview(data)
-            stop = start + m + cap - 1
             for i in range(0, len(doc), 20000):
                 x = slice(i, i + 20000)
                 content = [b"" if g else text[a:b].tobytes() for g, a, b in zip(gone[x].tolist(), start[x].tolist(), stop[x].tolist())]
@@ -134,28 +134,8 @@ def removed_runs(d: DataFrame, cap: int = 100, most_cells: int = 1 << 28, crowde
 
     met = d.mapInArrow(candidates, _ROW).repartition(parts(spark), "key").sortWithinPartitions("key")
 
-    def shards(batches):
-        held: list[pa.Table] = []
-        size = 0
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if not len(t):
-                continue
-            held.append(t)
-            size += t.nbytes
-            if size > 2 * shard:
-                t = pa.concat_tables(held)
-                key = t.column("key").to_numpy()
-                cut = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on
-                if cut:
-                    yield from _marks(t.slice(0, cut), cap)
-                held = [t.slice(cut)]
-                size = held[0].nbytes
-        if held:
-            yield from _marks(pa.concat_tables(held), cap)
-
-    marked = met.mapInArrow(shards, "ord bigint, sub bigint, pos int, n int")
-    gone = table(marked.groupBy("ord", "sub").agg(F.collect_list(F.struct("pos", "n")).alias("gone")), "suffix-runs")
+    marked = met.mapInArrow(lambda batches: by_key(batches, lambda t: _marks(t, cap), repeated_rows, shard), MARK)
+    gone = table(marked.groupBy("ord", "sub").agg(F.collect_set(F.struct("pos", "n")).alias("gone")), "suffix-runs")
     bits.destroy()
     return gone
 
@@ -164,27 +144,19 @@ def _marks(t: pa.Table, cap: int) -> Iterator[pa.RecordBatch]:
     """The removed runs of a table of complete minimisers."""
     key, doc, sub, pos, n = (t.column(c).to_numpy() for c in ("key", "ord", "sub", "pos", "n"))
     pos, n = pos.astype(np.int64), n.astype(np.int64)
-    inner = t.column("inner").to_numpy(zero_copy_only=False) if t.num_rows else np.zeros(0, bool)
+    inner = t.column("inner").to_numpy(zero_copy_only=False)
     data, offs = buffer(t.column("content"))
-    known = offs[1:] == offs[:-1]
-    out = [(doc[known], sub[known], pos[known], n[known])]
-    live = np.flatnonzero(~known)
-    one, two = (row_hash(data, offs, x)[live] for x in _SEEDS)
-    repeat = np.zeros(len(live), bool)
-    repeat[not_first(doc[live], sub[live], pos[live], one, two)] = True
-    later = live[repeat]
-    out.append((doc[later], sub[later], pos[later], n[later]))
-    held = live[~repeat]
+    later = later_rows(t)
+    if later.any():
+        yield marks_of(doc[later], sub[later], pos[later], n[later])
+    held = np.flatnonzero(~later)
     if len(held):
         _, back, count = np.unique(key[held], return_inverse=True, return_counts=True)
         held = held[(count[back] > 1) | inner[held]]
     if len(held):
-        out.append(_within(data, offs, held, doc, sub, pos, n, cap))
-    doc, sub, pos, n = (np.concatenate(x) for x in zip(*out))
-    if len(doc):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc), pa.array(sub), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], names=["ord", "sub", "pos", "n"]
-        )
+        found = _within(data, offs, held, doc, sub, pos, n, cap)
+        if len(found[0]):
+            yield marks_of(*found)
 
 
 def _within(data, offs, held, doc, sub, pos, n, cap):
