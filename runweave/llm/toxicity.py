@@ -1,21 +1,24 @@
 """Toxicity: noisy-channel deobfuscation, then a linear score of the restored text.
 
-A character trigram model is counted over all documents. Words that mix letters with
-look-alike digits and signs, repeat a letter three times or more, or stand as single
-letters in a row are decoded: a Viterbi search over the lattice of possible readings of
-each character (itself, the letters it can stand for, nothing where it is a separator or a
-repetition) finds the reading that is likeliest under the channel and the trigram model.
-All other words have one reading and pass unchanged.
-
-The restored text's words and their beginnings are binary features of a logistic
-regression, learnt from at most max_train labelled rows (least hash of doc_id) and
-max_features features (those in most toxic documents); both bounds are parameters. Labels,
-lang, source and doc_id are never features.
+A character trigram model is counted over all documents, each between separators. Words that
+mix letters with look-alike digits and signs, repeat a letter three times or more, or stand
+as single letters in a row are decoded: a Viterbi search over the lattice of possible
+readings of each character (itself, the letters it can stand for, nothing where it is a
+separator or a repetition) finds the reading that is likeliest under the channel and the
+trigram model. The search is exact for words and rows of any length: no state is dropped,
+and back pointers, given up where all readings agree, keep it linear. All other words have
+one reading and pass unchanged.
+
+The restored text's words and their beginnings are binary features in a hash space of
+2^space_bits places; their logistic regression is learnt from at most max_train labelled
+rows (least hash of doc_id). Both are parameters, and the same at every size of input.
+Labels, lang, source and doc_id are never features.
 
 Defined cases: null and empty texts score the bias alone; rows without a label or with a
 null one are scored but not learnt from; repeated labels of a doc_id count once (the larger
 toxic); repeated rows each get a score; a table without usable labels scores 0 everywhere;
-an empty table gives an empty result; other columns are ignored.
+very long texts and words are read as a whole; an empty table gives an empty result; other
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runweave.llm.common import buffer, chunks, span_hash, word_bounds
+from runweave.llm.windows import runs
 
 # Character classes of the language model: 0 separators, 1-26 letters, 27 other letters, 28 all else.
 _CLASSES = 29
@@ -70,7 +74,8 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             data, offs = buffer(batch.column(0))
             for i, j in chunks(offs):
-                c = _CLASS[data[offs[i] : offs[j]]].astype(np.int32)
+                # two separators before each row and after the last: no trigram has letters of two rows
+                c = np.insert(_CLASS[data[offs[i] : offs[j]]], np.repeat(offs[i : j + 1] - offs[i], 2), 0).astype(np.int32)
                 if len(c) > 2:
                     total += np.bincount((c[:-2] * _CLASSES + c[1:-1]) * _CLASSES + c[2:], minlength=len(total))
         at = np.flatnonzero(total)
@@ -95,7 +100,7 @@ def log_probabilities(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Decoder:
-    """Viterbi search over the readings of a span; the state is the last two classes read."""
+    """Viterbi search over the readings of a span; the state is the last two classes and the last letter read."""
 
     logp: list
     substitute: float = log(0.25)
@@ -104,6 +109,11 @@ class Decoder:
     keep_joiner: float = log(0.2)
     drop_repeat: float = log(0.5)
     known: dict = field(default_factory=dict)
+    #: Characters after which back pointers that all readings share are followed and given up.
+    settle: int = 4096
+
+    def __post_init__(self) -> None:
+        self.options: dict[str, list[tuple[str, int, float]]] = {}
 
     def readings(self, ch: str) -> list[tuple[str, float]]:
         """What a character may be, with log channel probabilities ('' is nothing)."""
@@ -114,35 +124,75 @@ class Decoder:
             return [("", self.drop_joiner), (ch, self.keep_joiner)]
         return [*out, (ch, self.keep_odd if out else 0.0)]
 
+    def _options(self, ch: str) -> list[tuple[str, int, float]]:
+        if ch not in self.options:
+            if len(self.options) > 10_000:  # a cache
+                self.options.clear()
+            self.options[ch] = [(x, (int(_CLASS[ord(x)]) if ord(x) < 128 else 27) if x else 0, cost) for x, cost in self.readings(ch)]
+        return self.options[ch]
+
     def decode(self, span: str) -> str:
+        """The likeliest reading."""
         if span in self.known:
             return self.known[span]
-        states = {(0, 0, ""): (0.0, "")}  # classes before, the last letter read
-        for ch in span:
-            step: dict = {}
-            for (a, b, last), (score, text) in states.items():
-                options = [(x, cost) for x, cost in self.readings(ch)]
-                for x, cost in options:
-                    if x == "":
-                        moves = [((a, b, last), score + cost, text)]
-                    else:
-                        code = ord(x)
-                        c = int(_CLASS[code]) if code < 128 else 27
-                        moves = [((b, c, x), score + cost + self.logp[a][b][c], text + x)]
-                        if x == last and c and c < 28:  # a repetition of what was read
-                            moves.append(((a, b, last), score + cost + self.drop_repeat, text))
-                    for key, value, out in moves:
-                        if key not in step or step[key][0] < value:
-                            step[key] = (value, out)
-            if len(step) > 64:
-                step = dict(sorted(step.items(), key=lambda kv: -kv[1][0])[:64])
-            states = step
-        best = max(((score + self.logp[a][b][0], text) for (a, b, _), (score, text) in states.items()))[1]
-        if len(self.known) > 200_000:
+        best, _ = self.search(span)
+        if len(self.known) > 200_000:  # a cache
             self.known.clear()
-        self.known[span] = best
+        if len(span) < 100:
+            self.known[span] = best
         return best
 
+    def search(self, span: str) -> tuple[str, float]:
+        """The likeliest reading and its log probability."""
+        keys, scores, back, settled = [(0, 0, "")], [0.0], [], []
+        logp, drop_repeat = self.logp, self.drop_repeat
+        for ch in span:
+            options = self._options(ch)
+            index: dict[tuple[int, int, str], int] = {}
+            new_keys, new_scores, steps = [], [], []
+            for i, key in enumerate(keys):
+                a, b, last = key
+                score, row = scores[i], logp[a][b]
+                for x, c, cost in options:
+                    moves = ((key, score + cost, ""),) if x == "" else (((b, c, x), score + cost + row[c], x),)
+                    if x and x == last and 0 < c < 28:  # a repetition of what was read
+                        moves = (*moves, (key, score + cost + drop_repeat, ""))
+                    for to, value, out in moves:
+                        at = index.get(to)
+                        if at is None:
+                            index[to] = len(new_keys)
+                            new_keys.append(to)
+                            new_scores.append(value)
+                            steps.append((i, out))
+                        elif new_scores[at] < value:
+                            new_scores[at], steps[at] = value, (i, out)
+            keys, scores = new_keys, new_scores
+            back.append(steps)
+            if len(back) >= self.settle:
+                back = self._settle(back, len(keys), settled)
+        last = max(range(len(keys)), key=lambda i: (scores[i] + logp[keys[i][0]][keys[i][1]][0], keys[i]))
+        total = scores[last] + logp[keys[last][0]][keys[last][1]][0]
+        tail = []
+        for steps in reversed(back):
+            last, out = steps[last]
+            tail.append(out)
+        return "".join(settled) + "".join(reversed(tail)), total
+
+    @staticmethod
+    def _settle(back: list, states: int, settled: list[str]) -> list:
+        """Moves what all states' readings share to settled; the back pointers that are left."""
+        alive = set(range(states))
+        for k in range(len(back) - 1, -1, -1):
+            alive = {back[k][i][0] for i in alive}
+            if len(alive) == 1:  # all pass through one state before character k
+                at, out = next(iter(alive)), []
+                for steps in reversed(back[:k]):
+                    at, x = steps[at]
+                    out.append(x)
+                settled.append("".join(reversed(out)))
+                return back[k:] if k else back
+        return back
+
 
 def suspicious(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:
     """Byte ranges of lower-cased data to decode: odd words, and rows of three or more single letters."""
@@ -163,25 +213,11 @@ def suspicious(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:
     odd |= (n >= 3) & (j >= n - 1)
     single = (size == 1) & (n + m == 1)
     row = np.searchsorted(first, np.arange(len(starts)), "right") - 1
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-    out = []
-    for k in np.flatnonzero(odd):
-        a, b = int(starts[k]), int(ends[k])
-        while b - a > 48:  # very long words in pieces, cut between characters
-            c = a + 48
-            while data[c] & 0xC0 == 0x80 and c > a + 40:
-                c -= 1
-            out.append((a, c))
-            a = c
-        out.append((a, b))
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        while a < b:
-            c = min(b, a + 24)
-            while row[c - 1] != row[a]:
-                c -= 1
-            if c - a >= 3:
-                out.append((int(starts[a]), int(ends[c - 1])))
-            a = c
+    out = list(zip(starts[odd].tolist(), ends[odd].tolist()))
+    letter = np.flatnonzero(single)
+    at, size = runs(row[letter], step=letter)
+    at, size = at[size >= 3], size[size >= 3]
+    out += zip(starts[letter[at]].tolist(), ends[letter[at + size - 1]].tolist())
     return sorted(out)
 
 
@@ -224,111 +260,94 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Model:
-    """Sorted feature hashes, their weights and the bias; usable: whether any label was seen."""
+    """A weight for each place of the hash space, and the bias."""
 
-    hashes: np.ndarray
     weights: np.ndarray
     bias: float
-    filter: np.ndarray = field(default_factory=lambda: np.zeros(1 << 22, bool))
-
-    def __post_init__(self) -> None:
-        self.filter[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are features, and the indices of those."""
-        maybe = np.flatnonzero(self.filter[(hashes >> np.uint64(42)).astype(np.int64)])
-        if not len(maybe) or not len(self.hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
-        hit = self.hashes[at] == hashes[maybe]
-        return maybe[hit], at[hit]
 
-
-def _present(data, offs, decoder, model):
-    """Distinct (row, feature index) pairs of the texts."""
+def places(data: np.ndarray, offs: np.ndarray, decoder: Decoder, space_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the features of the texts, repeats included."""
     row, h = features(*restore(data, offs, decoder))
-    at, idx = model.find(h)
-    pairs = np.unique(row[at] * len(model.hashes) + idx) if len(at) else np.zeros(0, np.int64)
-    return (pairs // len(model.hashes), pairs % len(model.hashes)) if len(pairs) else (pairs, pairs)
+    return row, (h >> np.uint64(64 - space_bits)).astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, logp: np.ndarray, max_train: int = 8192, max_features: int = 32768, rounds: int = 80) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, logp: np.ndarray, max_train: int = 16384, space_bits: int = 20, rounds: int = 80) -> Model:
     """Learns from at most max_train labelled documents; labels: doc_id, toxic, already without held-out rows."""
-    spark = docs.sparkSession
     usable = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # a broadcast of at most max_train rows of two numbers
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     table = logp.tolist()
 
-    def toxic_features(batches):
-        decoder = Decoder(table)
-        for batch in batches:
-            data, offs = buffer(batch.column(0))
-            for i, j in chunks(offs):
-                row, h = features(*restore(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], decoder))
-                order = np.lexsort((row, h))
-                row, h = row[order], h[order]
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
-                h, n = np.unique(h[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    often = (
-        sample.where("toxic = 1").select("text").mapInArrow(toxic_features, "h bigint, n bigint")
-        .groupBy("h").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "h").limit(max_features)
-    )
-    hashes = np.sort(np.array([r.h for r in often.collect()], np.int64).view(np.uint64))
-    model = Model(hashes, np.zeros(len(hashes)), 0.0)
-    shared = spark.sparkContext.broadcast(model)
-
     def presence(batches):
         decoder = Decoder(table)
         for batch in batches:
             data, offs = buffer(batch.column(0))
-            toxic = batch.column(1).to_numpy(zero_copy_only=False)
-            held = [[] for _ in range(len(offs) - 1)]
+            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
             for i, j in chunks(offs):
-                row, idx = _present(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], decoder, shared.value)
-                for r, part in zip(range(i, j), np.split(idx, np.searchsorted(row, np.arange(1, j - i)))):
-                    held[r] = part.astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(toxic.astype(np.int32)), pa.array([np.asarray(x, np.int32).tobytes() for x in held], pa.binary())], names=["toxic", "found"]
-            )
-
-    rows = sample.mapInArrow(presence, "toxic int, found binary").collect()  # at most max_train rows
-    if not rows:
-        return Model(hashes[:0], np.zeros(0), -50.0)
-    y = np.array([r.toxic for r in rows], float)
-    found = [np.frombuffer(bytes(r.found), np.int32) for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in found])
-    idx = np.concatenate(found).astype(np.int64) if len(doc) else np.zeros(0, np.int64)
-    return _regress(hashes, y, doc, idx, rounds)
-
-
-def _regress(hashes, y, doc, idx, rounds: int, ridge: float = 0.02, rate: float = 0.3) -> Model:
-    """Logistic regression by full gradients with adaptive steps, its weights held at 0 or more.
+                row, idx = places(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], decoder, space_bits)
+                pairs = np.unique((row.astype(np.int64) << space_bits) | idx)
+                cuts = np.searchsorted(pairs, np.arange(j - i + 1) << space_bits)
+                idx = (pairs & ((1 << space_bits) - 1)).astype(np.int32)
+                found = [idx[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(toxic[i:j]), pa.array(found, pa.binary())], names=["toxic", "found"])
+
+    rows = sample.mapInArrow(presence, "toxic int, found binary").toArrow()  # at most max_train rows
+    y = rows.column("toxic").to_numpy().astype(float)
+    found, offs = buffer(rows.column("found"))
+    del rows
+    weights = np.zeros(1 << space_bits)
+    if not len(y):
+        return Model(weights, -50.0)
+    idx, size = found.view(np.int32), np.diff(offs) // 4
+    # A weight is never below 0, and rows without toxicity can only lower it: what stands in
+    # no toxic row keeps weight 0 and need not be looked at.
+    known = np.zeros(1 << space_bits, bool)
+    known[idx[np.repeat(y > 0, size)]] = True
+    keep = known[idx]
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), size)[keep]
+    own = np.flatnonzero(known)
+    slot = np.zeros(1 << space_bits, np.int32)
+    slot[own] = np.arange(len(own))
+    idx = slot[idx[keep]]
+    often = np.bincount(idx[y[doc] > 0], minlength=len(own))
+    # the value of a feature grows with the toxic rows that have it: one row proves little
+    weights[own], bias = _regress(often / (often + 10), y, doc, idx, rounds)
+    return Model(weights, bias)
+
+
+def _regress(value: np.ndarray, y: np.ndarray, doc: np.ndarray, idx: np.ndarray, rounds: int, ridge: float = 0.02, rate: float = 0.3) -> tuple[np.ndarray, float]:
+    """Logistic regression of features with these values by full gradients with adaptive steps, weights held at 0 or more.
 
     A feature can speak for toxicity or be silent: a long clean passage takes nothing back.
     """
+    n = len(value)
     share = (y.sum() + 0.5) / (len(y) + 1)
-    w, bias = np.zeros(len(hashes)), log(share / (1 - share))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    w, bias = np.zeros(n), log(share / (1 - share))
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
+    parts = [slice(i, i + (1 << 20)) for i in range(0, len(doc), 1 << 20)]  # memory stays small
     for t in range(1, rounds + 1):
-        z = np.bincount(doc, w[idx], len(y)) + bias
+        z, told = np.full(len(y), bias), w * value
+        for p in parts:
+            z += np.bincount(doc[p], told[idx[p]], len(y))
         error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.append(np.bincount(idx, error[doc], len(w)) + ridge * w, error.sum())
+        g = np.append(np.zeros(n), error.sum())
+        for p in parts:
+            g[:-1] += np.bincount(idx[p], error[doc[p]], n)
+        g[:-1] = g[:-1] * value + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-2) * min(1, 2 - 2 * t / rounds)
         w, bias = np.maximum(w - step[:-1], 0), bias - step[-1]
-    return Model(hashes, w, float(bias))
+    return w * value, float(bias)
 
 
-def score(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, space_bits: int = 20, **bounds) -> DataFrame:
     """All columns of docs and toxicity DOUBLE, 0 to 1, learnt from labels (doc_id, toxic)."""
     spark = docs.sparkSession
     logp = log_probabilities(trigram_counts(docs))
-    model = fit(docs, labels, logp, **bounds)
-    shared, table = spark.sparkContext.broadcast(model), logp.tolist()
+    model = fit(docs, labels, logp, space_bits=space_bits, **bounds)
+    shared, table = spark.sparkContext.broadcast(model), logp.tolist()  # 8 bytes a place
     cols = docs.columns
     names = [f"c{i}" for i in range(len(cols))]
     plain = docs.toDF(*names)  # clashing and repeated names do not matter here
@@ -336,13 +355,15 @@ def score(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields) + ", score double"
 
     def run(batches):
-        decoder = Decoder(table)
+        decoder, w = Decoder(table), shared.value.weights
         for batch in batches:
             data, offs = buffer(batch.column(text_at))
             z = np.full(len(offs) - 1, shared.value.bias)
             for i, j in chunks(offs):
-                row, idx = _present(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], decoder, shared.value)
-                z[i:j] += np.bincount(row.astype(np.int64), shared.value.weights[idx], j - i)
+                row, idx = places(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], decoder, space_bits)
+                told = w[idx] > 0
+                pairs = np.unique((row[told].astype(np.int64) << space_bits) | idx[told])
+                z[i:j] += np.bincount(pairs >> space_bits, w[pairs & ((1 << space_bits) - 1)], j - i)
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*names, "score"])
 
