@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from runweave.llm.common import buffer, chunks, gathered, mix, parts, pieces, release, row_hash, table, window_hash, word_bounds, word_hash, word_ids
 from runweave.llm.countmin import log_width_for, repeated, sketch_of
-from runweave.llm.windows import by_key, covered, not_first, ranges, runs, same_spans, same_words, sliding_min
+from runweave.llm.windows import by_key, covered, key_runs, not_first, ranges, runs, same_spans, same_words
 
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _GRAM = 5
@@ -54,9 +54,9 @@ def _windows(data: np.ndarray, offs: np.ndarray, width: int):
     return row, at - first[row], at, one, ids, words, starts, ends
 
 
-def _minimisers(words: np.ndarray, width: int) -> np.ndarray:
-    """The minimiser of the window at each word."""
-    return sliding_min(window_hash(words, _GRAM, _SEEDS[0]), width - _GRAM + 1)
+def _key_runs(row: np.ndarray, at: np.ndarray, words: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows with the same minimiser, see windows.key_runs."""
+    return key_runs(window_hash(words, _GRAM, _SEEDS[0]), row, at, width - _GRAM + 1)
 
 
 def identified(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -79,9 +79,9 @@ def removed_runs(d: DataFrame, width: int = 20, most_cells: int = 1 << 28, split
             found = _windows(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
             if found is not None:
                 row, _, at, one, _, words, _, _ = found
-                least = _minimisers(words, width)[at]
-                s, _ = runs(row, least, step=at)
-                yield np.concatenate([one, mix(least[s])])
+                _, _, least, inner = _key_runs(row, at, words, width)
+                least = mix(least)
+                yield np.concatenate([one, least, least[inner]])
 
     # two bits a cell: at most most_cells / 2 bytes, whatever the input's size
     bits = spark.sparkContext.broadcast(sketch_of(d.select("text"), hashes, log_width, levels=(2, split)))
@@ -97,28 +97,33 @@ def removed_runs(d: DataFrame, width: int = 20, most_cells: int = 1 << 28, split
                 if found is None:
                     continue
                 row, pos, at, one, ids, words, starts, ends = found
-                keep = np.flatnonzero(repeated(bits.value[0], one))
+                s, n, least, _ = _key_runs(row, at, words, width)
+                # equal windows have equal minimisers, so both must be estimated to repeat
+                maybe, hot = repeated(bits.value[0], mix(least)), repeated(bits.value[1], mix(least))
+                keep = np.flatnonzero(np.repeat(maybe, n) & repeated(bits.value[0], one))
                 if not len(keep):
                     continue
-                two = window_hash(word_hash(ids, _SEEDS[1]), width, _SEEDS[1])[at[keep]]
-                least = _minimisers(words, width)[at[keep]]
-                hot = repeated(bits.value[1], mix(least))
-                key = np.where(hot, one[keep], least)
-                begin, end = starts[at[keep]] + offs[i], ends[at[keep] + width - 1] + offs[i]
-                held.append((docs[i:j][row[keep]], subs[i:j][row[keep]], pos[keep], one[keep], two, key, hot, at[keep] + words_before, begin, end))
+                hot, least = np.repeat(hot, n)[keep], np.repeat(least, n)[keep]
+                row, pos, at, one = row[keep], pos[keep].astype(np.int32), at[keep], one[keep]
+                two = window_hash(word_hash(ids, _SEEDS[1]), width, _SEEDS[1])[at]
+                begin, end = ((x + offs[i]).astype(np.int64) for x in (starts[at], ends[at + width - 1]))
+                held.append((docs[i:j][row], subs[i:j][row], pos, one, two, np.where(hot, one, least), hot, at + words_before, begin, end))
                 named.append(ids)
                 words_before += len(ids[0])
             if not held:
                 continue
             doc, sub, pos, one, two, key, hot, at, begin, end = (np.concatenate(x) for x in zip(*held))
             ids = tuple(np.concatenate(x) for x in zip(*named))
+            del held, named
             later = np.zeros(len(doc), bool)
             later[not_first(doc, sub, pos, one, two, same_words(ids, at, width))] = True
+            del one, two, at, ids
             order = np.lexsort((pos, sub, doc))
             doc, sub, pos, key, hot, later, begin, end = (x[order] for x in (doc, sub, pos, key, hot, later, begin, end))
             # runs of windows to compare elsewhere, one by one where they are hot, and runs that are known to go
             alone = np.where(hot & ~later, np.arange(len(doc)), -1)
             s, n = runs(doc, sub, np.where(later, np.uint64(0), key), later, alone, step=pos)
+            del order, alone
             gone = later[s]
             # windows known to go may pass through any task, so each place has a key of its own
             keys = np.where(gone, mix(doc[s].view(np.uint64) ^ mix(pos[s].astype(np.uint64))), key[s]).view(np.int64)

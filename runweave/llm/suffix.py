@@ -36,7 +36,7 @@ from runweave.llm.common import buffer, chunks, gathered, mix, parts, pieces, po
 from runweave.llm.countmin import log_width_for, repeated, sketch_of
 from runweave.llm.induced import InducedSorter
 from runweave.llm.substring import LOWEST, MARK, identified, later_rows, marks_of, repeated_rows
-from runweave.llm.windows import by_key, covered, not_first, ranges, runs, same_spans, sliding_min
+from runweave.llm.windows import by_key, covered, key_runs, not_first, ranges, runs, same_spans
 
 _SEEDS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _GRAM = 48
@@ -59,18 +59,10 @@ def _runs(data: np.ndarray, offs: np.ndarray, cap: int):
     n = np.maximum(np.diff(offs) - cap + 1, 0)
     if not n.sum():
         return None
-    grams = _grams(data, _GRAM, _SEEDS[0])
-    span = cap - _GRAM + 1
-    least = sliding_min(grams, span)
     at = ranges(offs[:-1], n)
     row = np.repeat(np.arange(len(n)), n)
-    s, m = runs(row, least[at], step=at)
-    row, start, key = row[s], at[s], least[at[s]]
-    inside = np.zeros(len(s), np.int64)
-    for k in range(span):
-        inside += grams[start + k] == key
-    entering = np.add.reduceat((grams[at + span - 1] == least[at]).astype(np.int64), s) - (grams[start + span - 1] == key)
-    return row, start, m, key, inside + entering > 1
+    s, m, key, inner = key_runs(_grams(data, _GRAM, _SEEDS[0]), row, at, cap - _GRAM + 1)
+    return row[s], at[s], m, key, inner
 
 
 def removed_runs(d: DataFrame, cap: int = 100, most_cells: int = 1 << 28, crowded: int = 20000, shard: int = 6 << 20) -> DataFrame:

@@ -17,6 +17,23 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
+def key_runs(grams: np.ndarray, row: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows with the same minimiser, the least of the span grams from the window's start.
+
+    at: the first gram of each window, in order; row: its row. Gives start and number of the
+    windows of each run (places in at), the minimiser, and whether it stands twice in the run,
+    as it must where two windows of one run are equal.
+    """
+    least = sliding_min(grams, span)
+    s, m = runs(row, least[at], step=at)
+    start, key = at[s], least[at[s]]
+    inside = np.zeros(len(s), np.int64)
+    for k in range(span):
+        inside += grams[start + k] == key
+    entering = np.add.reduceat((grams[at + span - 1] == least[at]).astype(np.int64), s) - (grams[start + span - 1] == key)
+    return s, m, key, inside + entering > 1
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All numbers of the ranges start .. start + length - 1, one range after the other."""
     total = int(lengths.sum())
