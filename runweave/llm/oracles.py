@@ -58,3 +58,63 @@ WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, regexp_extrac
      v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
                   n_removed_words > 0 AND (n_words - n_removed_words < 20 OR n_words - n_removed_words < 0.5 * n_words) AS depleted FROM base)
 SELECT *, NOT base_failed AND NOT depleted AS kept FROM v"""
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _sketch(text: str) -> str:
+    ws = _WORDS.replace("text", text, 1)
+    return f"(SELECT list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 16)) FROM (SELECT {ws} AS w) WHERE len(w) > 0)"
+
+
+def _like(a: str, b: str) -> str:
+    kept_a, kept_b = (f"list_filter(list_distinct({x}), lambda x: x < '2')" for x in (a, b))
+    both = f"len(list_distinct(list_concat({kept_a}, {kept_b})))"
+    return f"CASE WHEN {both} = 0 THEN (CASE WHEN list_min({a}) IS NOT DISTINCT FROM list_min({b}) THEN 1.0 ELSE 0.0 END)::DOUBLE ELSE len(list_intersect({kept_a}, {kept_b}))::DOUBLE / {both} END"
+
+
+def _text(a: str) -> str:
+    kept = f"list_sort(list_filter(list_distinct({a}), lambda x: x < '2'))"
+    return f"CASE WHEN len({kept}) = 0 THEN coalesce('~' || list_min({a}), '') ELSE array_to_string({kept}, '') END"
+
+
+FINGERPRINTS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER w AS after, first_value(coalesce(text, '')) OVER w AS least FROM documents WINDOW w AS (ORDER BY doc_id)),
+     e AS (SELECT doc_id, t, length(t) AS n, coalesce(after, least) AS nxt FROM d),
+     x AS (SELECT *, substr(t, 1, n - n // 2) || substr(nxt, 1, n // 2) AS edited FROM e),
+     h AS (SELECT doc_id, n, edited, coalesce({_sketch("t")}, []) AS a, coalesce({_sketch("edited")}, []) AS b, coalesce({_sketch("nxt")}, []) AS c FROM x)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {_text("a")} AS fingerprint, {_text("b")} AS edited_fingerprint,
+       {_like("a", "b")} AS near_edited, {_like("a", "c")} AS near_next,
+       CASE WHEN len(list_filter(list_distinct(a), lambda x: x < '2')) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(list_filter(list_distinct(a), lambda x: x < '2'), list_filter(list_distinct(b), lambda x: x < '2')))::DOUBLE
+            / len(list_filter(list_distinct(a), lambda x: x < '2')) END AS kept_in_edited
+FROM h"""
+
+MIXING = f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, ('0x' || substr(md5('9:' || coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS key FROM documents),
+     s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
+     f AS (SELECT *, 3.0::DOUBLE * source_size AS most, row_number() OVER o AS turn,
+                  (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                  / (sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+           FROM s WINDOW o AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST)),
+     l AS (SELECT arg_min(level, turn) AS level FROM f WHERE most / weight >= level),
+     g AS (SELECT source, source_size, least(most, weight * coalesce((SELECT level FROM l), 0.0))::DOUBLE AS target FROM f),
+     c AS (SELECT d.*, g.source_size, g.target, (sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id))::BIGINT AS ahead FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source),
+     e AS (SELECT c.*, k.range AS epoch, (k.range * source_size + ahead)::DOUBLE / target AS finish FROM c, range(0, 3) k WHERE size > 0),
+     r AS (SELECT *, sum(size) OVER (ORDER BY finish, key, doc_id, epoch ROWS UNBOUNDED PRECEDING) AS run FROM e),
+     t AS (SELECT doc_id, count(*) AS epochs, sum(size)::BIGINT AS taken FROM r WHERE run <= (SELECT sum(size) FROM d) GROUP BY doc_id)
+SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(t.epochs, 0)::BIGINT AS epochs, coalesce(t.taken, 0)::BIGINT AS taken FROM c LEFT JOIN t ON t.doc_id = c.doc_id"""
+
+BYTES = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+     n AS (SELECT doc_id, x, octet_length(x) AS n FROM d),
+     v AS (SELECT doc_id, x, unnest(range(0, n - 99)) AS i FROM n WHERE n >= 100),
+     r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x[i + 1:i + 100] ORDER BY doc_id, i) AS turn FROM v),
+     w AS (SELECT doc_id, i, i > lag(i + 100) OVER (PARTITION BY doc_id ORDER BY i) AS opens FROM r WHERE turn > 1),
+     g AS (SELECT doc_id, i, sum(CASE WHEN opens IS NULL OR opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM w),
+     spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, span),
+     gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since, lead(b) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS last FROM spans),
+     kept AS (SELECT p.doc_id, string_agg(hex(x[since + 1:a]), '' ORDER BY a) || hex(any_value(x[b + 1:]) FILTER (WHERE last)) AS hex, sum(b - a) AS removed, count(*) AS spans
+              FROM gaps p JOIN n ON n.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT n.doc_id, n.n::BIGINT AS n_bytes, coalesce(k.removed, 0)::BIGINT AS n_removed, coalesce(k.spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN k.hex IS NULL THEN n.x ELSE unhex(k.hex) END) AS kept_sha256
+FROM n LEFT JOIN kept k ON k.doc_id = n.doc_id"""

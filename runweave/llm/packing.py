@@ -8,13 +8,16 @@ A bin conflicts if it has the piece's cluster, or its source per_source times al
 search goes on to the next larger residual until a bin fits, and opens a new one if none
 does.
 
-Documents are dealt to shards of about shard_docs by the hash of doc_id and each shard is
-packed on its own, so tasks stay the same size at every input size; conflicts are within
-bins, so shards do not touch each other's. Only ids, sources, sizes and text hashes move.
+Documents are dealt to shards of about shard_docs by the hash of all that is known of them,
+copies by their number too, and each shard is packed on its own, so tasks stay the same size
+at every input size, whatever ids repeat; conflicts are within bins, so shards do not touch
+each other's. Only ids, sources, sizes and text hashes move.
 
 Defined cases: null and empty texts are pieces of size 0 and get a bin; a null source is a
-source; a document that stands several times is a cluster, its copies go to different bins;
-an empty table gives an empty result; other columns are ignored.
+source; rows under a null or repeated doc_id are documents of their own; a document that
+stands several times is a cluster, its copies go to different bins; very long texts give
+full bins and a rest; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -78,13 +81,17 @@ def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 4, shard_docs:
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("words"),
         (F.xxhash64(F.coalesce("text", F.lit(""))) if cluster is None else cluster).cast("bigint").alias("cluster"),
     )
-    slim = table(slim, "packing-sizes")
-    shards = max(1, -(-slim.count() // shard_docs))
-    slim = slim.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(shards)))
+    # equal rows are counted and told apart by their number, so reruns agree
+    same = table(slim.groupBy("doc_id", "source", "words", "cluster").agg(F.count("*").alias("rows")), "packing-sizes")
+    shards = max(1, -(-(same.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]) // shard_docs))
+    step = 10_000
+    slim = same.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1, F.lit(step).cast("bigint"))))
+    slim = slim.withColumn("copy", F.explode(F.sequence("_from", F.least(F.col("_from") + step, F.col("rows")) - 1))).drop("_from", "rows")
+    slim = slim.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "doc_id", "source", "words", "cluster", "copy"), F.lit(shards)))
     rest = F.col("words") % capacity
     whole = (F.col("words") - rest) / capacity
     slim = slim.withColumn("full", whole.cast("int")).withColumn("rest", rest)
-    order = ["shard", F.desc("rest"), "doc_id", "cluster", "source", "words"]
+    order = ["shard", F.desc("rest"), "doc_id", "cluster", "source", "words", "copy"]
 
     def run(batches):
         shard, bins, closed = None, None, 0

@@ -103,7 +103,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op4_warc_revisits": oracles.WARC,
+    "op5_document_fingerprints": oracles.FINGERPRINTS,
     "op6_quality_rules": oracles.QUALITY,
+    "op7_suffix_array_dedup": oracles.BYTES,
     "op8_chat_formatting": oracles.CHAT,
+    "op9_mixing_sources": oracles.MIXING,
     "op10_substring_dedup": oracles.SUBSTRING,
 }

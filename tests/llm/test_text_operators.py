@@ -11,7 +11,7 @@ from runweave.llm import countmin, fingerprint, mixing, packing, quality, simhas
 from runweave.llm.common import prepare
 from runweave.llm.induced import InducedSorter
 from runweave.llm.windows import ranges, sliding_min
-from tests_support import brute_fingerprint, brute_removed, split
+from tests_support import brute_fingerprint, brute_mix, brute_removed, split
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -152,12 +152,54 @@ def test_edited_and_next(spark, odd, nothing):
     assert alone.near_next == 1
 
 
+def brute_sketch(text):
+    w = split(text)
+    found = {hashlib.md5(b" ".join(w[i : i + 5])).hexdigest()[:16] for i in range(max(1, len(w) - 4))} if w else set()
+    return sorted(h for h in found if h < "2"), min(found, default=None)
+
+
+def brute_like(a, b):
+    (a, least_a), (b, least_b) = brute_sketch(a), brute_sketch(b)
+    return len(set(a) & set(b)) / len({*a, *b}) if a or b else float(least_a == least_b)
+
+
+def test_sketches_are_exact(spark, odd):
+    docs = odd.dropDuplicates(["doc_id"])
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    got = {r.doc_id: r for r in fingerprint.edited_and_next(docs).collect()}
+    for k, (doc, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        kept, least = brute_sketch(text)
+        assert got[doc].fingerprint == ("".join(kept) or (f"~{least}" if least else ""))
+        assert got[doc].near_edited == pytest.approx(brute_like(text, edited)) and got[doc].near_next == pytest.approx(brute_like(text, after))
+
+
 def test_sketches_merge(spark):
-    d = spark.createDataFrame([(" ".join(f"a{i}" for i in range(3000)), " ".join(f"a{i}" for i in range(2996, 4000)))], "a string, b string")
-    d = d.withColumn("x", quality.words("a")).withColumn("y", quality.words("b")).withColumn("z", F.concat("x", F.slice("y", 5, 5000)))
-    r = d.select(fingerprint.sketch("x").alias("x"), fingerprint.sketch("y").alias("y"), fingerprint.sketch("z").alias("z"))
-    r = r.select("*", fingerprint.merge("x", "y").alias("m"), fingerprint.containment("y", "z").alias("c")).first()
-    assert r.m == r.z and r.c == 1.0 and len(r.x) > 300
+    """The sketch of a union is the union of the sketches, for short texts as well."""
+    rng = random.Random(8)
+    rows = [(" ".join(f"a{rng.randrange(900)}" for _ in range(n)), " ".join(f"b{rng.randrange(900)}" for _ in range(m))) for n, m in [(3000, 1000), (5, 5), (6, 9), (12, 40), (5, 2000)] * 6]
+    d = spark.createDataFrame(rows, "a string, b string")
+    d = fingerprint.with_sketch(fingerprint.with_sketch(d, "a", "x"), "b", "y").withColumn("m", fingerprint.merge("x", "y"))
+    for r in d.select("a", "b", "x", "m", fingerprint.containment("x", "m").alias("c")).collect():
+        (x, least_x), (y, least_y) = brute_sketch(r.a), brute_sketch(r.b)
+        assert (r.m.kept, r.m.least) == (sorted({*x, *y}), min(least_x, least_y)) and r.c == 1.0
+        assert all(h < "2" for h in r.m.kept)
+
+
+def test_ranges_of_one_id(spark):
+    """Rows under one id, null among them, are cut into ranges by their texts."""
+    rows = [(None, f"text {i} " + "w " * (i % 7)) for i in range(300)] + [(i, f"other {i}") for i in range(100)] + [(50, "tie")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = fingerprint.with_next(d, rows_in_range=8).collect()
+    assert len(got) == len(rows) and all(r.next_text is not None for r in got)
+    assert sorted(r.next_text for r in got) == sorted(t for _, t in rows)  # one round through all
+    after = {r.text: r.next_text for r in got}
+    assert [after[f"other {i}"] for i in range(48)] == [f"other {i + 1}" for i in range(48)]
+    slim = d.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_order"), F.xxhash64("text").alias("_tie"))
+    cuts = fingerprint._splits(slim, 40)
+    assert sum(o == -(2**63) for o, _ in cuts) > 10
 
 
 # ---------------------------------------------------------------- quality
@@ -224,6 +266,24 @@ def test_mix(spark, odd, nothing):
     assert sorted(map(key, got)) == sorted(map(key, again))
     sent = mixing.mixed_documents(docs)
     assert sent.columns == docs.columns and sent.count() == sum(r.epochs for r in got)
+    largest = max(r["size"] for r in got)
+    for s in names:  # each source comes near its target
+        taken = sum(r.taken for r in got if abs(r.target - target[s]) < 1e-6 and r.source_size == size[s])
+        same = sum(1 for x in names if size[x] == size[s] and abs(target[x] - target[s]) < 1e-6)
+        assert abs(taken - same * target[s]) <= 2 * largest
+
+
+def test_mix_by_hand(spark):
+    """The first rows by virtual finish time, one by one; clashing columns come through."""
+    rng = random.Random(6)
+    rows = [(i if i % 9 else None, " ".join(f"t{i}" for _ in range(rng.randrange(0, 30))), rng.choice(["a", "b", "c", "d", None]), i, i, i) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, text_hash int, same int, _epochs int")
+    want = {i: n for i, n in enumerate(brute_mix([r[:3] for r in rows])) if n}
+    got = {}
+    for r in mixing.mixed_documents(docs).collect():
+        assert (r.doc_id, r.text, r.source, r.text_hash, r.same, r._epochs) == rows[r.same]
+        got[r.same] = got.get(r.same, 0) + 1
+    assert got == want
 
 
 # ---------------------------------------------------------------- substrings
@@ -302,6 +362,40 @@ def test_packing(spark, odd, nothing):
             assert sum(r.source == s for r in rows) <= 2
 
 
+def plain_best_fit(pieces, capacity, per_source):
+    """(bin, offset) of pieces (size, source, cluster) in order: of all bins that may take one, the fullest."""
+    bins, out = [], []
+    for size, source, group in pieces:
+        fits = [(capacity - sum(x[0] for x in b), k) for k, b in enumerate(bins)]
+        fits = [(r, k) for r, k in fits if r >= size and all(x[2] != group for x in bins[k]) and sum(x[1] == source for x in bins[k]) < per_source]
+        k = min(fits, default=(0, len(bins)))[1]
+        if k == len(bins):
+            bins.append([])
+        out.append((k, sum(x[0] for x in bins[k])))
+        bins[k].append((size, source, group))
+    return out
+
+
+def test_packing_is_best_fit(spark, odd):
+    """Each shard's bins are those of plain best fit; null and repeated ids are spread over shards."""
+    rng = random.Random(7)
+    rows = [(None if i % 3 else i // 2, f"t{rng.randrange(40)} " * rng.randrange(0, 70), rng.choice(["a", "b", None])) for i in range(400)] + [(None, "same text", "a")] * 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("shard", F.lit("x")).withColumn("copy", F.lit("y"))
+    got = packing.pack(docs, capacity=100, per_source=2, shard_docs=50).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(r.bin >> 32, []).append(r)
+    assert sum(r["size"] for r in got) == sum(len(split(t)) for _, t, _ in rows) and len(shards) == 14
+    assert max(len(x) for x in shards.values()) < 120
+    null_first = lambda x: (x is not None, x if x is not None else 0)
+    for own in shards.values():
+        own.sort(key=lambda r: (-r["size"], null_first(r.doc_id), r.cluster, null_first(r.source), r.bin, r.bin_offset))
+        want = plain_best_fit([(r["size"], r.source, r.cluster) for r in own], 100, 2)
+        assert sorted(want) == sorted((r.bin & 0xFFFFFFFF, r.bin_offset) for r in own)
+    again = packing.pack(docs.repartition(7), capacity=100, per_source=2, shard_docs=50).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_best_fit_takes_the_tightest():
     b = packing.Bins(100, 1)
     assert [b.place(60, "a", 1), b.place(50, "b", 2), b.place(40, "c", 3)] == [(0, 0), (1, 0), (0, 60)]
