@@ -5,7 +5,8 @@ least_bytes the record with the largest page_id is the response and the others b
 revisits of it. Archives are written with fresh headers by Spark's own text writer, whose
 line separator is the CRLF CRLF that ends every WARC record, so any file system that Spark
 writes to will do. Reading parses the files' records by Content-Length, checks each payload
-against its digest, and joins revisits to the responses they refer to.
+against its digest, and joins revisits to the responses they refer to. It takes archives of one gzip
+member, of one a record, or without compression, and holds one record at a time.
 
 Only headers are grouped; the largest page_id of a digest is a partial aggregate, and the
 join back to the headers can be split by adaptive execution, so a payload that a third of
@@ -13,8 +14,9 @@ all pages share does not land in one task.
 
 Defined cases: null html is an empty payload; a null url is written as an urn of the page;
 rows with equal page_id and payload are equal records (all responses if theirs is the
-largest page_id); a null page_id comes before all others and is read back as null; an empty
-table gives no records; other columns are ignored.
+largest page_id); a null page_id comes before all others and is read back as null, as is the
+id -2^63; very long pages are written whole; an empty table gives no records; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,21 +90,61 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, date: s
     )
 
 
-def records(data: bytes):
-    """(headers, block) of the records of an archive; Content-Length alone says where a block ends."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8").split(_EOL)
+def inflated(data: memoryview, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of an archive in parts, of all its gzip members if it is compressed."""
+    if bytes(data[:2]) != b"\x1f\x8b":
+        yield from (bytes(data[i : i + step]) for i in range(0, len(data), step))
+        return
+    member, at = zlib.decompressobj(31), 0
+    rest = b""
+    while at < len(data) or rest:
+        part = rest or bytes(data[at : at + step])
+        at += 0 if rest else step
+        rest = b""
+        while part:
+            yield member.decompress(part, step)
+            if member.eof:
+                rest, part = member.unused_data, b""
+                member = zlib.decompressobj(31)
+            else:
+                part = member.unconsumed_tail
+    yield member.flush()
+
+
+def records(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of the records of an archive; Content-Length alone says where a block ends.
+
+    No more than one record and one part are held.
+    """
+    parts, held, passed = iter(parts), bytearray(), 0
+
+    def fill(size: int) -> bool:
+        while len(held) < size:
+            more = next(parts, None)
+            if more is None:
+                return False
+            held.extend(more)
+        return True
+
+    while True:
+        stop = held.find(b"\r\n\r\n")
+        while stop < 0:
+            if not fill(len(held) + 1):
+                if held.strip():
+                    raise ValueError(f"record at byte {passed} has no end of headers")
+                return
+            stop = held.find(b"\r\n\r\n")
+        lines = held[:stop].decode("utf-8").split(_EOL)
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
+            raise ValueError(f"no WARC record at byte {passed}")
+        head = {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in lines[1:])}
         begin = stop + 4
-        end = begin + int(head["Content-Length"])
-        yield head, data[begin:end]
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} does not end where its length says")
-        at = end + 4
+        end = begin + int(head["content-length"])
+        if not fill(end + 4) or held[end : end + 4] != b"\r\n\r\n":
+            raise ValueError(f"record at byte {passed} does not end where its length says")
+        yield head, bytes(held[begin:end])
+        del held[: end + 4]
+        passed += end + 4
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -114,15 +157,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 out = []
-                for head, block in records(zlib.decompress(content.as_buffer(), 31)):
-                    page = head.get("X-Page-Id")
-                    kind = head["WARC-Type"]
+                for head, block in records(inflated(memoryview(content.as_buffer()))):
+                    page = head.get("x-page-id")
+                    kind = head["warc-type"]
                     size = digest = intact = None
                     if kind == "response":
                         payload = block[block.index(b"\r\n\r\n") + 4 :]
                         size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-                        intact = head["WARC-Payload-Digest"] == f"sha1:{digest}"
-                    out.append((int(page) if page is not None else None, head["WARC-Target-URI"], head["WARC-Record-ID"], kind, head.get("WARC-Refers-To"), size, digest, intact))
+                        intact = head["warc-payload-digest"] == f"sha1:{digest}"
+                    out.append((int(page) if page is not None else None, head["warc-target-uri"], head["warc-record-id"], kind, head.get("warc-refers-to"), size, digest, intact))
                 types = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=re.findall(r"(\w+) \w+(?:,|$)", _ROW))
 

@@ -1,8 +1,12 @@
 """WARC archives and chat trees: exact round trips and their defined cases."""
 
+import gzip
 import hashlib
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from runweave.llm import chat, warc
 from runweave.llm.common import new_path, prepare
 
@@ -37,6 +41,45 @@ def test_repeated_and_no_pages(spark):
     assert archived(spark, d.where("page_id > 5")) == []
 
 
+def test_archives_of_others(spark, tmp_path):
+    """One gzip member a record, plain archives, odd headers and long blocks; broken archives are refused."""
+    bodies = [b"x" * n for n in (0, 5, 3_000_000)] + [b"a\r\n\r\nWARC/1.0\r\n"]
+
+    def record(k, body):
+        http = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        head = f"WARC/1.0\r\nwarc-type:response\r\nWARC-Record-ID: <urn:{k}>\r\nWARC-Target-URI:  http://h/{k}\r\nWARC-Payload-Digest: sha1:{hashlib.sha1(body).hexdigest()}\r\ncontent-length: {len(http)}\r\n\r\n"
+        return head.encode() + http + b"\r\n\r\n"
+
+    raw = [record(k, b) for k, b in enumerate(bodies)]
+    for name, data in (("members.warc.gz", b"".join(map(gzip.compress, raw))), ("whole.warc.gz", gzip.compress(b"".join(raw))), ("plain.warc", b"".join(raw))):
+        (tmp_path / name).write_bytes(data)
+        got = sorted((r.record_id, r.payload_bytes, r.intact) for r in warc.read_archives(prepare(spark), f"file://{tmp_path}/{name}").collect())
+        assert got == [(f"<urn:{k}>", len(b), True) for k, b in enumerate(bodies)]
+        assert [b for _, b in warc.records(warc.inflated(memoryview(data), 7 if len(data) < 10**5 else 1 << 16))][3].endswith(bodies[3])
+    with pytest.raises(ValueError):
+        list(warc.records([raw[1][:-3]]))
+
+
+def test_long_pages_and_clashing_columns(spark):
+    rows = [(1, "u", "z" * 2_000_000), (2, "u", "z" * 2_000_000), (3, "v", None)]
+    d = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for name in ("ord", "digest", "n", "refers", "block", "value"):
+        d = d.withColumn(name, F.lit(7))
+    assert sorted((r.page_id, r.record_type, r.payload_bytes) for r in archived(spark, d)) == [(1, "revisit", 2_000_000), (2, "response", 2_000_000), (3, "response", 0)]
+
+
+def test_long_turns_and_clashing_columns(spark):
+    long = "[é]" * 200_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "user", long), (2, 1, "assistant", "b")]
+    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for name in ("rank", "pack", "path", "conv", "node", "seq"):
+        d = d.withColumn(name, F.lit("x"))
+    path = new_path(prepare(spark), "chat")
+    chat.write_trees(d, path)
+    got = {r.conv_id: r for r in chat.read_trees(spark.read.parquet(path)).collect()}
+    assert got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest() and got[2].loss_chars == 1
+
+
 def read_back(spark, rows):
     path = new_path(prepare(spark), "chat")
     chat.write_trees(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, extra int"), path)
