@@ -145,7 +145,8 @@ class Decoder:
     def search(self, span: str) -> tuple[str, float]:
         """The likeliest reading and its log probability."""
         keys, scores, back, settled = [(0, 0, "")], [0.0], [], []
-        logp, drop_repeat = self.logp, self.drop_repeat
+        logp, drop_repeat, due = self.logp, self.drop_repeat, self.settle
+        shared: dict[tuple, tuple] = {}
         for ch in span:
             options = self._options(ch)
             index: dict[tuple[int, int, str], int] = {}
@@ -167,9 +168,11 @@ class Decoder:
                         elif new_scores[at] < value:
                             new_scores[at], steps[at] = value, (i, out)
             keys, scores = new_keys, new_scores
-            back.append(steps)
-            if len(back) >= self.settle:
+            made = tuple(steps)
+            back.append(shared.setdefault(made, made))  # few differ: 8 bytes a character
+            if len(back) >= due:
                 back = self._settle(back, len(keys), settled)
+                due = max(self.settle, 2 * len(back))
         last = max(range(len(keys)), key=lambda i: (scores[i] + logp[keys[i][0]][keys[i][1]][0], keys[i]))
         total = scores[last] + logp[keys[last][0]][keys[last][1]][0]
         tail = []
