@@ -29,14 +29,20 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("runweave.shared.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="runweave-")
         spark.conf.set("runweave.shared.dir", path)
     return path.rstrip("/")
 
 
+#: Tables that this process has made and not yet forgotten.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -44,10 +50,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends at files that outlive executors."""
     path = new_path(df.sparkSession, name)
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tables_made() -> int:
+    return len(_MADE)
+
+
+def forget_tables(spark: SparkSession, since: int) -> None:
+    """Deletes the tables made after tables_made() was since: for callers who have written what was computed from them."""
+    while len(_MADE) > since:
+        drop_path(spark, _MADE.pop())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

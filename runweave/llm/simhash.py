@@ -6,16 +6,18 @@ counts, so two fingerprints within tau differ in at most T_p bits of some partit
 Every distinct fingerprint probes partition p with all values within T_p of its own, and
 candidates are verified by the full Hamming distance inside the join.
 
-Dense partition values are left to exact ways that emit no pairs. Up to a size, a value's
-members and probers meet as a group and give a spanning forest. Beyond, for thresholds 2 and
-4 (here 4): fingerprints within 4 bits share a fingerprint within 2 bits of both, so each one that
-probes a crowded value is tied to all such midpoints, and those that meet at one are linked.
-Above 4 bits midpoints are too many, and odd thresholds have none; there a crowded value's
-probers are dealt over groups.
+Dense partition values are left to exact ways that emit no pairs. A value's members and
+probers are dealt into blocks of bounded size, by the numbers of both, and each block gives
+a spanning forest. Values with more than crowded members, for thresholds 2 and 4 (here 4):
+fingerprints within 4 bits share a fingerprint within 2 bits of both, so each one that
+probes a crowded value is tied to all such midpoints, and those that meet at one are linked;
+each task thins its links to a forest. Above 4 bits midpoints are too many, and odd
+thresholds have none; there blocks do all the work.
 
 Nulls and texts without words have fingerprint zero and are linked like any other. Equal
-fingerprints are one node whatever the number of rows; repeated rows stay. An empty table
-gives an empty result.
+fingerprints are one node whatever the number of rows; repeated rows stay. The id -2^63 is
+read as null. Very long texts are read as a whole. Other columns are ignored, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runweave.llm.common import buffer, chunks, components, parts, table, word_bounds
@@ -38,7 +40,7 @@ _LOWER[65:91] += 32
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64)[:, 0]
 
 
-def _fingerprints(data: np.ndarray, offs: np.ndarray, width: int, seed: int) -> np.ndarray:
+def fingerprints_of(data: np.ndarray, offs: np.ndarray, width: int, seed: int = 42) -> np.ndarray:
     """Signed 64-bit fingerprints of the rows."""
     data = _LOWER[data]
     starts, ends, first = word_bounds(data, offs)
@@ -89,7 +91,7 @@ def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42, id_col: str =
             ids, text = batch.column(0), batch.column(1)
             data, offs = buffer(text)
             found = [
-                _fingerprints(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width, seed)
+                fingerprints_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width, seed)
                 for i, j in chunks(offs)
             ]
             fp = np.concatenate(found) if found else np.zeros(0, np.int64)
@@ -139,20 +141,38 @@ def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def allot(n: int, both: np.ndarray, groups: list[list[int]], tau: int) -> tuple[float, list[int]]:
-    """Thresholds (-1: not probed) of the least estimated probes and candidates, by dynamic programming."""
+def equal_shares(fps: DataFrame, plans: list[list[list[int]]]) -> list[list[float]]:
+    """For each group of each plan the share of ordered pairs, of all fingerprints, that agree on its bits."""
+    ids = [(i, j) for i, groups in enumerate(plans) for j in range(len(groups))]
+    keys = [F.struct(F.lit(k).alias("k"), _value(plans[i][j]).alias("v")) for k, (i, j) in enumerate(ids)]
+    counts = fps.select(F.explode(F.array(*keys)).alias("x")).groupBy("x.k", "x.v").agg(F.count("*").cast("double").alias("n"))
+    rows = counts.groupBy("k").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("n")).collect()  # a row a group
+    out = [[1.0] * len(groups) for groups in plans]
+    for r in rows:
+        i, j = ids[r.k]
+        out[i][j] = r.pairs / (r.n * r.n)
+    return out
+
+
+def allot(n: int, both: np.ndarray, groups: list[list[int]], tau: int, equal: list[float] | None = None) -> tuple[float, list[int]]:
+    """Thresholds (-1: not probed) of the least estimated probes and candidates, by dynamic programming.
+
+    equal: for each group the share of pairs that agree on it, which correlation raises above
+    what the single bits tell; the shares within a few bits are raised in proportion.
+    """
     n = max(n, 1)  # without fingerprints all choices would cost the same, the widest too
     p = np.diag(both) / n
     differ = 2 * p * (1 - p)
     costs = []
-    for group in groups:
+    for g, group in enumerate(groups):
         dist = np.array([1.0])
         for b in group:
             dist = np.convolve(dist, [1 - differ[b], differ[b]])
+        raised = max(1.0, equal[g] / max(dist[0], 1e-300)) if equal else 1.0
         ball, row = 0, [0.0]
         for t in range(tau + 1):
             ball += _choose(len(group), t)
-            row.append(n * ball * 3.0 + n * float(n) * dist[: t + 1].sum())
+            row.append(n * ball * 3.0 + n * float(n) * min(1.0, raised * dist[: t + 1].sum()))
         costs.append(row)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for row in costs:
@@ -177,39 +197,39 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def _value(group: list[int]) -> Column:
+    """The bits of fp that belong to a group."""
+    return F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in group))))
+
+
 def _masks(bits: list[int], most: int) -> list[int]:
     return [_signed(sum(1 << b for b in c)) for k in range(most + 1) for c in combinations(bits, k)]
 
 
-def links(fps: DataFrame, tau: int = 4, dense: int = 24, crowded: int = 4096) -> DataFrame:
+def links(fps: DataFrame, tau: int = 4, dense: int = 24, crowded: int = 2048, share: int = 256) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints within tau bits of each other.
 
-    fps: distinct fp BIGINT. Below dense members, every pair within tau that a partition
-    value brings together is a link. The members and probers of a dense value meet as a
-    group and give a spanning forest, so links stay fewer than rows. Values with more than
-    crowded members go through midpoints for tau 2 and 4; else their probers are dealt over
-    several groups.
+    fps: distinct fp BIGINT. Up to dense members, every pair within tau that a partition
+    value brings together is a link. The members and probers of a dense value are dealt into
+    blocks of at most about share of each, and every block gives a spanning forest, so its
+    links stay fewer than its rows. Values with more than crowded members go through
+    midpoints for tau 2 and 4.
     """
     n, both = bit_statistics(fps)
-    plans = []
-    for m in range(2, tau + 2):
-        groups = group_bits(n, both, m)
-        cost, ts = allot(n, both, groups, tau)
-        plans.append((cost, groups, ts))
-    _, groups, ts = min(plans, key=lambda x: x[0])
+    plans = [group_bits(n, both, m) for m in range(2, tau + 2)]
+    costs = [allot(n, both, groups, tau, equal) for groups, equal in zip(plans, equal_shares(fps, plans))]
+    (_, ts), groups = min(zip(costs, plans), key=lambda x: x[0][0])
     used = [(p, g, t) for p, (g, t) in enumerate(zip(groups, ts)) if t >= 0]
-    value = lambda g: F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in g))))
-    keys = F.array(*[F.struct(F.lit(p).alias("p"), value(g).alias("v")) for p, g, t in used])
+    keys = F.array(*[F.struct(F.lit(p).alias("p"), _value(g).alias("v")) for p, g, t in used])
     data = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.p", "k.v")
     probes = None
     for p, g, t in used:
         each = F.explode(F.array(*[F.lit(x) for x in _masks(g, t)]))
-        part = fps.select("fp", value(g).alias("own"), each.alias("x")).select(
+        part = fps.select("fp", _value(g).alias("own"), each.alias("x")).select(
             F.col("fp").alias("q"), F.lit(p).alias("p"), F.col("own").bitwiseXOR(F.col("x")).alias("v")
         )
         probes = part if probes is None else probes.unionByName(part)
-    sizes = data.groupBy("p", "v").count().where(F.col("count") > dense)
-    hot = table(sizes.select("p", "v", (F.col("count") / crowded).cast("int").alias("more")), "simhash-hot")
+    hot = table(data.groupBy("p", "v").agg(F.count("*").alias("members")).where(F.col("members") > dense), "simhash-hot")
     near = F.bit_count(F.col("q").bitwiseXOR(F.col("fp"))) <= tau
     d = data.join(hot, ["p", "v"], "left_anti").alias("d")
     pairs = probes.alias("pr").join(d, (F.col("d.p") == F.col("pr.p")) & (F.col("d.v") == F.col("pr.v")) & (F.col("q") != F.col("fp")) & near)
@@ -217,20 +237,24 @@ def links(fps: DataFrame, tau: int = 4, dense: int = 24, crowded: int = 4096) ->
     grouped = hot
     midpoints = tau <= 4 and tau % 2 == 0  # at odd distances no fingerprint lies within half of both
     if midpoints:
-        packed = probes.join(hot.where("more > 0"), ["p", "v"], "left_semi").select(F.col("q").alias("fp")).distinct()
+        packed = probes.join(hot.where(F.col("members") > crowded), ["p", "v"], "left_semi").select(F.col("q").alias("fp")).distinct()
         out = out.unionByName(midpoint_links(packed, tau))
-        grouped = hot.where("more = 0")
-    # each share of the probers of a value meets all its members
-    asking = probes.join(grouped, ["p", "v"]).select(
-        "p", "v", F.pmod(F.xxhash64("q"), F.col("more") + 1).cast("int").alias("salt"), F.lit(True).alias("asks"), F.col("q").alias("fp")
-    )
-    asked = data.join(grouped, ["p", "v"]).select("p", "v", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("salt"), F.lit(False).alias("asks"), "fp")
-    met = asking.unionByName(asked).repartition(parts(fps.sparkSession), "p", "v", "salt").sortWithinPartitions("p", "v", "salt")
+        grouped = hot.where(F.col("members") <= crowded)
+    asking = table(probes.join(grouped, ["p", "v"]).select("p", "v", "members", F.col("q").alias("fp")), "simhash-asking")
+    blocks = lambda c: F.ceil(F.col(c) / share).cast("int")
+    sizes = asking.groupBy("p", "v").agg(F.first("members").alias("members"), F.count("*").alias("probers"))
+    sizes = table(sizes.select("p", "v", blocks("members").alias("mb"), blocks("probers").alias("qb")), "simhash-sizes")
+    # each block of probers meets each block of members
+    asks = asking.select("p", "v", "fp").join(sizes, ["p", "v"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("qb")).cast("int"))
+    asks = asks.select("p", "v", F.explode(F.sequence(F.col("own") * F.col("mb"), F.col("own") * F.col("mb") + F.col("mb") - 1)).alias("block"), F.lit(True).alias("asks"), "fp")
+    asked = data.join(sizes, ["p", "v"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("mb")).cast("int"))
+    asked = asked.select("p", "v", F.explode(F.transform(F.sequence(F.lit(0), F.col("qb") - 1), lambda i: i * F.col("mb") + F.col("own"))).alias("block"), F.lit(False).alias("asks"), "fp")
+    met = asks.unionByName(asked).repartition(parts(fps.sparkSession), "p", "v", "block").sortWithinPartitions("p", "v", "block")
     return out.unionByName(met.mapInArrow(lambda batches: _forests(batches, tau), "a bigint, b bigint"))
 
 
 def _forests(batches, tau: int):
-    """Spanning forests of the groups (p, v, salt), which come sorted."""
+    """Spanning forests of the groups (p, v, block), which come sorted."""
     at, held = None, []
 
     def close():
@@ -243,10 +267,10 @@ def _forests(batches, tau: int):
     for batch in batches:
         if not len(batch):
             continue
-        p, v, salt, asks, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-        cuts = np.flatnonzero((p[1:] != p[:-1]) | (v[1:] != v[:-1]) | (salt[1:] != salt[:-1])) + 1
+        p, v, block, asks, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        cuts = np.flatnonzero((p[1:] != p[:-1]) | (v[1:] != v[:-1]) | (block[1:] != block[:-1])) + 1
         for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)]):
-            key = (p[i], v[i], salt[i])
+            key = (p[i], v[i], block[i])
             if key != at:
                 yield from close()
                 at, held = key, []
@@ -278,14 +302,52 @@ def forest(asking: np.ndarray, asked: np.ndarray, tau: int, block: int = 1 << 20
 
 
 def midpoint_links(fps: DataFrame, tau: int) -> DataFrame:
-    """Links through shared fingerprints within half of tau bits; tau must be even."""
+    """Links through shared fingerprints within half of tau bits; tau must be even.
+
+    The least fingerprint of a midpoint is a partial aggregate, and the join back to it can
+    be split, so a midpoint that many share does not land in one task.
+    """
     flips = F.explode(F.array(*[F.lit(x) for x in _masks(list(range(64)), tau // 2)]))
     at = fps.select("fp", flips.alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("mid"))
     least = at.groupBy("mid").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("mid", "b")
-    return at.join(least, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    found = at.join(least, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    return found.mapInArrow(_thinned, "a bigint, b bigint").distinct()
+
+
+def _thinned(batches, most: int = 1 << 20):
+    """Links that connect the same, fewer than there are nodes in each part of a task."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def close():
+        nodes, index = np.unique(np.concatenate([x for pair in held for x in pair]), return_inverse=True)
+        split = np.cumsum([0, *(len(x) for pair in held for x in pair)])
+        a = np.concatenate([index[split[k] : split[k + 1]] for k in range(0, 2 * len(held), 2)])
+        b = np.concatenate([index[split[k] : split[k + 1]] for k in range(1, 2 * len(held), 2)])
+        label = np.arange(len(nodes))
+        while True:
+            before = label.copy()
+            np.minimum.at(label, a, label[b])
+            np.minimum.at(label, b, label[a])
+            while (label[label] != label).any():
+                label = label[label]
+            if (label == before).all():
+                break
+        far = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], names=["a", "b"])
+
+    for batch in batches:
+        if len(batch):
+            held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
+            size += len(batch)
+        if size >= most:
+            yield close()
+            held, size = [], 0
+    if held:
+        yield close()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, tau: int = 4, dense: int = 24, crowded: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, tau: int = 4, dense: int = 24, crowded: int = 2048, share: int = 256) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most tau bits.
 
     Links are brought to the smallest doc_id of each fingerprint before components are
@@ -296,7 +358,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, tau: int = 4, dense: int =
     own = F.coalesce("doc_id", F.lit(_LOWEST))
     distinct = fps.groupBy("fp").agg(F.min(own).alias("least"))
     distinct = table(distinct.select("fp", F.struct("least", "fp").alias("name")), "simhash-distinct")
-    found = table(links(distinct.select("fp"), tau, dense, crowded).distinct(), "simhash-links")
+    found = table(links(distinct.select("fp"), tau, dense, crowded, share).distinct(), "simhash-links")
     a, b = (distinct.select(F.col("fp").alias(c), F.col("name").alias(f"name_{c}")) for c in "ab")
     roots = components(found.join(a, "a").join(b, "b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b")), "simhash-components")
     named = distinct.join(roots, distinct.name == roots.node, "left").select("fp", F.coalesce("root", "name")["least"].alias("root"))

@@ -8,37 +8,14 @@ from pyspark.sql import functions as F
 import corpus_pipeline as cp
 from runweave.llm import resemblance
 from runweave.llm.common import prepare
-from tests_support import split
+from tests_support import brute_kept
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def brute_kept(rows, width=5):
-    """Indexes of the rows kept: the first (doc_id, null first) of each component, exact Jaccard >= 4/5."""
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
-    sets = {}
-    for i in order:
-        w = [x.lower() for x in split(rows[i][1])]
-        sets[i] = {tuple(w[j : j + width]) for j in range(max(1, len(w) - width + 1))} if w else set()
-    root = {i: i for i in order}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for k, i in enumerate(order):
-        for j in order[:k]:
-            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                if a != b:
-                    root[max(a, b, key=order.index)] = min(a, b, key=order.index)
-    return sorted(i for i in order if find(i) == i)
-
-
-@pytest.mark.parametrize("crowded", [1024, 3])
-def test_similar_texts(spark, crowded):
+@pytest.mark.parametrize("share,pivots", [(512, 16), (3, 2), (4, 0)])
+def test_similar_texts(spark, share, pivots):
     prepare(spark)
     rng = random.Random(3)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
@@ -50,7 +27,7 @@ def test_similar_texts(spark, crowded):
                 copy[at] = f"x{rng.randrange(10**6)}"
             rows.append((1000 + len(rows), " ".join(copy)))
     docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA)
-    got = resemblance.first_of_each(docs, 5, crowded).collect()
+    got = resemblance.first_of_each(docs, 5, share, pivots).collect()
     assert sorted(r.id for r in got) == sorted(rows[i][0] for i in brute_kept(rows))
 
 
