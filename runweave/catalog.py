@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +12,11 @@ from pyspark.sql.window import Window as W
 
 from runweave.functions import hashing, scalar
 from runweave.operators import bloom, policy, resolve, runs, stats, telemetry, workload
+from runweave.plans import maintenance, reports
 from runweave.session import ship_code
-from runweave.sources import oplog
+from runweave.sources import files, oplog
+from runweave.sources import runs as store
+from runweave.streaming import latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,10 +25,16 @@ ORACLES: dict[str, str] = {}
 RUN = 1000
 
 
-def query(sql: str | None = None):
+#: SQL that needs text defined further down; filled in at the end.
+_LATER: dict[str, Callable[[], str]] = {}
+
+
+def query(sql: str | Callable[[], str] | None = None):
     def register(f):
         QUERIES[f.__name__] = f
-        if sql is not None:
+        if callable(sql):
+            _LATER[f.__name__] = sql
+        elif sql is not None:
             ORACLES[f.__name__] = sql
         return f
 
@@ -74,6 +85,11 @@ def multi_get(spark, sf_dir):
     return resolve.get_many(_log(spark, sf_dir), spark.range(0, 100).select((F.col("id") * 7).alias("key")))
 
 
+@query(f"{LAST} SELECT k.range * 7 AS key FROM range(0, 100) k WHERE k.range * 7 NOT IN (SELECT key FROM last WHERE op = 'PUT')")
+def missing_keys(spark, sf_dir):
+    return resolve.missing(_log(spark, sf_dir), spark.range(0, 100).select((F.col("id") * 7).alias("key")))
+
+
 @query(f"{LAST} SELECT key, value FROM last WHERE op = 'PUT' AND key BETWEEN 20 AND 80")
 def range_scan(spark, sf_dir):
     return resolve.scan(_log(spark, sf_dir), 20, 80)
@@ -142,12 +158,14 @@ def zone_overlap(spark, sf_dir):
     return runs.overlapping(runs.metadata(_runs(spark, sf_dir)), 10, 50).select("run_id", "min_key", "max_key")
 
 
-@query(f"""{META}, keys AS (SELECT range * 3 AS key FROM range(0, 80)), hit AS (SELECT r.key, max(run_id) AS found_run FROM runs r JOIN keys USING (key) GROUP BY r.key)
-    SELECT k.key, max(h.found_run) AS found_run, count(*) AS probes FROM keys k JOIN meta m ON k.key BETWEEN m.min_key AND m.max_key
-    LEFT JOIN hit h ON h.key = k.key WHERE h.found_run IS NULL OR m.run_id >= h.found_run GROUP BY k.key""")
-def probe_path(spark, sf_dir):
+def _lookup(spark, sf_dir):
     r = _runs(spark, sf_dir)
-    return runs.probe_path(r, runs.metadata(r), spark.range(0, 80).select((F.col("id") * 3).alias("key")))
+    return runs.probe_path(r, runs.metadata(r, "level", "run_id"), spark.range(0, 80).select((F.col("id") * 3).alias("key")))
+
+
+@query(lambda: f"{LOOKUP} SELECT * FROM looked")
+def probe_path(spark, sf_dir):
+    return _lookup(spark, sf_dir)
 
 
 @query(f"""{FLUSHED} SELECT level, run_id, key, op, value, seq FROM runs WHERE level = 2 UNION ALL
@@ -242,10 +260,28 @@ def _probe_sql(keys: str, blocks: int, k: int) -> str:
         FROM {keys}, range(0, {k}) i"""
 
 
+def _level_probe_sql(rows: str) -> str:
+    """level, key, block, bit for rows with level, key and the level's number of blocks."""
+    return f"""SELECT level, key, ({_h('key::UBIGINT')} % blocks::UBIGINT)::BIGINT AS block,
+        ((({_h('key::UBIGINT', hashing.SALT_B)} % 512)::BIGINT + i.range * (({_h('key::UBIGINT', hashing.SALT_STEP)} | 1) % 512)::BIGINT) % 512)::BIGINT AS bit
+        FROM {rows}, range(0, 10) i"""
+
+
+LOOKUP = f"""{META}, keys AS (SELECT range * 3 AS key FROM range(0, 80)), lv AS (SELECT level, greatest(1, ceil(count(*) * 14 / 512.0))::BIGINT AS blocks FROM runs GROUP BY level),
+    have AS (SELECT DISTINCT level, block, bit FROM ({_level_probe_sql('(SELECT r.level, r.key, lv.blocks FROM runs r JOIN lv ON lv.level = r.level)')})),
+    hits AS (SELECT r.*, row_number() OVER (PARTITION BY key ORDER BY level, run_id DESC) AS turn FROM runs r JOIN keys USING (key)),
+    found AS (SELECT k.key, h.level AS found_level, h.run_id AS found_run, h.op FROM keys k LEFT JOIN hits h ON h.key = k.key AND h.turn = 1),
+    asked AS (SELECT f.*, lv.level, lv.blocks FROM found f, lv WHERE f.found_level IS NULL OR lv.level <= f.found_level),
+    tested AS (SELECT p.key, p.level, count(h.bit) = count(*) AS maybe FROM ({_level_probe_sql('asked')}) p LEFT JOIN have h ON h.level = p.level AND h.block = p.block AND h.bit = p.bit GROUP BY p.key, p.level),
+    steps AS (SELECT a.key, a.found_level, a.found_run, a.op, a.level, t.maybe, (SELECT count(*) FROM meta m WHERE m.level = a.level AND a.key BETWEEN m.min_key AND m.max_key
+        AND (a.found_level IS NULL OR a.level < a.found_level OR m.run_id >= a.found_run)) AS runs FROM asked a JOIN tested t ON t.key = a.key AND t.level = a.level),
+    looked AS (SELECT key, any_value(found_level) AS found_level, any_value(found_run) AS found_run, any_value(op) AS op, count(*) AS level_probes,
+        coalesce(sum(runs) FILTER (WHERE maybe), 0)::BIGINT AS run_probes, count(*) FILTER (WHERE maybe AND (found_level IS NULL OR level < found_level)) AS false_positives FROM steps GROUP BY key)"""
+
+
 @query(f"WITH {KEYS} SELECT key, block, bit FROM ({_probe_sql('keys', 5, 10)})")
 def bloom_probe(spark, sf_dir):
-    p = bloom.probes(_log(spark, sf_dir).select("key").distinct(), 5, 10)
-    return p.select("key", "block", F.explode("bits").alias("bit"))
+    return bloom.probe_rows(_log(spark, sf_dir).select("key").distinct(), 5, 10)
 
 
 _MEMBERS = f"{KEYS}, probes AS (SELECT range AS key FROM range(0, 4000)), have AS (SELECT DISTINCT block, bit FROM ({_probe_sql('keys', 5, 10)}))"
@@ -307,10 +343,54 @@ def alloc_weighted(spark, sf_dir):
     return bloom.allocate(_levels(spark, sf_dir), 100_000)
 
 
-@query(f"""{_LEVELS}, {_alloc_sql('entries::DOUBLE / sum(entries) OVER () * (1 + 0.1::DOUBLE * level) * (1 + 0.1::DOUBLE * ((level + 1) / 6.0::DOUBLE))', 200_000)}""")
+_STRUCTURAL = "(SELECT least(greatest(sum(entries) * 14, count(*) * 512), 2147483648)::BIGINT FROM lv)"
+_W = "entries::DOUBLE / sum(entries) OVER () * (1 + 0.1::DOUBLE * level)"
+_HEAT = "(1 + 0.1::DOUBLE * ((level + 1) / 6.0::DOUBLE))"
+#: The frequency step deals out the bits that the structural one has: whole blocks of its budget.
+_AGAIN = f"({_STRUCTURAL} // 512 * 512)"
+
+
+def _accesses(spark):
+    return spark.range(3).select(F.col("id").cast("int").alias("level"), (F.col("id") + 1).alias("n"))
+
+
+@query(f"SELECT *, 10 AS k FROM ({_LEVELS}, {_alloc_sql(_W, _STRUCTURAL)})")
+def alloc_structural(spark, sf_dir):
+    return bloom.reallocate_structural(_levels(spark, sf_dir), 14, 256 << 23)
+
+
+@query(f"SELECT *, 10 AS k FROM ({_LEVELS}, {_alloc_sql(f'{_W} * {_HEAT}', _AGAIN)})")
 def alloc_frequency(spark, sf_dir):
-    accesses = spark.range(3).select(F.col("id").cast("int").alias("level"), (F.col("id") + 1).alias("n"))
-    return bloom.allocate(bloom.heat_factor(_levels(spark, sf_dir), accesses), 200_000).drop("heat")
+    return bloom.reallocate_frequency(bloom.reallocate_structural(_levels(spark, sf_dir), 14, 256 << 23), _accesses(spark), 14)
+
+
+@query(f"""SELECT *, 10 AS k, true AS adaptive FROM ({_LEVELS}, {_alloc_sql(f'{_W} * {_HEAT}', _AGAIN)}) UNION ALL BY NAME
+    SELECT *, 10 AS k, false AS adaptive FROM ({_LEVELS} SELECT level, entries, ceil(greatest(512, entries * 14) / 512.0)::BIGINT AS blocks, greatest(512, entries * 14)::BIGINT AS bits FROM lv)""")
+def alloc_dispatch(spark, sf_dir):
+    both = [bloom.reallocate(_levels(spark, sf_dir), _accesses(spark), 14, 256 << 23, mode).withColumn("adaptive", F.lit(mode)) for mode in (True, False)]
+    return both[0].unionByName(both[1])
+
+
+@query(f"{_LEVELS} SELECT count(*) AS levels, 0::BIGINT AS wrong FROM lv")
+def bloom_invariant(spark, sf_dir):
+    levels = bloom.reallocate_structural(_levels(spark, sf_dir), 14, 256 << 23)
+    return levels.agg(F.count("*").alias("levels")).crossJoin(bloom.wrong_hash_counts(levels, 14).agg(F.count("*").alias("wrong")))  # one row each
+
+
+@query("SELECT range AS k, least(greatest(range, 1), 32) AS clamped FROM range(-3, 41)")
+def bloom_clamp(spark, sf_dir):
+    return spark.createDataFrame([(k, bloom.clamp_hashes(k)) for k in range(-3, 41)], "k bigint, clamped bigint")
+
+
+@query(f"""WITH {_MEMBERS} SELECT 10::BIGINT AS k, (SELECT count(*) FROM keys) AS n, 5::BIGINT AS blocks, 40::BIGINT AS words, (SELECT count(*) FROM have) AS bits_set
+    UNION ALL SELECT 10, 0, 1, 0, 0""")
+def bloom_header(spark, sf_dir):
+    """A filter packed with its header and unpacked, and one that is too short."""
+    keys = _log(spark, sf_dir).select("key").distinct()
+    packed = bloom.pack(bloom.build(keys, 5, 10), 10, keys.count(), 5)
+    both = bloom.unpack(packed.unionByName(packed.select(F.substring("filter", 1, 11).alias("filter"))))
+    ones = F.aggregate(F.transform("words", lambda w: F.bit_count(w)), F.lit(0), lambda a, x: a + x).cast("bigint")
+    return both.select("k", "n", "blocks", F.size("words").cast("bigint").alias("words"), ones.alias("bits_set"))
 
 
 @query(f"{_LEVELS} SELECT level, entries, least(greatest(512, entries * 14), 20000)::BIGINT AS bits, ceil(least(greatest(512, entries * 14), 20000) / 512.0)::BIGINT AS blocks FROM lv")
@@ -326,6 +406,17 @@ def heat_window(spark, sf_dir):
     return bloom.heat_windows(_log(spark, sf_dir), "seq", 1000)
 
 
+@query("SELECT \"window\", max(n) AS hottest FROM (SELECT event_id // 1000 AS \"window\", user_id, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+def heat_hottest(spark, sf_dir):
+    return bloom.hottest(bloom.heat_windows(_log(spark, sf_dir), "seq", 1000))
+
+
+@query("SELECT (event_id - 500) // 1000 AS \"window\", user_id AS key, count(*) AS n FROM events WHERE event_id >= 500 GROUP BY 1, 2")
+def heat_reset(spark, sf_dir):
+    """Windows that begin anew after access 500."""
+    return bloom.heat_windows(_log(spark, sf_dir), "seq", 1000, 500)
+
+
 @query("""WITH c AS (SELECT user_id, count(*) AS x FROM (SELECT user_id FROM events ORDER BY event_id DESC LIMIT 2048) GROUP BY 1),
     r AS (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM c)
     SELECT round(sum((2 * i - n - 1) * x)::DOUBLE / (max(n) * sum(x)), 9) AS gini FROM r""")
@@ -373,6 +464,39 @@ def latency_percentile(spark, sf_dir):
     return telemetry.latency_percentiles(telemetry.latency_histogram(e, "ns"), [50.0, 99.0, 99.9])
 
 
+@query("""SELECT p.percent, (CASE WHEN n = 0 THEN 0 WHEN floor(p.percent / 100 * n) = 0 THEN 100 ELSE 819200 END)::BIGINT AS ns, n
+    FROM (SELECT unnest([0, 1, 3])::BIGINT AS n), (SELECT unnest([0.0, 50.0, 99.0])::DOUBLE AS percent) p""")
+def latency_few(spark, sf_dir):
+    """Percentiles of no, one and three samples of a millisecond."""
+    parts = [
+        telemetry.latency_percentiles(telemetry.latency_histogram(spark.range(n).select(F.lit(1_000_000).cast("bigint").alias("ns")), "ns"), [0.0, 50.0, 99.0]).withColumn("n", F.lit(n).cast("bigint"))
+        for n in (0, 1, 3)
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""WITH {LOG}, reads AS (SELECT range * 7 AS key FROM range(0, 100)), last AS (SELECT key, arg_max(op, seq) AS op FROM log GROUP BY key)
+    SELECT (SELECT count(*) FROM log WHERE op = 'PUT') AS puts, (SELECT count(*) FROM log WHERE op = 'DELETE') AS deletes, (SELECT count(DISTINCT key) FROM log) AS keys,
+    count(*) AS reads, count(*) FILTER (WHERE l.op = 'PUT') AS hits FROM reads r LEFT JOIN last l ON l.key = r.key""")
+def engine_counters(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return telemetry.counters(log, resolve.get_many(log, spark.range(0, 100).select((F.col("id") * 7).alias("key"))))
+
+
+@query(f"WITH {LOG} SELECT seq % 8 AS thread, count(*) AS ops, count(*) FILTER (WHERE op = 'PUT') AS writes FROM log GROUP BY 1")
+def thread_totals(spark, sf_dir):
+    return telemetry.by_thread(_log(spark, sf_dir), 8)
+
+
+@query(f"""{FLUSHED}, merged AS ({_newest('(SELECT * FROM runs WHERE level <= 1)')}), l AS (SELECT sum(12 + length(value)) AS logical, sum(13 + length(value)) AS wal FROM log),
+    f AS (SELECT sum(13 + length(value)) AS flush FROM runs), c AS (SELECT sum(13 + length(value)) AS compaction FROM merged)
+    SELECT logical::BIGINT AS logical, wal::BIGINT AS wal, flush::BIGINT AS flush, compaction::BIGINT AS compaction, round((wal + flush + compaction)::DOUBLE / logical, 9) AS waf FROM l, f, c""")
+def write_parts(spark, sf_dir):
+    r = _runs(spark, sf_dir)
+    found = telemetry.write_parts(_log(spark, sf_dir), r, runs.merge(r.where("level <= 1")))
+    return found.withColumn("waf", F.round("waf", 9))
+
+
 @query("""WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
     p AS (SELECT unnest([50.0, 99.0])::DOUBLE AS percent) SELECT event_type, percent, value FROM s, p WHERE i = least(floor(percent / 100 * n), n - 1)""")
 def exact_percentile(spark, sf_dir):
@@ -401,12 +525,14 @@ def space_ratio(spark, sf_dir):
     return a.crossJoin(b).withColumn("saf", F.round(telemetry.space_amplification(F.col("physical"), F.col("live")), 9))  # one row each
 
 
-@query(f"""{META}, keys AS (SELECT range * 3 AS key FROM range(0, 80)), hit AS (SELECT r.key, max(run_id) AS found_run FROM runs r JOIN keys USING (key) GROUP BY r.key),
-    p AS (SELECT count(*) AS probes FROM keys k JOIN meta m ON k.key BETWEEN m.min_key AND m.max_key LEFT JOIN hit h ON h.key = k.key WHERE h.found_run IS NULL OR m.run_id >= h.found_run)
-    SELECT probes AS candidate_run_probes, round(probes / 80.0::DOUBLE, 9) AS raf FROM p""")
+@query(lambda: f"""{LOOKUP} SELECT sum(run_probes)::BIGINT AS candidate_run_probes, round(sum(run_probes) / 80.0::DOUBLE, 9) AS raf,
+    sum(false_positives)::BIGINT AS false_positives, round(sum(false_positives)::DOUBLE / sum(level_probes), 9) AS fpr FROM looked""")
 def read_ratio(spark, sf_dir):
-    total = probe_path(spark, sf_dir).agg(F.coalesce(F.sum("probes"), F.lit(0)).alias("candidate_run_probes"))
-    return total.withColumn("raf", F.round(telemetry.read_amplification(F.col("candidate_run_probes"), F.lit(80.0)), 9))
+    total = _lookup(spark, sf_dir).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("run_probes", "false_positives", "level_probes")])
+    return total.select(
+        F.col("run_probes").alias("candidate_run_probes"), F.round(telemetry.read_amplification(F.col("run_probes"), F.lit(80.0)), 9).alias("raf"),
+        "false_positives", F.round(telemetry.observed_fpr(F.col("false_positives"), F.col("level_probes")), 9).alias("fpr"),
+    )
 
 
 # --------------------------------------------------------------------------- policy
@@ -453,7 +579,23 @@ def policy_last(spark, sf_dir):
     return policy.last_decision(_decisions(spark, sf_dir)).select("i", "new_strategy", "reason")
 
 
-@query(f"""WITH RECURSIVE {DAILY}, p AS (SELECT t.range AS t, h.range AS h FROM range(1, 5) t, range(0, 4) h),
+@query(f"{FSM} SELECT count(*) FILTER (WHERE transition) AS total, count(*) FILTER (WHERE transition AND i > 10) AS delta, arg_max(state, i) AS current FROM f WHERE i > 0")
+def policy_counts(spark, sf_dir):
+    """All switches, those not reported after decision 10, and the strategy at the end."""
+    return policy.counts(_decisions(spark, sf_dir), 10)
+
+
+@query(f"""{FSM.replace('FROM f JOIN s ON s.i = f.i + 1', "FROM (SELECT i, CASE WHEN i = 14 THEN 'HYBRID' ELSE state END AS state, CASE WHEN i = 14 THEN 0 ELSE cool END AS cool FROM f) f JOIN s ON s.i = f.i + 1")}
+    SELECT i, prev AS prev_strategy, state AS new_strategy, cool_before AS cooldown FROM f WHERE i > 0""")
+def policy_reset(spark, sf_dir):
+    """The policy is set back to HYBRID before decision 15."""
+    s = policy.with_resets(_signals(spark, sf_dir), [15])
+    skew = s.agg(F.avg("skew")).first()[0]
+    s = s.withColumn("tau", F.lit(_middle(spark, sf_dir, 1.0))).withColumn("skew_limit", F.lit(skew)).withColumn("hysteresis", F.lit(2))
+    return policy.trace(s, "era").select("i", "prev_strategy", "new_strategy", "cooldown")
+
+
+@query(f"""WITH RECURSIVE {DAILY}, p AS (SELECT t.range AS t, h.h FROM range(1, 5) t, (SELECT unnest([0, 1, 2, 3, 5, 8])::BIGINT AS h) h),
     s AS (SELECT p.t, p.h, i, velocity > (SELECT avg(velocity) FROM daily) * p.t * 0.4::DOUBLE AS fast, errors::DOUBLE / rows > 0.2 AS skewed, rows % 2 = 0 AS full FROM daily, p),
     f(t, h, i, state, cool, transition) AS (SELECT t, h, 0::BIGINT, 'HYBRID'::VARCHAR, 0::BIGINT, false FROM p UNION ALL
         SELECT s.t, s.h, s.i, CASE WHEN f.cool > 0 THEN f.state WHEN s.fast AND s.full THEN 'TIERING' WHEN s.skewed THEN 'LEVELING' ELSE 'HYBRID' END,
@@ -464,7 +606,7 @@ def policy_last(spark, sf_dir):
 def policy_sweep(spark, sf_dir):
     mean = _middle(spark, sf_dir, 1.0)
     taus = [mean * t * 0.4 for t in range(1, 5)]
-    d = policy.sweep(_signals(spark, sf_dir), taus, [0, 1, 2, 3], 0.2)
+    d = policy.sweep(_signals(spark, sf_dir), taus, [0, 1, 2, 3, 5, 8], 0.2)
     step = F.array_position(F.array(*[F.lit(t) for t in taus]), F.col("tau"))
     return d.select(step.alias("tau_step"), F.col("hysteresis").cast("bigint").alias("hysteresis"), "switches")
 
@@ -505,16 +647,100 @@ def zipf_mass(spark, sf_dir):
     return d.groupBy("theta").agg(F.round(F.sum(1 / F.pow(F.col("id"), F.col("theta"))), 6).alias("zeta"))
 
 
-@query()
+def _draw(seed: int) -> str:
+    return f"(({_h(f'(range * 1048576 + {seed})::UBIGINT')} >> 11)::DOUBLE / 9007199254740992.0::DOUBLE)"
+
+
+def _stream_sql(name: str, ops: int, seed: int = 42) -> str:
+    """The seeded stream of a mix as SQL."""
+    _, theta, *mix = next(m for m in workload.MIXES if m[0] == name)
+    space, edge, cases = max(1_000_000, 2 * ops), 0.0, ""
+    for op, share in zip(("READ", "UPDATE", "INSERT", "SCAN", "DELETE"), mix):
+        edge += share
+        cases += f"WHEN r < {edge!r}::DOUBLE THEN '{op}' "
+    zeta_2, alpha = 1 + 0.5**theta, 1 / (1 - theta)
+    rest = f"floor({space} * pow(eta * u - eta + 1, {alpha!r}::DOUBLE))"
+    rank = f"floor(u * {space})" if theta == 0 else f"least(CASE WHEN u * z < 1 THEN 0 WHEN u * z < {zeta_2!r}::DOUBLE THEN 1 ELSE {rest} END, {space - 1})"
+    eta = f"(1 - {(2 / space) ** (1 - theta)!r}::DOUBLE) / (1 - {zeta_2!r}::DOUBLE / z)"
+    return f"""WITH zeta AS (SELECT sum(1 / pow(range, {theta}::DOUBLE)) AS z FROM range(1, {space + 1})), c AS (SELECT z, {eta} AS eta FROM zeta),
+        d AS (SELECT range AS seq, {_draw(seed)} AS r, {_draw(seed + 1)} AS u, {_draw(seed + 2)} AS w FROM range(0, {ops})),
+        k AS (SELECT seq, r, w, CAST({rank} AS BIGINT) AS rank FROM d, c),
+        o AS (SELECT seq, w, CASE {cases} ELSE 'RMW' END AS op, ({_h('rank::UBIGINT')} % {space})::BIGINT + 1 AS key FROM k)
+        SELECT seq, op, key, (CASE WHEN op = 'SCAN' THEN key + 1 + floor(w * 100) ELSE 0 END)::BIGINT AS scan_end FROM o"""
+
+
+def _load_sql(ops: int, seed: int = 99) -> str:
+    return f"SELECT range AS seq, 'INSERT' AS op, (floor({_draw(seed)} * {max(1_000_000, 2 * ops)}) + 1)::BIGINT AS key FROM range(0, {ops // 2})"
+
+
+@query(_stream_sql("RSW", 100_000))
 def workload_generate(spark, sf_dir):
     return workload.generate(ship_code(spark), "RSW", 100_000)
 
 
-@query()
+@query(_load_sql(100_000))
 def workload_load(spark, sf_dir):
     return workload.load(ship_code(spark), 100_000)
 
 
+def _run_sql(name: str, ops: int) -> str:
+    kinds = ", ".join(f"(SELECT count(*) FROM ops WHERE op = '{k}') AS {k.lower()}" for k in ("READ", "UPDATE", "INSERT", "SCAN", "DELETE", "RMW"))
+    quoted = kinds.replace("AS update", 'AS "update"').replace("AS insert", 'AS "insert"').replace("AS delete", 'AS "delete"').replace("AS scan", 'AS "scan"').replace("AS read", 'AS "read"')
+    return f"""WITH ops AS ({_stream_sql(name, ops)}), load AS ({_load_sql(ops)}),
+        every AS (SELECT key, seq, op FROM load UNION ALL SELECT key, seq + {ops // 2}, op FROM ops),
+        seen AS (SELECT *, last_value(CASE WHEN op IN ('INSERT', 'UPDATE', 'DELETE') THEN op END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM every),
+        newest AS (SELECT key, arg_max(op, seq) AS op FROM every WHERE op IN ('INSERT', 'UPDATE', 'DELETE') GROUP BY key)
+        SELECT {quoted}, (SELECT count(*) FROM seen WHERE op IN ('READ', 'RMW') AND last <> 'DELETE') AS hits, (SELECT count(*) FROM newest WHERE op <> 'DELETE') AS live_keys, '{name}' AS name, {ops} AS num_ops"""
+
+
+def _runs_of(spark, names_and_ops: list[tuple[str, int]]) -> DataFrame:
+    out = None
+    for name, ops in names_and_ops:
+        one = workload.run(ship_code(spark), name, ops)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(" UNION ALL BY NAME ".join(f"SELECT * FROM ({_run_sql(n, 20_000)})" for n in "ACDF"))
+def workload_runs(spark, sf_dir):
+    """Runs of four mixes over their load."""
+    return _runs_of(spark, [(n, 20_000) for n in "ACDF"])
+
+
+@query(" UNION ALL BY NAME ".join(f"SELECT * FROM ({_run_sql('A', n)})" for n in (10_000, 100_000)))
+def workload_scale(spark, sf_dir):
+    """One mix at two scales."""
+    return _runs_of(spark, [("A", n) for n in (10_000, 100_000)])
+
+
+@query(f"SELECT seq // 1000 AS epoch, count(*) FILTER (WHERE op = 'RMW') AS velocity, round(count(*) FILTER (WHERE op = 'READ')::DOUBLE / count(*), 9) AS skew FROM ({_stream_sql('F', 100_000)}) GROUP BY 1")
+def workload_signals(spark, sf_dir):
+    """The signals of mix F at 100K operations, epoch by epoch."""
+    d = workload.generate(ship_code(spark), "F", 100_000)
+    return d.groupBy(F.floor(F.col("seq") / 1000).alias("epoch")).agg(F.count_if(F.col("op") == "RMW").alias("velocity"), F.round(F.count_if(F.col("op") == "READ") / F.count("*"), 9).alias("skew"))
+
+
+@query(lambda: f"""WITH RECURSIVE s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY e) AS i, v > 500 AS fast, k > 0.5 AS skewed, v % 2 = 0 AS full FROM (
+        SELECT seq // 1000 AS e, count(*) FILTER (WHERE op = 'RMW') AS v, count(*) FILTER (WHERE op = 'READ')::DOUBLE / count(*) AS k FROM ({_stream_sql('F', 100_000)}) GROUP BY 1)), {FSM[FSM.index('f(i, prev'):]}
+    SELECT i, prev AS prev_strategy, state AS new_strategy, reason FROM f WHERE i > 0 AND transition""")
+def workload_switches(spark, sf_dir):
+    """The switch log of the policy over mix F at 100K operations."""
+    d = workload.generate(ship_code(spark), "F", 100_000).groupBy(F.floor(F.col("seq") / 1000).alias("epoch")).agg(
+        F.count_if(F.col("op") == "RMW").alias("velocity"), (F.count_if(F.col("op") == "READ") / F.count("*")).alias("skew"))
+    s = d.select((F.col("epoch") + 1).alias("i"), "velocity", "skew", (F.col("velocity") % 2 == 0).alias("any_full"), F.lit(500).alias("tau"), F.lit(0.5).alias("skew_limit"), F.lit(2).alias("hysteresis"), F.lit("F").alias("stream"))
+    return policy.switches(policy.trace(s, "stream")).select("i", "prev_strategy", "new_strategy", "reason")
+
+
+@query(f"""SELECT name AS workload, label AS scale, count(*) AS settings FROM {_MIX_SQL}, (SELECT unnest(['100K', '500K', '1M', '5M', '10M', '15M']) AS label), range(0, 12) GROUP BY 1, 2""")
+def workload_files(spark, sf_dir):
+    """The settings files of all mixes and scales, written and read back."""
+    root = new_root(spark, "settings")
+    files.write_settings(workload.configs(ship_code(spark)), root)
+    found = files.read_settings(spark, root)
+    parts = [F.regexp_extract("file", f"{c}=([^/]+)/", 1).alias(c) for c in ("workload", "scale")]
+    return found.groupBy(*parts).agg(F.count("*").alias("settings"))
+
+
 # --------------------------------------------------------------------------- statistics
 
 
@@ -548,9 +774,15 @@ def ci95(spark, sf_dir):
     return d.select("l_returnflag", F.round("ci_low", 5).alias("ci_low"), F.round("ci_high", 5).alias("ci_high"))
 
 
-@query()
+#: Two-tailed probability of t at an even number f of degrees of freedom, in closed form.
+_T_EVEN = """(SELECT 1 - sin(a) * list_sum(list_transform(range(0, CAST(f // 2 AS BIGINT)), lambda j: pow(cos(a), 2 * j) * list_product([1.0::DOUBLE] || list_transform(range(1, j + 1), lambda m: (2 * m - 1) / (2.0::DOUBLE * m)))))
+    FROM (SELECT atan(abs({t}) / sqrt({f})) AS a, {f} AS f))"""
+
+
+@query(lambda: f"""WITH {_SIDES}, t AS (SELECT l_returnflag, n, m / (sd / sqrt(n)) AS t FROM g)
+    SELECT l_returnflag, n, round(greatest(0.0001::DOUBLE, least(1.0::DOUBLE, {_T_EVEN.format(t='t', f='(n - 1)')})), 9) AS p FROM t""")
 def t_p_value(spark, sf_dir):
-    return stats.paired_p(_sides(spark, sf_dir), "l_returnflag")
+    return stats.paired_p(_sides(spark, sf_dir), "l_returnflag").select("l_returnflag", "n", F.round("p", 9).alias("p"))
 
 
 _RANKS = """x AS (SELECT l_returnflag, l_quantity AS v, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS side FROM lineitem),
@@ -564,10 +796,34 @@ def rank_sum(spark, sf_dir):
     return stats.rank_sums(d, "l_quantity", "side", "l_returnflag").select("l_returnflag", "n1", "n2", F.round(F.col("u").cast("double"), 3).alias("u"))
 
 
-@query()
+def _erf_terms(n: int = 90) -> str:
+    """2^k / (1 * 3 * ... * (2 k + 1)): the terms of the series of erf that are all positive."""
+    out, c = [], 1.0
+    for k in range(n):
+        out.append(repr(c))
+        c *= 2 / (2 * k + 3)
+    return "[" + ", ".join(out) + "]::DOUBLE[]"
+
+
+@query(lambda: f"""WITH {_RANKS}, u AS (SELECT *, least(r1 - n1 * (n1 + 1) / 2.0::DOUBLE, n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0::DOUBLE)) AS u FROM s),
+    z AS (SELECT *, abs((u - n1 * n2 / 2.0::DOUBLE) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0::DOUBLE)) / sqrt(2.0::DOUBLE) AS x FROM u),
+    e AS (SELECT *, CASE WHEN x > 5 THEN 1.0::DOUBLE ELSE 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 90), lambda k: ({_erf_terms()})[k + 1] * pow(x, 2 * k + 1))) END AS erf FROM z)
+    SELECT l_returnflag, n1, n2, round(CASE WHEN n1 < 2 OR n2 < 2 THEN 1.0::DOUBLE ELSE greatest(0.0001::DOUBLE, least(1.0::DOUBLE, 1 - erf)) END, 7) AS p FROM e""")
 def rank_sum_p(spark, sf_dir):
     d = _t(spark, sf_dir, "lineitem").withColumn("side", F.when(F.col("l_linestatus") == "O", 1).otherwise(2))
-    return stats.rank_sum_p(d, "l_quantity", "side", "l_returnflag")
+    return stats.rank_sum_p(d, "l_quantity", "side", "l_returnflag").select("l_returnflag", "n1", "n2", F.round("p", 7).alias("p"))
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, l_quantity AS v, CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 2 END AS side FROM lineitem),
+    r AS (SELECT l_orderkey, side, rank() OVER (PARTITION BY l_orderkey ORDER BY v) + (count(*) OVER (PARTITION BY l_orderkey, v) - 1) / 2.0::DOUBLE AS rk FROM x),
+    s AS (SELECT l_orderkey, count(*) FILTER (WHERE side = 1) AS n1, count(*) FILTER (WHERE side = 2) AS n2, coalesce(sum(rk) FILTER (WHERE side = 1), 0) AS r1 FROM r GROUP BY 1),
+    u AS (SELECT *, least(r1 - n1 * (n1 + 1) / 2.0::DOUBLE, n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0::DOUBLE)) AS u FROM s WHERE n1 <= 3 AND n2 <= 3)
+    SELECT l_orderkey, n1, n2, round(u, 3) AS u, (CASE WHEN n1 < 2 OR n2 < 2 THEN 1.0 {" ".join(f"WHEN u <= {u} THEN {p}" for u, p in stats.SMALL_SIDES)} ELSE 1.0 END)::DOUBLE AS p FROM u""")
+def rank_sum_small(spark, sf_dir):
+    """The orders with at most three lines of odd and of even number: tabled values, and 1 where a side has less than two."""
+    d = _t(spark, sf_dir, "lineitem").withColumn("side", F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(2))
+    p = stats.rank_sum_p(d, "l_quantity", "side", "l_orderkey").where("n1 <= 3 and n2 <= 3")
+    return p.select("l_orderkey", "n1", "n2", F.round(F.col("u").cast("double"), 3).alias("u"), "p")
 
 
 @query("""SELECT l_returnflag, count(*) FILTER (WHERE abs(l_extendedprice - m) > 2 * sd) AS outliers, count(*) AS n FROM (SELECT l_returnflag, l_extendedprice,
@@ -587,21 +843,127 @@ def scale_labels(spark, sf_dir):
     return spark.range(0, 20_000_000, 250_500).select(F.col("id").alias("n"), scalar.scale_label(F.col("id")).alias("label"))
 
 
+# --------------------------------------------------------------------------- reports
+
+
+def _results(spark, sf_dir):
+    """Benchmark rows from lineitem: workload by return flag, configuration by supplier, seven runs by line number."""
+    d = _t(spark, sf_dir, "lineitem")
+    by = [F.lit(1_000_000).alias("scale"), F.col("l_returnflag").alias("workload"), F.when(F.col("l_suppkey") % 2 == 0, "base").otherwise("other").alias("config"), F.col("l_linenumber").alias("run_id")]
+    return d.groupBy(*by).agg(F.avg("l_quantity").alias("throughput"), F.avg("l_tax").alias("raf"))
+
+
+def _external(spark, sf_dir):
+    d = _t(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'")
+    return d.groupBy(F.lit(1_000_000).alias("scale"), F.col("l_returnflag").alias("workload"), F.lit("throughput").alias("metric")).agg(F.avg("l_linenumber").alias("value"))
+
+
+_RESULTS = """results AS (SELECT l_returnflag AS workload, CASE WHEN l_suppkey % 2 = 0 THEN 'base' ELSE 'other' END AS config, l_linenumber AS run_id, avg(l_quantity) AS throughput, avg(l_tax) AS raf FROM lineitem GROUP BY 1, 2, 3),
+    long AS (SELECT workload, config, run_id, 'throughput' AS metric, throughput AS value FROM results UNION ALL SELECT workload, config, run_id, 'raf', raf FROM results),
+    sides AS (SELECT workload, metric, avg(value) FILTER (WHERE config = 'base') AS bm, coalesce(stddev_samp(value) FILTER (WHERE config = 'base'), 0) AS bs,
+        avg(value) FILTER (WHERE config = 'other') AS om, coalesce(stddev_samp(value) FILTER (WHERE config = 'other'), 0) AS os FROM long GROUP BY 1, 2),
+    diffs AS (SELECT b.workload, b.metric, count(*) AS n, avg(o.value - b.value) AS m, stddev_samp(o.value - b.value) AS sd FROM long b JOIN long o ON o.workload = b.workload AND o.metric = b.metric AND o.run_id = b.run_id
+        AND b.config = 'base' AND o.config = 'other' GROUP BY 1, 2),
+    ext AS (SELECT l_returnflag AS workload, 'throughput' AS metric, avg(l_linenumber) AS em FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)"""
+
+
+@query(lambda: f"""WITH {_RESULTS}, t AS (SELECT *, m / (sd / sqrt(n)) AS t FROM diffs), p AS (SELECT *, greatest(0.0001::DOUBLE, least(1.0::DOUBLE, {_T_EVEN.format(t='t', f='(n - 1)')})) AS p FROM t)
+    SELECT s.workload, s.metric, '1M' AS scale_label, round(bm, 6) AS base_mean, round(bs, 6) AS base_sd, round(om, 6) AS other_mean, round(os, 6) AS other_sd, round((om - bm) / bm * 100, 5) AS diff_pct, p.n, round(p.p, 6) AS p,
+        p.p < 0.05 AS significant, round(em, 6) AS external_mean, round((om - em) / em * 100, 5) AS external_pct
+    FROM sides s JOIN p ON p.workload = s.workload AND p.metric = s.metric LEFT JOIN ext e ON e.workload = s.workload AND e.metric = s.metric""")
+def main_table(spark, sf_dir):
+    d = reports.main_table(_results(spark, sf_dir), ["throughput", "raf"], "base", "other", _external(spark, sf_dir))
+    six = [F.round(c, 6).alias(c) for c in ("base_mean", "base_sd", "other_mean", "other_sd", "p", "external_mean")]
+    return d.select("workload", "metric", "scale_label", *six, F.round("diff_pct", 5).alias("diff_pct"), "n", "significant", F.round("external_pct", 5).alias("external_pct"))
+
+
+@query("""WITH c AS (SELECT l_returnflag AS memtable, l_linestatus AS compaction, l_linenumber % 2 AS filter, count(*) AS n, avg(l_quantity) AS mean, coalesce(stddev_samp(l_quantity), 0) AS sd FROM lineitem GROUP BY 1, 2, 3)
+    SELECT memtable, compaction, filter, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round((mean / first_value(mean) OVER (ORDER BY memtable, compaction, filter) - 1) * 100, 5) AS change_pct FROM c""")
+def ablation_table(spark, sf_dir):
+    d = _t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("memtable"), F.col("l_linestatus").alias("compaction"), (F.col("l_linenumber") % 2).alias("filter"), "l_quantity")
+    d = reports.ablation_table(d, ["memtable", "compaction", "filter"], "l_quantity")
+    return d.select("memtable", "compaction", "filter", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round("change_pct", 5).alias("change_pct"))
+
+
+@query("""SELECT 1000000 AS scale, '1M' AS scale_label, l_returnflag AS workload, l_linenumber AS hysteresis, round(avg(l_quantity), 6) AS throughput, round(avg(l_tax), 6) AS waf, round(avg(l_suppkey), 6) AS switches FROM lineitem GROUP BY l_returnflag, l_linenumber""")
+def sweep_table(spark, sf_dir):
+    d = _t(spark, sf_dir, "lineitem").select(
+        F.lit(1_000_000).alias("scale"), F.col("l_returnflag").alias("workload"), F.col("l_linenumber").alias("hysteresis"), F.lit(5000.0).alias("tau"),
+        F.col("l_suppkey").alias("switches"), F.col("l_quantity").alias("throughput"), F.col("l_tax").alias("waf"),
+    )
+    six = [F.round(c, 6).alias(c) for c in ("switches", "throughput", "waf")]
+    return reports.sweep_table(d).select("scale", "scale_label", "workload", "hysteresis", *six)
+
+
+# --------------------------------------------------------------------------- store
+
+
+def new_root(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="runweave-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _third(log: DataFrame, k: int) -> DataFrame:
+    """The log in three slices at thirds of its span of seq."""
+    edge = log.agg(F.min("seq"), F.max("seq")).first()
+    width = (edge[1] - edge[0] + 3) // 3
+    return log.where(F.col("seq").between(edge[0] + k * width, edge[0] + (k + 1) * width - 1))
+
+
+def _stored(spark, sf_dir) -> str:
+    """A store that has flushed two slices of the log and holds a third in its log."""
+    log, root = _log(spark, sf_dir), new_root(spark, "store")
+    for k in range(3):
+        maintenance.append(_third(log, k), root)
+        if k < 2:
+            maintenance.flush(spark, root)
+    return root
+
+
+@query(f"{LAST} SELECT key, value FROM last WHERE op = 'PUT'")
+def store_recovery(spark, sf_dir):
+    """Two flushed runs and a log, opened again: the live state is that of the whole log."""
+    return maintenance.state(spark, _stored(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT min(event_id) AS a, max(event_id) AS b FROM events), w AS (SELECT a, (b - a + 3) // 3 AS w FROM e)
+    SELECT a + 2 * w - 1 AS flushed, 2::BIGINT AS runs, (SELECT count(*) FROM events, w WHERE event_id >= a + 2 * w) AS in_log FROM w""")
+def store_truncated(spark, sf_dir):
+    """What a store says after two flushes: the flushed seq, its runs, and the records left in its log."""
+    root = _stored(spark, sf_dir)
+    m = store.manifest(spark, root).agg(F.lit(store.flushed_seq(spark, root)).cast("bigint").alias("flushed"), F.count("*").alias("runs"))
+    return m.crossJoin(spark.read.parquet(f"{root}/log/*").agg(F.count("*").alias("in_log")))  # one row each
+
+
+@query(f"{LAST} SELECT key, value FROM last WHERE op = 'PUT'")
+def store_round(spark, sf_dir):
+    """The same after rounds of maintenance under a small memtable: leveling, then the state."""
+    root = _stored(spark, sf_dir)
+    maintenance.flush(spark, root)
+    m = maintenance.Maintenance(spark, root, maintenance.Config(memtable_keys=10, hysteresis=0, skew_threshold=0.1))
+    while m.round(skew=0.5)["version"] is not None and store.manifest(spark, root).agg(F.max("level")).first()[0] < 3:
+        pass
+    return maintenance.state(spark, root)
+
+
 # --------------------------------------------------------------------------- streaming
 
 
 @query(f"{LAST} SELECT key, value FROM last WHERE op = 'PUT'")
 def stream_latest(spark, sf_dir):
     """The event log as a file stream, flushed batch by batch, then resolved."""
-    import tempfile
-    import uuid
-
-    from runweave.streaming import latest
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="runweave-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = new_root(spark, "stream")
     schema = _t(spark, sf_dir, "events").schema
     # a single file is listed by its folder and name
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
     latest.start(oplog.from_events(source), root).awaitTermination()
     return latest.state(spark, root)
+
+
+for _name, _sql in _LATER.items():
+    ORACLES[_name] = _sql()

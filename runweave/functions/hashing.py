@@ -48,6 +48,28 @@ def with_hash64(df: DataFrame, source: Column | str, name: str, salt: int = 0) -
     return df.withColumn(name, F.col("_h").bitwiseXOR(F.shiftrightunsigned("_h", 31))).drop("_h")
 
 
+def _folded(shift: int):
+    return lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, shift))
+
+
+def _times(c: int):
+    return lambda v: multiply(v, c)
+
+
+def hash64(x: Column, salt: int = 0) -> Column:
+    """The hash of a BIGINT (xor salt) as one expression that names no step twice.
+
+    Steps are bound by lambdas, so a filter on the hash that is pushed below the projection
+    stays small; where no filter is, with_hash64 is faster.
+    """
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    h = x.cast("bigint").bitwiseXOR(F.lit(signed(salt)))
+    for shift, c in ((30, MULTIPLY_1), (27, MULTIPLY_2)):
+        h = bound(h, _folded(shift))
+        h = bound(h, _times(c))
+    return bound(h, _folded(31))
+
+
 def with_hash64b(df: DataFrame, source: Column | str, name: str) -> DataFrame:
     return with_hash64(df, source, name, SALT_B)
 

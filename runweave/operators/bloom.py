@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from runweave.functions.hashing import SALT_STEP, unsigned_mod, with_hash64, with_hash64b
+from runweave.functions.scalar import bloom_k
+from runweave.operators.order import ranked
 
 BLOCK_BITS = 512
 
@@ -15,27 +17,51 @@ def blocks_for(bits: int) -> int:
     return max(1, -(-bits // BLOCK_BITS))
 
 
-def probes(keys: DataFrame, blocks: int, k: int) -> DataFrame:
-    """key, block and the array of k bit positions within its 512-bit block."""
+def clamp_hashes(k: int) -> int:
+    """The number of hash functions of a filter that is rebuilt with k: 1 to 32."""
+    return max(1, min(k, 32))
+
+
+def best_hashes(bits_per_key: int) -> int:
+    """The best number of hash functions, as scalar.bloom_k, for a plain number."""
+    return min(max(int(0.693147 * bits_per_key + 0.5), 1), 20)
+
+
+def _hashed(keys: DataFrame, blocks: Column | int) -> DataFrame:
+    """keys with block, and the first position and step of its bits."""
     d = with_hash64(keys, "key", "h_block")
     d = with_hash64b(d, "key", "h1")
     d = with_hash64(d, "key", "h2", SALT_STEP)
     first, step = F.col("h1").bitwiseAND(BLOCK_BITS - 1), F.col("h2").bitwiseOR(1).bitwiseAND(BLOCK_BITS - 1)
-    d = d.withColumn("first", first).withColumn("step", step)
-    bits = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.col("first") + i * F.col("step")) % BLOCK_BITS)
-    return d.withColumn("block", unsigned_mod(F.col("h_block"), blocks)).withColumn("bits", bits).drop("h_block", "h1", "h2", "first", "step")
+    d = d.withColumn("first", first).withColumn("step", step).withColumn("block", unsigned_mod(F.col("h_block"), blocks))
+    return d.drop("h_block", "h1", "h2")
+
 
+def probes(keys: DataFrame, blocks: Column | int, k: int) -> DataFrame:
+    """key, block and the array of k bit positions within its 512-bit block."""
+    # written out: within a lambda the hashes would be worked out for each position
+    bits = F.array(*[(F.col("first") + i * F.col("step")) % BLOCK_BITS for i in range(k)])
+    return _hashed(keys, blocks).withColumn("bits", bits).drop("first", "step")
 
-def build(keys: DataFrame, blocks: int, k: int) -> DataFrame:
-    """(block, have): the set bits of each block, at most 512."""
-    each = probes(keys, blocks, k).select("block", F.explode("bits").alias("bit")).distinct()
-    return each.groupBy("block").agg(F.collect_set("bit").alias("have"))
 
+def probe_rows(keys: DataFrame, blocks: Column | int, k: int) -> DataFrame:
+    """A row per key and bit: the columns of keys, block, bit.
 
-def test(filters: DataFrame, keys: DataFrame, blocks: int, k: int) -> DataFrame:
-    """key, maybe: whether all its bits are set."""
-    p = probes(keys, blocks, k).join(filters, "block", "left")
-    return p.select("key", F.coalesce(F.size(F.array_except("bits", "have")) == 0, F.lit(False)).alias("maybe"))
+    What is exploded is a constant, so no filter on hashes reaches the scan.
+    """
+    d = _hashed(keys, blocks).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return d.withColumn("bit", (F.col("first") + F.col("i") * F.col("step")) % BLOCK_BITS).drop("first", "step", "i")
+
+
+def build(keys: DataFrame, blocks: Column | int, k: int, *by: str) -> DataFrame:
+    """(by, block, have): the set bits of each block, at most 512; by tells filters apart."""
+    return probe_rows(keys, blocks, k).groupBy(*by, "block").agg(F.collect_set("bit").alias("have"))
+
+
+def test(filters: DataFrame, keys: DataFrame, blocks: Column | int, k: int, *by: str) -> DataFrame:
+    """The columns of keys but blocks, and maybe: whether all bits of the key are set."""
+    p = probes(keys, blocks, k).join(filters, [*by, "block"], "left")
+    return p.select(*[c for c in keys.columns if c != "blocks"], F.coalesce(F.size(F.array_except("bits", "have")) == 0, F.lit(False)).alias("maybe"))
 
 
 def serialize(filters: DataFrame) -> DataFrame:
@@ -54,6 +80,34 @@ def deserialize(rows: DataFrame) -> DataFrame:
     return rows.select("block", bits.alias("have"))
 
 
+def pack(filters: DataFrame, k: int, n: int, blocks: int) -> DataFrame:
+    """One row, filter BINARY: k, n and the number of blocks as 32-bit numbers, then the blocks, lowest bytes first."""
+    reverse = lambda h: F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)])
+    number = lambda x: F.concat(*[F.substring(F.lpad(F.hex(F.lit(x)), 8, "0"), 2 * i + 1, 2) for i in (3, 2, 1, 0)])
+    words = F.array_join(F.transform("words", lambda w: reverse(F.lpad(F.hex(w), 16, "0"))), "")
+    every = filters.sparkSession.range(blocks).select(F.col("id").alias("block"))
+    rows = every.join(serialize(filters).select("block", words.alias("hex")), "block", "left")
+    rows = rows.select("block", F.coalesce("hex", F.lit("0" * (BLOCK_BITS // 4))).alias("hex"))
+    body = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "hex"))), lambda x: x["hex"]), "").alias("body"))
+    return body.select(F.unhex(F.concat(number(k), number(n), number(blocks), "body")).alias("filter"))
+
+
+def unpack(rows: DataFrame, bits_per_key: int = 14) -> DataFrame:
+    """(k, n, blocks, words) of packed filters; one that is too short is an empty filter of one block.
+
+    words: the 64-bit words of all blocks in order; a body that is cut short has none.
+    """
+    number = lambda at: F.conv(F.hex(F.reverse(F.substring("filter", at, 4))), 16, 10).cast("bigint")
+    short = F.octet_length("filter") < 12
+    d = rows.withColumn("short", F.coalesce(short, F.lit(True)))
+    for name, at, default in (("k", 1, bloom_k(F.lit(bits_per_key)).cast("bigint")), ("n", 5, F.lit(0)), ("blocks", 9, F.lit(1))):
+        d = d.withColumn(name, F.when(F.col("short"), default.cast("bigint")).otherwise(number(at)))
+    whole = ~F.col("short") & (F.octet_length("filter") >= 12 + F.col("blocks") * (BLOCK_BITS // 8))
+    word = lambda i: F.conv(F.hex(F.reverse(F.substring(F.col("filter"), (13 + 8 * i).cast("int"), F.lit(8)))), 16, -10).cast("bigint")
+    words = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") * 8 - 1), word)
+    return d.select("k", "n", "blocks", F.when(whole & (F.col("blocks") > 0), words).otherwise(F.array().cast("array<bigint>")).alias("words"))
+
+
 def false_positive_rate(k, n, bits):
     """(1 - exp(-k n / m))^k for columns; 0 for an empty filter."""
     return F.when(n == 0, F.lit(0.0)).otherwise(F.pow(1 - F.exp(-k * n / bits), k))
@@ -98,6 +152,13 @@ def allocate_uniform(levels: DataFrame, bits_per_key: int, cap_bits: int) -> Dat
     return levels.withColumn("bits", bits).withColumn("blocks", F.ceil(F.col("bits") / BLOCK_BITS).cast("bigint"))
 
 
+def reallocate_structural(levels: DataFrame, bits_per_key: int, cap_bits: int) -> DataFrame:
+    """Adds blocks, bits and k to (level, entries): the budget follows all entries, within the cap."""
+    size = levels.agg(F.coalesce(F.sum("entries"), F.lit(0)), F.count("*")).first()  # one row
+    budget = structural_budget(size[0], size[1], bits_per_key, cap_bits)
+    return allocate(levels, budget).withColumn("k", bloom_k(F.lit(bits_per_key)))
+
+
 def heat_factor(levels: DataFrame, accesses: DataFrame) -> DataFrame:
     """Adds heat = 1 + 0.1 * the level's share of accesses (level, n)."""
     total = accesses.agg(F.sum("n").alias("_total"))
@@ -106,9 +167,41 @@ def heat_factor(levels: DataFrame, accesses: DataFrame) -> DataFrame:
     return d.withColumn("heat", 1 + 0.1 * share).drop("n", "_total")
 
 
-def heat_windows(accesses: DataFrame, order: str, width: int = 1000) -> DataFrame:
-    """(window, key, n): counts in windows of width accesses.
+def reallocate_frequency(levels: DataFrame, accesses: DataFrame, bits_per_key: int) -> DataFrame:
+    """(level, entries, blocks, bits, k) with the same total of bits dealt anew, hot levels weighing up to a tenth more.
 
-    The place of an access comes from order itself, which must count up from 0 without gaps.
+    Without accesses, or without bits, nothing changes.
     """
-    return accesses.withColumn("window", F.floor(F.col(order) / width).cast("bigint")).groupBy("window", "key").agg(F.count("*").alias("n"))
+    found = levels.agg(F.coalesce(F.sum("bits"), F.lit(0))).first()[0], accesses.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    k = bloom_k(F.lit(bits_per_key))
+    if not all(found):
+        return levels.select("level", "entries", "blocks", "bits", k.alias("k"))
+    return allocate(heat_factor(levels.select("level", "entries"), accesses), found[0]).select("level", "entries", "blocks", "bits", k.alias("k"))
+
+
+def reallocate(levels: DataFrame, accesses: DataFrame, bits_per_key: int, cap_bits: int, adaptive: bool = True) -> DataFrame:
+    """(level, entries, blocks, bits, k) after a change of structure: uniform, or by structure and then by access."""
+    if not adaptive:
+        return allocate_uniform(levels, bits_per_key, cap_bits).select("level", "entries", "blocks", "bits", bloom_k(F.lit(bits_per_key)).alias("k"))
+    return reallocate_frequency(reallocate_structural(levels, bits_per_key, cap_bits), accesses, bits_per_key)
+
+
+def wrong_hash_counts(filters: DataFrame, bits_per_key: int) -> DataFrame:
+    """The filters (level, k) whose k is not the best for bits_per_key: none, if the invariant holds."""
+    return filters.where(F.col("k") != bloom_k(F.lit(bits_per_key))).select("level", "k", bloom_k(F.lit(bits_per_key)).alias("expected"))
+
+
+def heat_windows(accesses: DataFrame, order: str, width: int = 1000, start: int = 0) -> DataFrame:
+    """(window, key, n): counts in windows of width accesses; a reset begins a new window at place start.
+
+    The place of an access is its rank by order, from 0; ranks come from counts of ranges, so
+    order may have gaps and no task holds all accesses.
+    """
+    d = ranked(accesses, order, "_place").where(F.col("_place") >= start)
+    window = F.floor((F.col("_place") - start) / width).cast("bigint")
+    return d.withColumn("window", window).groupBy("window", "key").agg(F.count("*").alias("n"))
+
+
+def hottest(windows: DataFrame) -> DataFrame:
+    """(window, hottest): the largest count of each window."""
+    return windows.groupBy("window").agg(F.max("n").alias("hottest"))

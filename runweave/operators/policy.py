@@ -8,37 +8,72 @@ Streams and parameter sets fold in parallel; one stream is sequential by nature.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_STEP = "struct<i:bigint,prev_strategy:string,new_strategy:string,velocity_condition:boolean,skew_condition:boolean,any_full:boolean,cooldown:int,transition:boolean,reason:string>"
+_DECISION = (
+    "i bigint, prev_strategy string, new_strategy string, velocity_condition boolean, skew_condition boolean, "
+    "any_full boolean, cooldown int, transition boolean, reason string"
+)
+
+
+def step(state: str, cooldown: int, fast: bool, skewed: bool, full: bool, hysteresis: int) -> tuple[str, int, bool, str]:
+    """The next state and cooldown, whether the state changed, and why."""
+    if cooldown > 0:
+        return state, cooldown - 1, False, f"cooldown={cooldown}"
+    wanted, why = ("TIERING", "velocity+saturation") if fast and full else ("LEVELING", "high_skew") if skewed else ("HYBRID", "default")
+    change = wanted != state
+    return wanted, hysteresis if change else 0, change, why
 
 
 def trace(signals: DataFrame, *by: str) -> DataFrame:
-    """A row per decision. signals: by..., i, velocity, skew, any_full, tau, skew_limit, hysteresis."""
-    step = F.struct(
-        F.col("i").cast("bigint").alias("i"), (F.col("velocity") > F.col("tau")).alias("fast"), (F.col("skew") > F.col("skew_limit")).alias("skewed"),
-        F.col("any_full").alias("full"), F.col("hysteresis").cast("int").alias("h"),
+    """A row per decision. signals: by..., i, velocity, skew, any_full, tau, skew_limit, hysteresis.
+
+    Streams are hashed to tasks and sorted by i there; a task holds one state, and decisions
+    stream through it in Arrow batches. A change of by begins anew from HYBRID: a reset is a
+    new group.
+    """
+    rows = signals.select(
+        *by, F.col("i").cast("bigint").alias("i"), (F.col("velocity") > F.col("tau")).alias("_fast"), (F.col("skew") > F.col("skew_limit")).alias("_skewed"),
+        F.col("any_full").alias("_full"), F.col("hysteresis").cast("int").alias("_h"),
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    # a column of their own, so that by may be in the output and hold nulls
+    rows = rows.withColumn("_stream", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")).repartition("_stream").sortWithinPartitions("_stream", "i")
+    n = len(by)
+
+    def run(batches):
+        at, state, cooldown = None, "HYBRID", 0
+        for batch in batches:
+            out = []
+            for i, fast, skewed, full, h, stream in zip(*(batch.column(n + k).to_pylist() for k in range(6))):
+                if stream != at:
+                    at, state, cooldown = stream, "HYBRID", 0
+                new, left, change, why = step(state, cooldown, bool(fast), bool(skewed), bool(full), h)
+                out.append((i, state, new, fast, skewed, full, cooldown, change, why))
+                state, cooldown = new, left
+            columns = list(zip(*out)) if out else [[]] * 9
+            types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.bool_(), pa.string()]
+            made = [pa.array(c, t) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[*by, *[x.split()[0] for x in _DECISION.split(", ")]])
+
+    return rows.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], _DECISION]))
+
+
+def counts(decisions: DataFrame, reported: int, *by: str) -> DataFrame:
+    """(by, total, delta, current): all switches, those after decision reported, and the strategy now."""
+    return decisions.groupBy(*by).agg(
+        F.count_if("transition").alias("total"), F.count_if(F.col("transition") & (F.col("i") > reported)).alias("delta"), F.max_by("new_strategy", "i").alias("current"),
     )
-    # the state is a struct of its own and the history grows at its side: prev is never searched
-    start = F.struct(F.lit("HYBRID").alias("state"), F.lit(0).alias("cooldown"), F.array().cast(f"array<{_STEP}>").alias("done"))
-
-    def fold(acc, s):
-        held = acc["cooldown"] > 0
-        wanted = F.when(s["fast"] & s["full"], "TIERING").when(s["skewed"], "LEVELING").otherwise("HYBRID")
-        why = F.when(s["fast"] & s["full"], "velocity+saturation").when(s["skewed"], "high_skew").otherwise("default")
-        new = F.when(held, acc["state"]).otherwise(wanted)
-        change = ~held & (wanted != acc["state"])
-        cooldown = F.when(held, acc["cooldown"] - 1).when(change, s["h"]).otherwise(F.lit(0))
-        reason = F.when(held, F.concat(F.lit("cooldown="), acc["cooldown"].cast("string"))).otherwise(why)
-        row = F.struct(
-            s["i"].alias("i"), acc["state"].alias("prev_strategy"), new.alias("new_strategy"), s["fast"].alias("velocity_condition"), s["skewed"].alias("skew_condition"),
-            s["full"].alias("any_full"), acc["cooldown"].alias("cooldown"), change.alias("transition"), reason.alias("reason"),
-        )
-        return F.struct(new.alias("state"), cooldown.alias("cooldown"), F.array_append(acc["done"], row).alias("done"))
-
-    folded = F.aggregate(F.array_sort(F.collect_list(step)), start, fold, lambda acc: acc["done"])
-    return signals.groupBy(*by).agg(folded.alias("done")).select(*by, F.explode("done").alias("d")).select(*by, "d.*")
+
+
+def with_resets(signals: DataFrame, resets: list[int]) -> DataFrame:
+    """signals with the column era: each of the ascending resets begins a new one, which trace() folds anew."""
+    era = F.lit(0)
+    for i in resets:
+        era = era + F.when(F.col("i") >= i, 1).otherwise(0)
+    return signals.withColumn("era", era)
 
 
 def switches(decisions: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from runweave.operators.order import in_ranges
 
 
 def latest(log: DataFrame, *carry: str) -> DataFrame:
@@ -42,9 +43,14 @@ def scan(log: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def scan_many(log: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(scan_id, key, value) of live keys in each of ranges (scan_id, start, end): a range join."""
-    kept = live(log)
-    return kept.join(ranges, F.col("key").between(F.col("start"), F.col("end"))).select("scan_id", "key", "value")
+    """(scan_id, key, value) of live keys in each of ranges (scan_id, start, end): a range join by buckets of keys."""
+    return in_ranges(live(log), ranges, "key", "start", "end").select("scan_id", "key", "value")
+
+
+def missing(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """The requested keys that are absent or deleted: an anti-join."""
+    keys = keys.select("key").distinct()
+    return keys.join(live(log.join(keys, "key", "left_semi")), "key", "left_anti")
 
 
 def deleted(log: DataFrame) -> DataFrame:
@@ -57,12 +63,12 @@ def fold_rmw(log: DataFrame, is_rmw: Column, suffix: str = "_u") -> DataFrame:
 
     A read-modify-write of a live key appends suffix to its value and does nothing
     otherwise. So a live value is that of the last PUT or DELETE, with suffix once for each
-    later RMW: two aggregates in one pass, no per-key sequence in memory.
+    later RMW: two aggregates, each partial before its shuffle; a key of any size takes one row.
     """
-    tagged = log.withColumn("rmw", is_rmw)
-    base = F.max_by(F.struct("op", "value"), F.when(~F.col("rmw"), F.col("seq")))
-    out = tagged.withColumn("base_seq", F.max(F.when(~F.col("rmw"), F.col("seq"))).over(W.partitionBy("key")))
-    got = out.groupBy("key").agg(base.alias("b"), F.count_if(F.col("rmw") & (F.col("seq") > F.col("base_seq"))).alias("n"))
+    tagged = log.select("key", "seq", "op", "value", is_rmw.alias("rmw"))
+    base = tagged.where("not rmw").groupBy("key").agg(F.max_by(F.struct("op", "value"), "seq").alias("b"), F.max("seq").alias("base_seq"))
+    later = tagged.where("rmw").select("key", "seq").join(base.select("key", "base_seq"), "key").where("seq > base_seq").groupBy("key").agg(F.count("*").alias("n"))
+    got = base.join(later, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return got.where("b.op = 'PUT'").select("key", F.concat("b.value", F.repeat(F.lit(suffix), F.col("n").cast("int"))).alias("value"))
 
 

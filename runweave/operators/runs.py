@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runweave.operators import bloom
+from runweave.operators.order import in_ranges
+
 #: Strategy, most runs a level, capacity multiplier (fixed values).
 STRATEGIES = [("LEVELING", 2, 3), ("HYBRID", 4, 4), ("TIERING", 8, 8)]
 
@@ -29,23 +32,46 @@ def metadata(runs: DataFrame, *by: str) -> DataFrame:
 
 
 def zone_probe(meta: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, run_id) of runs whose key range holds the key; the metadata is the small side of a range join."""
-    return keys.join(meta, F.col("key").between(F.col("min_key"), F.col("max_key"))).select("key", "run_id")
+    """(key, run_id) of runs whose key range holds the key, by buckets of keys."""
+    return in_ranges(keys.select("key"), meta.select("run_id", "min_key", "max_key"), "key", "min_key", "max_key").select("key", "run_id")
 
 
 def overlapping(meta: DataFrame, start: int, end: int) -> DataFrame:
     return meta.where((F.col("max_key") >= start) & (F.col("min_key") <= end))
 
 
-def probe_path(runs: DataFrame, meta: DataFrame, keys: DataFrame) -> DataFrame:
-    """For each key the newest run that has it and how many candidate runs are probed until then.
+def level_filters(runs: DataFrame, bits_per_key: int) -> tuple[DataFrame, DataFrame]:
+    """(level, entries, blocks) and the filters (level, block, have) over all keys of each level, tombstones too."""
+    levels = runs.groupBy("level").agg(F.count("*").alias("entries"))
+    levels = levels.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("entries") * bits_per_key / bloom.BLOCK_BITS)).cast("bigint"))
+    k = bloom.best_hashes(bits_per_key)
+    keys = runs.select("level", "key").join(F.broadcast(levels.select("level", "blocks")), "level")  # a row a level
+    return levels, bloom.build(keys, F.col("blocks"), k, "level")
+
 
-    Candidates are the runs whose range holds the key, newest first; a key that no run has
-    probes all its candidates.
+def probe_path(runs: DataFrame, meta: DataFrame, keys: DataFrame, bits_per_key: int = 14) -> DataFrame:
+    """What a lookup of each key does: levels from the first, the level's filter, then its runs newest first.
+
+    key, found_level, found_run, op (null if absent), level_probes, run_probes, false_positives.
+    A run is probed if its key range holds the key. The first version found ends the search,
+    a tombstone too; a level whose filter says maybe and has no version is a false positive.
+    meta: level, run_id, min_key, max_key.
     """
-    hit = runs.join(keys, "key").groupBy("key").agg(F.max("run_id").alias("found_run"))
-    tried = zone_probe(meta, keys).join(hit, "key", "left").where("found_run is null or run_id >= found_run")
-    return tried.groupBy("key").agg(F.max("found_run").alias("found_run"), F.count("*").alias("probes"))
+    levels, filters = level_filters(runs, bits_per_key)
+    hits = runs.join(keys.select("key").distinct(), "key", "left_semi").select("key", "level", "run_id", "op")
+    first = hits.groupBy("key").agg(F.min_by(F.struct("level", "run_id", "op"), F.struct("level", -F.col("run_id"))).alias("hit"))
+    found = keys.select("key").distinct().join(first, "key", "left").select("key", "hit.level", "hit.run_id", "hit.op").toDF("key", "found_level", "found_run", "op")
+    asked = found.crossJoin(F.broadcast(levels.select("level", "blocks")))  # a row a level
+    asked = asked.where("found_level is null or level <= found_level").select("key", "level", "blocks", "found_level")
+    tested = bloom.test(filters, asked, F.col("blocks"), bloom.best_hashes(bits_per_key), "level")
+    inside = in_ranges(found, meta.select("level", "run_id", "min_key", "max_key"), "key", "min_key", "max_key")
+    inside = inside.where("found_level is null or level < found_level or (level = found_level and run_id >= found_run)")
+    probed = inside.groupBy("key", "level").agg(F.count("*").alias("runs"))
+    steps = tested.join(probed, ["key", "level"], "left").groupBy("key").agg(
+        F.count("*").alias("level_probes"), F.coalesce(F.sum(F.when(F.col("maybe"), F.col("runs"))), F.lit(0)).cast("bigint").alias("run_probes"),
+        F.count_if(F.col("maybe") & (F.col("found_level").isNull() | (F.col("level") < F.col("found_level")))).alias("false_positives"),
+    )
+    return found.join(steps, "key")
 
 
 def merge(runs: DataFrame, bottom: bool = False) -> DataFrame:

@@ -55,23 +55,36 @@ def rank_sums(d: DataFrame, value: str, side: str, *by: str) -> DataFrame:
     u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     u = F.least(u1, F.col("n1") * F.col("n2") - u1)
     sigma = F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12)
-    return s.select(*by, "n1", "n2", u.alias("u"), ((u - F.col("n1") * F.col("n2") / 2) / sigma).alias("z"))
+    z = F.try_divide(u - F.col("n1") * F.col("n2") / 2, sigma)
+    return s.select(*by, "n1", "n2", u.alias("u"), z.alias("z"))
+
+
+# Exact two-tailed values for sides of at most three, up to each u (fixed values).
+SMALL_SIDES = [(0.01, 0.1), (1.01, 0.2), (2.01, 0.4), (3.01, 0.6), (4.01, 0.8)]
 
 
 def rank_sum_p(d: DataFrame, value: str, side: str, *by: str) -> DataFrame:
-    """Adds p of the normal approximation, within [0.0001, 1]."""
+    """Adds p: tabled for sides of at most three, else of the normal approximation, within [0.0001, 1].
+
+    With fewer than two values on a side, or values all alike, p is 1.
+    """
     @F.pandas_udf("double")
     def tail(z: pd.Series) -> pd.Series:
-        return z.map(lambda x: 2 * (1 - 0.5 * (1 + erf(abs(x) / sqrt(2)))))
+        return z.map(lambda x: 1.0 if pd.isna(x) else 2 * (1 - 0.5 * (1 + erf(abs(x) / sqrt(2)))))
 
     g = rank_sums(d, value, side, *by)
-    p = F.greatest(F.lit(0.0001), F.least(F.lit(1.0), tail("z")))
-    return g.withColumn("p", F.when((F.col("n1") < 2) | (F.col("n2") < 2), F.lit(1.0)).otherwise(p))
+    normal = F.greatest(F.lit(0.0001), F.least(F.lit(1.0), tail("z")))
+    small = F.lit(1.0)
+    for u, p in reversed(SMALL_SIDES):
+        small = F.when(F.col("u") <= u, p).otherwise(small)
+    p = F.when((F.col("n1") < 2) | (F.col("n2") < 2), F.lit(1.0)).when((F.col("n1") <= 3) & (F.col("n2") <= 3), small).otherwise(normal)
+    return g.withColumn("p", p)
 
 
 def outliers(d: DataFrame, value: str, *by: str) -> DataFrame:
     """Adds outlier: beyond two sample sds from the group's mean, with three values or more and an sd of at least 1e-9."""
-    w = W.partitionBy(*by)
-    sd, n = F.stddev_samp(value).over(w), F.count(value).over(w)
-    off = F.abs(F.col(value) - F.avg(value).over(w)) > 2 * sd
-    return d.withColumn("outlier", F.when((n >= 3) & (sd >= 1e-9), off).otherwise(F.lit(False)))
+    groups = d.groupBy(*by).agg(F.count(value).alias("_n"), F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd")).alias("g")
+    on = [F.col(f"d.{b}").eqNullSafe(F.col(f"g.{b}")) for b in by]
+    both = d.alias("d").join(groups, on) if by else d.alias("d").crossJoin(F.broadcast(groups))  # one row
+    off = F.abs(F.col(f"d.{value}") - F.col("_mean")) > 2 * F.col("_sd")
+    return both.select("d.*", F.when((F.col("_n") >= 3) & (F.col("_sd") >= 1e-9), F.coalesce(off, F.lit(False))).otherwise(F.lit(False)).alias("outlier"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -12,12 +14,17 @@ from runweave.functions.scalar import bit_length
 def ewma(samples: DataFrame, stream: str, order: str, amount: str, dt: str, alpha: float = 0.3) -> DataFrame:
     """(stream, velocity): v = alpha * amount / dt + (1 - alpha) * v from 0, in order; dt <= 0 is skipped.
 
-    A fold per stream: streams run in parallel, one stream is sequential by nature.
+    A sample that k later ones follow weighs alpha * (1 - alpha)^k. The weights fall so fast
+    that the last samples decide all digits of a DOUBLE: ranks from the end come from a
+    window that Spark cuts off in each task first, and the sum is an aggregate. No stream
+    is one array.
     """
-    steps = F.array_sort(F.collect_list(F.when(F.col(dt) > 0, F.struct(order, (F.col(amount) / F.col(dt)).alias("rate")))))
-    return samples.groupBy(stream).agg(
-        F.aggregate(steps, F.lit(0.0), lambda v, s: F.lit(alpha) * s["rate"] + F.lit(1 - alpha) * v).alias("velocity")
-    )
+    most = int(-745 / log(1 - alpha)) + 1  # beyond, a weight is below the least DOUBLE
+    rates = samples.where(F.col(dt) > 0).select(stream, order, (F.col(amount) / F.col(dt)).alias("rate"))
+    last = rates.withColumn("k", F.row_number().over(W.partitionBy(stream).orderBy(F.desc(order))) - 1).where(F.col("k") < most)
+    found = last.groupBy(stream).agg(F.sum(F.lit(alpha) * F.col("rate") * F.pow(F.lit(1 - alpha), F.col("k"))).alias("velocity"))
+    every = samples.select(stream).distinct()
+    return every.join(found, stream, "left").withColumn("velocity", F.coalesce("velocity", F.lit(0.0)))
 
 
 def gini(counts: DataFrame, count: str = "n") -> DataFrame:
@@ -70,19 +77,69 @@ def latency_histogram(samples: DataFrame, ns: str, *by: str) -> DataFrame:
     return samples.groupBy(*by, bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def mean_latency(samples: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by, mean, n): 0 where there are no samples."""
+    return samples.groupBy(*by).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), F.count(value).alias("n"))
+
+
+def write_parts(log: DataFrame, flushed: DataFrame, compacted: DataFrame, record_bytes: int = 13) -> DataFrame:
+    """One row: logical, log, flush and compaction bytes, and their write amplification."""
+    size = F.coalesce(F.octet_length("value"), F.lit(0))
+    part = lambda d, head, name: d.agg(F.coalesce(F.sum(head + size), F.lit(0)).cast("bigint").alias(name))
+    d = part(log, record_bytes - 1, "logical").crossJoin(part(log, record_bytes, "wal"))  # one row each
+    d = d.crossJoin(part(flushed, record_bytes, "flush")).crossJoin(part(compacted, record_bytes, "compaction"))
+    return d.withColumn("waf", write_amplification(F.col("wal"), F.col("flush") + F.col("compaction"), F.col("logical")))
+
+
+def counters(log: DataFrame, reads: DataFrame) -> DataFrame:
+    """One row of counters: operations by kind, distinct keys, reads (found BOOLEAN) and hits."""
+    ops = log.agg(
+        F.count_if(F.col("op") == "PUT").alias("puts"), F.count_if(F.col("op") == "DELETE").alias("deletes"), F.countDistinct("key").alias("keys"),
+    )
+    return ops.crossJoin(reads.agg(F.count("*").alias("reads"), F.count_if("found").alias("hits")))  # one row each
+
+
+def by_thread(log: DataFrame, threads: int) -> DataFrame:
+    """(thread, ops, writes): the operations of threads that take turns by seq."""
+    return log.groupBy(F.pmod("seq", F.lit(threads)).alias("thread")).agg(F.count("*").alias("ops"), F.count_if(F.col("op") == "PUT").alias("writes"))
+
+
 def latency_percentiles(histogram: DataFrame, percents: list[float]) -> DataFrame:
-    """(percent, ns): the lower bound of the first bucket that reaches int(percent / 100 * n) samples."""
+    """(percent, ns): the lower bound of the first bucket that reaches int(percent / 100 * n) samples.
+
+    Where that is no sample at all, bucket 0 reaches it, filled or not; without samples all
+    are 0. A histogram has at most 256 buckets, so one task orders them.
+    """
     w = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    d = histogram.withColumn("reached", F.sum("n").over(w)).withColumn("total", F.sum("n").over(W.partitionBy()))
-    d = d.withColumn("percent", F.explode(F.array(*[F.lit(float(p)) for p in percents])))
-    first = d.where(F.col("reached") >= F.floor(F.col("percent") / 100 * F.col("total"))).groupBy("percent").agg(F.min("bucket").alias("bucket"))
-    return first.select("percent", F.when(F.col("bucket") == 0, F.lit(100)).otherwise(F.pow(F.lit(2.0), F.col("bucket") - 1) * 100).cast("bigint").alias("ns"))
+    reached = histogram.withColumn("reached", F.sum("n").over(w))
+    total = histogram.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    asked = total.withColumn("percent", F.explode(F.array(*[F.lit(float(p)) for p in percents]))).withColumn("target", F.floor(F.col("percent") / 100 * F.col("total")))
+    first = asked.join(F.broadcast(reached), F.col("reached") >= F.col("target"), "left").groupBy("percent", "total", "target").agg(F.min("bucket").alias("bucket"))
+    bucket = F.when(F.col("target") == 0, 0).otherwise(F.col("bucket"))
+    ns = F.when(F.col("total") == 0, 0).when(bucket == 0, 100).otherwise(F.pow(F.lit(2.0), bucket - 1) * 100)
+    return first.select("percent", ns.cast("bigint").alias("ns"))
 
 
 def exact_percentiles(samples: DataFrame, value: str, percents: list[float], *by: str) -> DataFrame:
-    """(by, percent, value): the sorted sample at index int(percent / 100 * n), at most the last."""
-    w = W.partitionBy(*by)
-    d = samples.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    d = d.withColumn("percent", F.explode(F.array(*[F.lit(float(p)) for p in percents])))
-    at = F.least(F.floor(F.col("percent") / 100 * F.col("_n")), F.col("_n") - 1)
-    return d.where(F.col("_i") == at).select(*by, "percent", F.col(value).alias("value"))
+    """(by, percent, value): the sorted sample at index int(percent / 100 * n), at most the last.
+
+    Equal values are counted first and counts are summed over ranges of values, 4096 a group
+    at quantiles of it, so no task sorts a group: the range that holds the index is found from
+    the sums, and only its values are ordered.
+    """
+    counts = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", [k / 256 for k in range(1, 256)], 2000).alias("_cuts"), F.sum("n").alias("_all"))
+    on = [F.col(f"c.{b}").eqNullSafe(F.col(f"k.{b}")) for b in by] or [F.lit(True)]
+    d = counts.alias("c").join(F.broadcast(cuts).alias("k"), on).select("c.*", "k._cuts", "k._all")  # a row a group
+    d = d.withColumn("_range", F.size(F.filter("_cuts", lambda x: x <= F.col("value")))).drop("_cuts")
+    sums = d.groupBy(*by, "_range", "_all").agg(F.sum("n").alias("_in"))
+    ahead = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # at most 256 rows a group
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_in").over(ahead), F.lit(0)))
+    sums = sums.withColumn("percent", F.explode(F.array(*[F.lit(float(p)) for p in percents])))
+    sums = sums.withColumn("_at", F.least(F.floor(F.col("percent") / 100 * F.col("_all")), F.col("_all") - 1))
+    sums = sums.where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_in")))
+    on = [F.col(f"d.{b}").eqNullSafe(F.col(f"s.{b}")) for b in by] + [F.col("d._range") == F.col("s._range")]
+    near = d.alias("d").join(F.broadcast(sums).alias("s"), on).select(*[F.col(f"d.{b}") for b in by], "percent", "d.value", "d.n", "_before", "_at")  # a row a group and percent
+    w = W.partitionBy(*by, "percent").orderBy("value")
+    near = near.withColumn("_to", F.col("_before") + F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return near.where((F.col("_to") > F.col("_at")) & (F.col("_to") - F.col("n") <= F.col("_at"))).select(*by, "percent", "value")

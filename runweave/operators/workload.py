@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from runweave.functions.hashing import unsigned_mod, with_hash64
+from runweave.functions.hashing import hash64, unsigned_mod
 
 # name, theta, read, update, insert, scan, delete; what is left is read-modify-write (fixed values).
 # E is the effective mix of the published runs; E_intended is the one its label names.
@@ -59,13 +60,21 @@ def zipf_rank(u: Column, items: int, theta: float, zeta_n: float) -> Column:
     return F.least(F.when(uz < 1, 0).when(uz < zeta_2, 1).otherwise(rest), F.lit(items - 1)).cast("bigint")
 
 
+def with_draw(d: DataFrame, name: str, seed: int) -> DataFrame:
+    """Adds a uniform draw in [0, 1) that depends on id and seed alone, whatever the partitioning."""
+    return d.withColumn(name, F.shiftrightunsigned(hash64(F.col("id") * F.lit(1 << 20) + F.lit(seed)), 11) / F.lit(float(1 << 53)))
+
+
 def generate(spark: SparkSession, name: str, num_ops: int, seed: int = 42) -> DataFrame:
     """(seq, op, key, scan_end): a seeded stream of the mix, made where it is used."""
     _, theta, *mix = next(m for m in MIXES if m[0] == name)
     key_space = max(1_000_000, 2 * num_ops)
-    d = spark.range(num_ops).select(F.col("id").alias("seq"), F.rand(seed).alias("r"), F.rand(seed + 1).alias("u"), F.rand(seed + 2).alias("w"))
+    d = spark.range(num_ops)
+    for k, draw in enumerate("ruw"):
+        d = with_draw(d, draw, seed + k)
+    d = d.withColumnRenamed("id", "seq")
     rank = F.floor(F.col("u") * key_space).cast("bigint") if theta == 0 else zipf_rank(F.col("u"), key_space, theta, zeta(spark, key_space, theta))
-    d = with_hash64(d.withColumn("rank", rank), "rank", "h").withColumn("key", unsigned_mod(F.col("h"), key_space) + 1).withColumn("op", op_type(F.col("r"), *mix))
+    d = d.withColumn("rank", rank).withColumn("h", hash64(F.col("rank"))).withColumn("key", unsigned_mod(F.col("h"), key_space) + 1).withColumn("op", op_type(F.col("r"), *mix))
     end = F.when(F.col("op") == "SCAN", F.col("key") + 1 + F.floor(F.col("w") * 100)).otherwise(F.lit(0)).cast("bigint")
     return d.select("seq", "op", "key", end.alias("scan_end"))
 
@@ -73,4 +82,32 @@ def generate(spark: SparkSession, name: str, num_ops: int, seed: int = 42) -> Da
 def load(spark: SparkSession, num_ops: int, seed: int = 99) -> DataFrame:
     """(seq, op, key) of ops / 2 inserts with uniform keys, repeats possible."""
     key_space = max(1_000_000, 2 * num_ops)
-    return spark.range(num_ops // 2).select(F.col("id").alias("seq"), F.lit("INSERT").alias("op"), (F.floor(F.rand(seed) * key_space) + 1).cast("bigint").alias("key"))
+    d = with_draw(spark.range(num_ops // 2), "u", seed)
+    return d.select(F.col("id").alias("seq"), F.lit("INSERT").alias("op"), (F.floor(F.col("u") * key_space) + 1).cast("bigint").alias("key"))
+
+
+def as_log(ops: DataFrame, first_seq: int = 0) -> DataFrame:
+    """The operation log (key, seq, op, value) of a stream: inserts and updates put "v<key>", RMW marks its key, reads leave no row."""
+    kinds = F.when(F.col("op").isin("INSERT", "UPDATE"), "PUT").when(F.col("op") == "DELETE", "DELETE").when(F.col("op") == "RMW", "RMW")
+    d = ops.select("key", (F.col("seq") + first_seq).alias("seq"), kinds.alias("op"))
+    return d.where("op is not null").withColumn("value", F.when(F.col("op") == "PUT", F.concat(F.lit("v"), F.col("key").cast("string"))))
+
+
+def run(spark: SparkSession, name: str, num_ops: int, seed: int = 42) -> DataFrame:
+    """One row: what a run of a mix over its load does: operations by kind, reads that find a key, live keys after it.
+
+    Reads see the load and all writes before them, so a read is answered by the newest
+    version with a smaller seq: versions and reads of a key are counted in one order.
+    """
+    loaded = load(spark, num_ops)
+    n = num_ops // 2
+    ops = generate(spark, name, num_ops, seed)
+    every = loaded.select("key", "seq", "op").unionByName(ops.select("key", (F.col("seq") + n).alias("seq"), "op"))
+    writes = F.col("op").isin("INSERT", "UPDATE", "DELETE")
+    before = W.partitionBy("key").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    seen = every.withColumn("last", F.last(F.when(writes, F.col("op")), True).over(before))
+    live = F.coalesce(F.col("last") != "DELETE", F.lit(False))
+    asked = F.col("op").isin("READ", "RMW")
+    kinds = [F.count_if((F.col("op") == k) & (F.col("seq") >= n)).alias(k.lower()) for k in ("READ", "UPDATE", "INSERT", "SCAN", "DELETE", "RMW")]
+    newest = every.where(writes).groupBy("key").agg(F.max_by("op", "seq").alias("op")).where("op <> 'DELETE'").agg(F.count("*").alias("live_keys"))
+    return seen.agg(*kinds, F.count_if(asked & live).alias("hits")).crossJoin(newest).withColumn("name", F.lit(name)).withColumn("num_ops", F.lit(num_ops))  # one row each

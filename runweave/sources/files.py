@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runweave.functions.scalar import scale_label
+
 RESULTS = (
     "scale int, run_id int, config string, workload string, throughput_ops_s double, waf double, raf double, saf double, "
     "bloom_fpr double, p50_us double, p99_us double, p999_us double, switches int, elapsed_s double, outlier string"
@@ -29,6 +31,15 @@ def read_settings(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_settings(configs: DataFrame, root: str) -> None:
+    """Writes a text file of 'name = value' lines for each row of workload.configs(): root/workload=<name>/scale=<label>."""
+    named = [c for c in configs.columns if c != "name"]
+    lines = [F.concat(F.lit(f"{c} = "), F.col(c).cast("string")) for c in named]
+    body = F.concat_ws("\n", F.concat(F.lit("# workload "), F.col("name")), F.concat(F.lit("workload_name = "), F.col("name")), *lines)
+    rows = configs.select(body.alias("value"), F.col("name").alias("workload"), scale_label(F.col("num_ops")).alias("scale"))
+    rows.repartition("workload", "scale").write.partitionBy("workload", "scale").mode("overwrite").text(root)
+
+
 def run_info(spark: SparkSession) -> DataFrame:
     """One row about where a result comes from: version, master, parallelism, time zone and time."""
     sc = spark.sparkContext

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runweave.operators.order import ranked
+
 #: Bytes of a log record beside its value: type, key and length.
 RECORD_BYTES = 13
 
@@ -34,9 +36,9 @@ def delete(key: Column, seq: Column) -> list[Column]:
 
 
 def group_commits(log: DataFrame, records: int = 64) -> DataFrame:
-    """(batch, records, bytes): a commit after each so many records, for a log whose seq counts from 0."""
-    batch = F.floor(F.col("seq") / records).cast("bigint").alias("batch")
-    return log.groupBy(batch).agg(F.count("*").alias("records"), F.sum(RECORD_BYTES + F.coalesce(F.octet_length("value"), F.lit(0))).alias("bytes"))
+    """(batch, records, bytes): a commit after each so many records, in order of a BIGINT seq that may have gaps."""
+    batch = F.floor(F.col("_place") / records).cast("bigint").alias("batch")
+    return ranked(log, "seq", "_place").groupBy(batch).agg(F.count("*").alias("records"), F.sum(RECORD_BYTES + F.coalesce(F.octet_length("value"), F.lit(0))).alias("bytes"))
 
 
 def tail(log: DataFrame, flushed: int) -> DataFrame:
