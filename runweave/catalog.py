@@ -651,9 +651,10 @@ def _draw(seed: int) -> str:
     return f"(({_h(f'(range * 1048576 + {seed})::UBIGINT')} >> 11)::DOUBLE / 9007199254740992.0::DOUBLE)"
 
 
-def _stream_sql(name: str, ops: int, seed: int = 42) -> str:
+def _stream_sql(name: str, ops: int, seed: int = 42, theta: float | None = None) -> str:
     """The seeded stream of a mix as SQL."""
-    _, theta, *mix = next(m for m in workload.MIXES if m[0] == name)
+    _, own, *mix = next(m for m in workload.MIXES if m[0] == name)
+    theta = own if theta is None else theta
     space, edge, cases = max(1_000_000, 2 * ops), 0.0, ""
     for op, share in zip(("READ", "UPDATE", "INSERT", "SCAN", "DELETE"), mix):
         edge += share
@@ -720,6 +721,20 @@ def workload_signals(spark, sf_dir):
     return d.groupBy(F.floor(F.col("seq") / 1000).alias("epoch")).agg(F.count_if(F.col("op") == "RMW").alias("velocity"), F.round(F.count_if(F.col("op") == "READ") / F.count("*"), 9).alias("skew"))
 
 
+_THETAS = (0.0, 0.8, 0.9, 0.99)
+
+
+@query(" UNION ALL ".join(f"SELECT {t}::DOUBLE AS theta, count(DISTINCT key) AS keys, max(n) AS most FROM (SELECT key, count(*) AS n FROM ({_stream_sql('A', 20_000, theta=t)}) GROUP BY key)" for t in _THETAS))
+def workload_theta(spark, sf_dir):
+    """How skewed mix A is at four thetas: distinct keys and the most frequent one's count."""
+    out = None
+    for t in _THETAS:
+        counts = workload.generate(ship_code(spark), "A", 20_000, theta=t).groupBy("key").agg(F.count("*").alias("n"))
+        one = counts.agg(F.lit(t).alias("theta"), F.count("*").alias("keys"), F.max("n").alias("most"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(lambda: f"""WITH RECURSIVE s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY e) AS i, v > 500 AS fast, k > 0.5 AS skewed, v % 2 = 0 AS full FROM (
         SELECT seq // 1000 AS e, count(*) FILTER (WHERE op = 'RMW') AS v, count(*) FILTER (WHERE op = 'READ')::DOUBLE / count(*) AS k FROM ({_stream_sql('F', 100_000)}) GROUP BY 1)), {FSM[FSM.index('f(i, prev'):]}
     SELECT i, prev AS prev_strategy, state AS new_strategy, reason FROM f WHERE i > 0 AND transition""")

@@ -65,9 +65,10 @@ def with_draw(d: DataFrame, name: str, seed: int) -> DataFrame:
     return d.withColumn(name, F.shiftrightunsigned(hash64(F.col("id") * F.lit(1 << 20) + F.lit(seed)), 11) / F.lit(float(1 << 53)))
 
 
-def generate(spark: SparkSession, name: str, num_ops: int, seed: int = 42) -> DataFrame:
-    """(seq, op, key, scan_end): a seeded stream of the mix, made where it is used."""
-    _, theta, *mix = next(m for m in MIXES if m[0] == name)
+def generate(spark: SparkSession, name: str, num_ops: int, seed: int = 42, theta: float | None = None) -> DataFrame:
+    """(seq, op, key, scan_end): a seeded stream of the mix, made where it is used; theta replaces the mix's own."""
+    _, own, *mix = next(m for m in MIXES if m[0] == name)
+    theta = own if theta is None else theta
     key_space = max(1_000_000, 2 * num_ops)
     d = spark.range(num_ops)
     for k, draw in enumerate("ruw"):
