@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
 import tempfile
@@ -119,7 +121,14 @@ def gathered(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = 12 <<
             held, size = [], 0
     if sum(len(b) for b in held):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that a task no longer uses back to the system: Python workers live on."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def pieces(batch: pa.RecordBatch, text_at: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -144,23 +153,21 @@ def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def _odd_powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = (seed | 1) & (2**64 - 1)
-    inverse = pow(base, -1, 2**64)
-    with np.errstate(over="ignore"):
-        one = np.ones(1, np.uint64)
-        up = np.cumprod(np.concatenate([one, np.full(n, base, np.uint64)]))
-        down = np.cumprod(np.concatenate([one, np.full(n, inverse, np.uint64)]))
-    return up, down
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
 
 
-def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if seed not in _POWERS or len(_POWERS[seed][0]) <= n:
-        _POWERS[seed] = _odd_powers(seed, max(n, 1 << 16))
-    return _POWERS[seed]
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 .. n (or more) of an odd base modulo 2^64, and their inverses; kept once for all hashes."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        n = max(n, 1 << 16)
+        _POWERS.clear()
+        for base in (_BASE, pow(_BASE, -1, 2**64)):
+            out = np.full(n + 1, base, np.uint64)
+            out[0] = 1
+            with np.errstate(over="ignore"):
+                _POWERS.append(np.cumprod(out, out=out))
+    return _POWERS[0], _POWERS[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -178,7 +185,7 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int)
     Equal hashes prove nothing: long texts can be built that collide under every seed. What
     removes or joins texts compares their bytes or their names (word_ids) as well.
     """
-    up, down = powers(seed, len(data))
+    up, down = powers(len(data))
     letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed | 1))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(letters[data] * up[: len(data)], out=total[1:])
@@ -227,7 +234,7 @@ def window_hash(words: np.ndarray, width: int, seed: int) -> np.ndarray:
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(seed, len(words))
+    up, down = powers(len(words))
     total = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(mix(words + np.uint64(seed)) * up[: len(words)], out=total[1:])
     return mix((total[width:] - total[:n]) * down[:n])
@@ -254,7 +261,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     signature = None
     while True:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # a table of its own: the join to it can then be split at a hub
+        least, least_at = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large, large_at = stored(
             both.join(least, "a").where("b > a")
             .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -266,7 +274,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             .unionByName(small.select("a", F.col("m").alias("b")))
             .where("a <> b").distinct()
         )
-        for old in (at, large_at):  # nothing reads them any more
+        for old in (at, least_at, large_at):  # nothing reads them any more
             drop_path(spark, old)
         at = new_at
         now = e.agg(

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runweave.llm import simhash
-from runweave.llm.common import buffer, chunks, components, mix, parts, table, window_hash, word_bounds, word_hash, word_ids
+from runweave.llm.common import buffer, chunks, components, mix, parts, table, trim, window_hash, word_bounds, word_hash, word_ids
 
 _LOWEST = -(2**63)
 _SEED = 0x51ED270B
@@ -86,6 +86,7 @@ def _rows(docs: DataFrame, width: int, keys: bool) -> DataFrame:
                 fp = [pa.array(simhash.fingerprints_of(text, at, width))] if keys else []
                 own = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(node), items, *fp], names=names)
+        trim()
 
     schema = "id bigint, text_hash bigint, node bigint, items array<bigint>" + (", fp bigint" if keys else "")
     return docs.select(own_id(), text_hash(), "text").mapInArrow(run, schema)
@@ -147,6 +148,7 @@ def _met(batches):
             nodes.append(node[i])
             sets.append(flat[offs[i] : offs[i + 1]].copy())
     yield from close()
+    trim()
 
 
 def candidates(nodes: DataFrame, tau: int = 4) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.common import buffer, chunks, components, parts, table, word_bounds
+from runweave.llm.common import buffer, chunks, components, parts, table, trim, word_bounds
 
 _LOWEST = -(2**63)
 
@@ -314,7 +314,7 @@ def midpoint_links(fps: DataFrame, tau: int) -> DataFrame:
     return found.mapInArrow(_thinned, "a bigint, b bigint").distinct()
 
 
-def _thinned(batches, most: int = 1 << 20):
+def _thinned(batches, most: int = 1 << 18):
     """Links that connect the same, fewer than there are nodes in each part of a task."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -345,6 +345,7 @@ def _thinned(batches, most: int = 1 << 20):
             held, size = [], 0
     if held:
         yield close()
+    trim()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, tau: int = 4, dense: int = 24, crowded: int = 2048, share: int = 256) -> DataFrame:

@@ -45,7 +45,7 @@ _ROW = "key bigint, ord bigint, sub bigint, pos int, n int, inner boolean, conte
 
 def _grams(data: np.ndarray, width: int, seed: int) -> np.ndarray:
     n = len(data) - width + 1
-    up, down = powers(seed, len(data))
+    up, down = powers(len(data))
     letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed | 1))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(letters[data] * up[: len(data)], out=total[1:])

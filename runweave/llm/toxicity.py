@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.common import buffer, chunks, span_hash, word_bounds
+from runweave.llm.common import buffer, chunks, span_hash, trim, word_bounds
 from runweave.llm.windows import runs
 
 # Character classes of the language model: 0 separators, 1-26 letters, 27 other letters, 28 all else.
@@ -136,7 +136,7 @@ class Decoder:
         if span in self.known:
             return self.known[span]
         best, _ = self.search(span)
-        if len(self.known) > 200_000:  # a cache
+        if len(self.known) > 50_000:  # a cache
             self.known.clear()
         if len(span) < 100:
             self.known[span] = best
@@ -295,6 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, logp: np.ndarray, max_train: int = 1
                 idx = (pairs & ((1 << space_bits) - 1)).astype(np.int32)
                 found = [idx[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[i:j]), pa.array(found, pa.binary())], names=["toxic", "found"])
+        trim()
 
     rows = sample.mapInArrow(presence, "toxic int, found binary").toArrow()  # at most max_train rows
     y = rows.column("toxic").to_numpy().astype(float)
@@ -369,6 +370,7 @@ def score(docs: DataFrame, labels: DataFrame, space_bits: int = 20, **bounds) ->
                 z[i:j] += np.bincount(pairs >> space_bits, w[pairs & ((1 << space_bits) - 1)], j - i)
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*names, "score"])
+        trim()
 
     return plain.mapInArrow(run, schema).toDF(*cols, "toxicity")
 

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from runweave.llm.common import trim
+
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each width consecutive entries."""
@@ -154,3 +156,4 @@ def by_key(batches: Iterator[pa.RecordBatch], work: Callable, repeats: Callable,
         most = max(limit, 2 * size)
     if held:
         yield from work(pa.concat_tables(held).combine_chunks())
+    trim()
