@@ -955,6 +955,26 @@ def store_truncated(spark, sf_dir):
     return m.crossJoin(spark.read.parquet(f"{root}/log/*").agg(F.count("*").alias("in_log")))  # one row each
 
 
+@query("""SELECT i.range AS iteration, 300::BIGINT AS found, 1100::BIGINT AS scanned, 500::BIGINT AS live, 100::BIGINT AS updated FROM range(1, 4) i""")
+def store_smoke(spark, sf_dir):
+    """Three times 500 writes, 300 reads, 100 updates and 100 scans of eleven keys through a store."""
+    out = None
+    for iteration in range(1, 4):
+        root = new_root(spark, "smoke")
+        row = lambda seq, text: [F.col("id").alias("key"), seq.alias("seq"), F.lit("PUT").alias("op"), F.concat(F.lit(text), F.col("id").cast("string")).alias("value")]
+        for part in range(2):
+            maintenance.append(spark.range(250 * part + 1, 250 * part + 251).select(*row(F.col("id"), "val_")), root)
+            maintenance.flush(spark, root)
+        found = resolve.get_many(maintenance.opened(spark, root), spark.range(1, 301).toDF("key")).agg(F.count_if("found").alias("found"))
+        maintenance.append(spark.range(1, 101).select(*row(F.col("id") + 1000, "upd_")), root)
+        ranges = spark.range(1, 101).select(F.col("id").alias("scan_id"), F.col("id").alias("start"), (F.col("id") + 10).alias("end"))
+        scanned = resolve.scan_many(maintenance.opened(spark, root), ranges).agg(F.count("*").alias("scanned"))
+        state = maintenance.state(spark, root).agg(F.count("*").alias("live"), F.count_if(F.col("value").startswith("upd_")).alias("updated"))
+        one = found.crossJoin(scanned).crossJoin(state).withColumn("iteration", F.lit(iteration).cast("bigint"))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"{LAST} SELECT key, value FROM last WHERE op = 'PUT'")
 def store_round(spark, sf_dir):
     """The same after rounds of maintenance under a small memtable: leveling, then the state."""
