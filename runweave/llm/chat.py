@@ -2,10 +2,10 @@
 
 Each turn has a node id, a digest chained from its parent's, so conversations that share
 initial turns share nodes. Conversations are range-sorted by the path of their node ids; a
-range is a pack, written in one pass: a turn that the conversation before it had is already
-out, so in a pack each node is emitted once, in depth-first order. A first turn that a third
-of all conversations share is cut at range borders, and its shared nodes then stand once in
-each of those packs. No conversation or tree is held in memory: only the open path is.
+range is written in one pass as packs of a bounded number of tokens: a turn that the
+conversation before it had is already out, so in a pack each node is emitted once, in
+depth-first order. A first turn that a third of all conversations share is cut at the borders
+of packs, and its shared nodes then stand once in each of those packs. No conversation or tree is held in memory: only the open path is.
 
 Tokens are the bytes of the formatted text. A node has the offset of its first token in the
 pack (start), the position id of that token (the tokens before it on its path), its length,
@@ -17,8 +17,9 @@ after each backslash and bracket, which reading takes back. The loss mask covers
 the assistant texts.
 
 Defined cases: null text and null role are empty; rows with equal conversation and turn are
-turns in the order of role and text; a null conv_id is one conversation, before all others;
-an empty table gives no packs; other columns are ignored.
+turns in the order of role and text; a null conv_id is one conversation, before all others
+(so is the id -2^63, read back as null); very long turns are written whole; an empty table
+gives no packs; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ _BEGIN = "<s>"
 _OTHER = re.compile(r"\[ROLE ((?:[^\\\[\]<]|[\\\[\]<]\\)*)\] (.*) \[/ROLE\]", re.S)
 
 _NODE = (
-    "pack int, seq bigint, kind string, depth int, start bigint, position bigint, n_tokens bigint, close bigint, "
+    "pack bigint, seq bigint, kind string, depth int, start bigint, position bigint, n_tokens bigint, close bigint, "
     "piece string, loss_from int, loss_to int, conv bigint, intervals array<bigint>"
 )
 _READ = "conv bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
@@ -99,28 +100,30 @@ def _chain(parent: bytes, role: str, text: str) -> bytes:
 
 
 def ranks(d: DataFrame) -> DataFrame:
-    """(conv, rank, pack): conversations in the order of their paths, cut into ranges of about equal number."""
+    """(conv, rank, pack, tokens): conversations in the order of their paths, cut into ranges of about equal number."""
     n = parts(d.sparkSession)
 
     def paths(batches):
-        conv, node, path = None, b"", []
+        conv, node, path, tokens = None, b"", [], 0
+        names, types = ["conv", "path", "tokens"], [pa.int64(), pa.binary(), pa.int64()]
         for batch in batches:
             out = []
             for c, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
                 if c != conv:
                     if conv is not None:
-                        out.append((conv, b"".join(path)))
-                    conv, node, path = c, b"", []
+                        out.append((conv, b"".join(path), tokens))
+                    conv, node, path, tokens = c, b"", [], 0
                 node = _chain(node, role, text)
+                tokens += len(format_turn(role, text, not path)[0].encode())
                 path.append(node[:8])
-            yield _batch(out, ["conv", "path"], [pa.int64(), pa.binary()])
+            yield _batch(out, names, types)
         if conv is not None:
-            yield _batch([(conv, b"".join(path))], ["conv", "path"], [pa.int64(), pa.binary()])
+            yield _batch([(conv, b"".join(path), tokens)], names, types)
 
-    whole = d.repartition(n, "conv").sortWithinPartitions("conv", "turn", "role", "text").mapInArrow(paths, "conv bigint, path binary")
+    whole = d.repartition(n, "conv").sortWithinPartitions("conv", "turn", "role", "text").mapInArrow(paths, "conv bigint, path binary, tokens bigint")
     whole = table(whole, "chat-paths")
     ordered = whole.repartitionByRange(n, "path", "conv").sortWithinPartitions("path", "conv")
-    return table(ordered.select("conv", F.monotonically_increasing_id().alias("rank"), F.spark_partition_id().alias("pack")), "chat-ranks")
+    return table(ordered.select("conv", F.monotonically_increasing_id().alias("rank"), F.spark_partition_id().alias("pack"), "tokens"), "chat-ranks")
 
 
 def _batch(rows, names, types) -> pa.RecordBatch:
@@ -129,7 +132,7 @@ def _batch(rows, names, types) -> pa.RecordBatch:
 
 _NODE_NAMES = [x.split()[0] for x in _NODE.split(", ")]
 _NODE_TYPES = [
-    pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(),
+    pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(),
     pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()),
 ]
 
@@ -168,24 +171,30 @@ class _Writer:
         self.seq += 1
 
 
-def write_trees(conversations: DataFrame, path: str) -> None:
-    """Writes the packs as Parquet: kind 'turn' rows are nodes, 'end' rows conversations; seq is the order."""
+def write_trees(conversations: DataFrame, path: str, max_tokens: int = 1 << 22) -> None:
+    """Writes the packs as Parquet: kind 'turn' rows are nodes, 'end' rows conversations; seq is the order.
+
+    A range is cut into packs of at most max_tokens, between conversations; only a single
+    longer conversation is a longer pack.
+    """
     d = turns(conversations)
     where = ranks(d)
     n = parts(d.sparkSession)
 
     def run(batches):
-        writer, conv, node, depth = None, None, b"", 0
+        writer, at, cut, conv, node, depth = None, None, 0, None, b"", 0
         for batch in batches:
-            for c, _, role, text, pack in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if conv is not None and (c != conv or pack != writer.pack):
+            for c, _, role, text, part, tokens in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if conv is not None and (c != conv or part != at):
                     writer.end(conv, depth)
                     conv = None
-                if writer is None or pack != writer.pack:
+                full = writer is not None and conv is None and writer.offset and writer.offset + tokens > max_tokens
+                if part != at or full:
                     if writer is not None:
                         writer.pop(0)
                         yield _batch(writer.out, _NODE_NAMES, _NODE_TYPES)
-                    writer = _Writer(pack)
+                    at, cut = part, cut + 1 if part == at else 0
+                    writer = _Writer((part << 32) + cut)
                 if conv is None:
                     conv, node, depth = c, b"", 0
                 node = _chain(node, role, text)
@@ -200,7 +209,7 @@ def write_trees(conversations: DataFrame, path: str) -> None:
             yield _batch(writer.out, _NODE_NAMES, _NODE_TYPES)
 
     rows = d.join(where, "conv").repartition(n, "pack").sortWithinPartitions("rank", "turn", "role", "text")
-    rows.select("conv", "turn", "role", "text", "pack").mapInArrow(run, _NODE).write.parquet(path)
+    rows.select("conv", "turn", "role", "text", "pack", "tokens").mapInArrow(run, _NODE).write.parquet(path)
 
 
 def read_trees(packs: DataFrame) -> DataFrame:

@@ -121,6 +121,22 @@ def test_trees_round_trip(spark):
         assert total == sum(len(chat.format_turn(r or "", t or "", i == 0)[0].encode()) for i, (r, t) in enumerate(convs[e.conv]))
 
 
+def test_packs_have_a_token_limit(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{'shared first turn ' * 5 if t == 0 else f'own {c} {t} ' * (c % 5)}", 1) for c in range(80) for t in range(3)]
+    rows += [(200, 0, "user", "long " * 500, 1)]
+    path = new_path(prepare(spark), "chat")
+    chat.write_trees(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, extra int"), path, max_tokens=1000)
+    packs = spark.read.parquet(path)
+    got = {r.conv_id: r for r in chat.read_trees(packs).collect()}
+    assert len(got) == 81 and all(got[c].n_turns == 3 for c in range(80))
+    for c in range(80):
+        assert got[c].loss_sha256 == hashlib.sha256((f"own {c} 1 " * (c % 5)).encode()).hexdigest()
+    sizes = {r.pack: r for r in packs.where("kind = 'turn'").groupBy("pack").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("most")).collect()}
+    assert len(sizes) > 4 and sum(r.tokens > 1000 for r in sizes.values()) == 1 and max(r.tokens for r in sizes.values()) < 2600
+    shared = packs.where("kind = 'turn' and depth = 0 and piece like '%shared first%'").groupBy("pack").count().collect()
+    assert all(r["count"] == 1 for r in shared)
+
+
 def test_tied_turns_null_ids_and_nothing(spark):
     _, got = read_back(spark, [(None, 0, "user", "a", 1), (None, 1, "assistant", "b", 1), (7, 0, "user", "z", 1), (7, 0, "user", "z", 1), (7, 0, "user", "a", 1)])
     assert got[None].n_turns == 2 and got[7].turns_sha256 == hashlib.sha256(b"user\na\nuser\nz\nuser\nz\n").hexdigest()
