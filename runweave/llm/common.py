@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import hashlib
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,6 +58,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of numbers, of a bound that the caller knows, as a literal of the plan."""
+    names = [x.split()[0].strip("`") for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    kind = "array<struct<" + ", ".join(x.replace(" ", ": ", 1) for x in schema.split(", ")) + ">>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), kind)).alias("row")).select("row.*")
+
+
 def tables_made() -> int:
     return len(_MADE)
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from runweave.llm.common import parts, table
+from runweave.llm.common import parts, small_table, table
 from runweave.llm.quality import words
 
 _LOWEST = -(2**63)
@@ -85,8 +85,7 @@ def _splits(slim: DataFrame, ranges: int) -> list[tuple[int, int]]:
     ).first()
     if not found.n:
         return [(0, 0)]
-    spark = slim.sparkSession
-    cuts = spark.createDataFrame([(x,) for x in {found.least, *found.cuts}], "_order bigint")  # at most ranges rows
+    cuts = small_table(slim.sparkSession, [(x,) for x in {found.least, *found.cuts}], "_order bigint")  # at most ranges rows
     many = slim.groupBy("_order").agg(F.count("*").alias("rows")).where(F.col("rows") * ranges > 2 * found.n)  # at most ranges / 2
     bits = F.ceil(F.log2(F.col("rows") * ranges / found.n)).cast("int")
     cells = slim.join(F.broadcast(many.withColumn("bits", bits)), "_order").groupBy("_order", F.expr("shiftright(_tie, 64 - bits)").alias("cell"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from runweave.llm.common import WORD, parts, table
+from runweave.llm.common import WORD, parts, small_table, table
 
 
 def word_count(text: Column | str = "text") -> Column:
@@ -48,7 +48,7 @@ def ahead_of(rows: DataFrame, order: list[Column], sums: dict[str, str], name: s
     for r in totals:
         offsets.append((r["_part"], *[before[x] for x in sums]))
         before = {x: before[x] + r[x] for x in sums}
-    start = spark.createDataFrame(offsets, "_part int, " + ", ".join(f"`_from_{new}` {wide(x)}" for new, x in sums.items()))
+    start = small_table(spark, offsets, "_part int, " + ", ".join(f"`_from_{new}` {wide(x)}" for new, x in sums.items()))
     w = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     out = sorted_rows.join(F.broadcast(start), "_part")  # a row a part
     for new, x in sums.items():
