@@ -80,11 +80,15 @@ def deserialize(rows: DataFrame) -> DataFrame:
     return rows.select("block", bits.alias("have"))
 
 
+def _turned(h: Column, size: int) -> Column:
+    """The hex digits of size bytes, last byte first. F.reverse takes bytes for UTF-8 text, which keeps the order within a character."""
+    return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(size - 1, -1, -1)])
+
+
 def pack(filters: DataFrame, k: int, n: int, blocks: int) -> DataFrame:
     """One row, filter BINARY: k, n and the number of blocks as 32-bit numbers, then the blocks, lowest bytes first."""
-    reverse = lambda h: F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)])
-    number = lambda x: F.concat(*[F.substring(F.lpad(F.hex(F.lit(x)), 8, "0"), 2 * i + 1, 2) for i in (3, 2, 1, 0)])
-    words = F.array_join(F.transform("words", lambda w: reverse(F.lpad(F.hex(w), 16, "0"))), "")
+    number = lambda x: _turned(F.lpad(F.hex(F.lit(x)), 8, "0"), 4)
+    words = F.array_join(F.transform("words", lambda w: _turned(F.lpad(F.hex(w), 16, "0"), 8)), "")
     every = filters.sparkSession.range(blocks).select(F.col("id").alias("block"))
     rows = every.join(serialize(filters).select("block", words.alias("hex")), "block", "left")
     rows = rows.select("block", F.coalesce("hex", F.lit("0" * (BLOCK_BITS // 4))).alias("hex"))
@@ -97,14 +101,15 @@ def unpack(rows: DataFrame, bits_per_key: int = 14) -> DataFrame:
 
     words: the 64-bit words of all blocks in order; a body that is cut short has none.
     """
-    number = lambda at: F.conv(F.hex(F.reverse(F.substring("filter", at, 4))), 16, 10).cast("bigint")
+    number = lambda at: F.conv(_turned(F.hex(F.substring("filter", at, 4)), 4), 16, 10).cast("bigint")
     short = F.octet_length("filter") < 12
     d = rows.withColumn("short", F.coalesce(short, F.lit(True)))
     for name, at, default in (("k", 1, bloom_k(F.lit(bits_per_key)).cast("bigint")), ("n", 5, F.lit(0)), ("blocks", 9, F.lit(1))):
         d = d.withColumn(name, F.when(F.col("short"), default.cast("bigint")).otherwise(number(at)))
     whole = ~F.col("short") & (F.octet_length("filter") >= 12 + F.col("blocks") * (BLOCK_BITS // 8))
-    word = lambda i: F.conv(F.hex(F.reverse(F.substring(F.col("filter"), (13 + 8 * i).cast("int"), F.lit(8)))), 16, -10).cast("bigint")
+    word = lambda i: F.hex(F.substring(F.col("filter"), (13 + 8 * i).cast("int"), F.lit(8)))
     words = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") * 8 - 1), word)
+    words = F.transform(words, lambda h: F.conv(_turned(h, 8), 16, -10).cast("bigint"))
     return d.select("k", "n", "blocks", F.when(whole & (F.col("blocks") > 0), words).otherwise(F.array().cast("array<bigint>")).alias("words"))
 
 

@@ -188,3 +188,15 @@ def test_files(spark, tmp_path):
 def test_commits(spark):
     log = spark.createDataFrame([(1, i, "PUT", "abc") for i in range(130)], LOG)
     assert [(r.batch, r.records, r.bytes) for r in oplog.group_commits(log).orderBy("batch").collect()] == [(0, 64, 1024), (1, 64, 1024), (2, 2, 32)]
+
+
+@pytest.mark.parametrize("n", [1500, 0xDCDFEFF4, 0x7F80C2BF])
+def test_packed_filters_keep_bytes_like_utf8(spark, n):
+    """Numbers and words whose bytes look like characters of two to four bytes."""
+    words = [[0x05DC, 0xC3A9, 0xE282AC, 0xF09F9880, 0xA9C3, 0xAC82E2, 0x80989FF0, 2**64 - 2], [0] * 7 + [1 << 63]]
+    have = [(block, [64 * i + b for i, w in enumerate(row) for b in range(64) if w >> b & 1]) for block, row in enumerate(words)]
+    packed = bloom.pack(spark.createDataFrame(have, "block bigint, have array<bigint>"), 10, n, 2)
+    assert bytes(packed.first()[0]) == b"".join(x.to_bytes(4, "little") for x in (10, n, 2)) + b"".join(w.to_bytes(8, "little") for row in words for w in row)
+    r = bloom.unpack(packed).first()
+    assert (r.k, r.n, r.blocks) == (10, n, 2)
+    assert [w % 2**64 for w in r.words] == [w for row in words for w in row]
