@@ -52,10 +52,11 @@ def rank_sums(d: DataFrame, value: str, side: str, *by: str) -> DataFrame:
     size = F.col("c1") + F.col("c2")
     g = g.withColumn("rank", F.coalesce(F.sum(size).over(w), F.lit(0)) + (size + 1) / 2)
     s = g.groupBy(*by).agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2"), F.sum(F.col("rank") * F.col("c1")).alias("r1"))
-    u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    u = F.least(u1, F.col("n1") * F.col("n2") - u1)
-    sigma = F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12)
-    z = F.try_divide(u - F.col("n1") * F.col("n2") / 2, sigma)
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")  # their products can leave BIGINT from 3.4 million rows a group on
+    u1 = F.col("r1") - n1 * (n1 + 1) / 2
+    u = F.least(u1, n1 * n2 - u1)
+    sigma = F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
+    z = F.try_divide(u - n1 * n2 / 2, sigma)
     return s.select(*by, "n1", "n2", u.alias("u"), z.alias("z"))
 
 

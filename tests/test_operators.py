@@ -221,3 +221,20 @@ def test_exact_percentiles_do_not_depend_on_estimates(spark, monkeypatch):
     assert len(got) == len(want) and {(r.k, r.percent): str(r.value) for r in got} == want
     every = telemetry.exact_percentiles(d.where("k < 2"), "v", [50.0]).collect()
     assert [r.value for r in every] == [sorted(own[0] + own[1])[10_000]]
+
+
+def test_rank_sums_of_millions(spark):
+    """n1 * n2 * (n1 + n2 + 1) beyond 64 bits."""
+    d = spark.range(0, 4_200_000, 1, 4).select((F.col("id") % 50 + F.when(F.col("id") % 1000 == 0, 1).otherwise(0)).alias("v"), (F.pmod(F.xxhash64("id"), F.lit(2)) + 1).alias("side"))
+    counts = sorted((r.v, r.c1, r.c2) for r in d.groupBy("v").agg(F.count_if(F.col("side") == 1).alias("c1"), F.count_if(F.col("side") == 2).alias("c2")).collect())
+    n1, n2 = sum(r[1] for r in counts), sum(r[2] for r in counts)
+    assert n1 * n2 * (n1 + n2 + 1) > 2**63
+    below, twice_r1 = 0, 0
+    for _, c1, c2 in counts:
+        twice_r1 += c1 * (2 * below + c1 + c2 + 1)
+        below += c1 + c2
+    twice_u = min(twice_r1 - n1 * (n1 + 1), 2 * n1 * n2 - twice_r1 + n1 * (n1 + 1))
+    z = (twice_u - n1 * n2) / 2 / math.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
+    r = stats.rank_sum_p(d, "v", "side").first()
+    assert (r.n1, r.n2, r.u) == (n1, n2, twice_u / 2)
+    assert abs(r.z - z) < 1e-9 and abs(r.p - max(0.0001, math.erfc(-z / math.sqrt(2)))) < 1e-9 and 0.0001 < r.p < 1
